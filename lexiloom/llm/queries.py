@@ -71,7 +71,7 @@ FROM d WINDOW g AS (PARTITION BY text_sha256)
 
 OP6 = f"""
 WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings
-  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, e -> e IS NULL OR isnan(e) OR isinf(e))) = 0 AND list_sum(list_transform(embedding, e -> abs(e))) > 0),
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda e: e IS NULL OR isnan(e) OR isinf(e))) = 0 AND list_sum(list_transform(embedding, lambda e: abs(e))) > 0),
 nodes AS (SELECT vec_id AS id FROM embeddings),
 links AS (SELECT p.vec_id AS a, q.vec_id AS b FROM v p JOIN v q ON p.vec_id <> q.vec_id AND list_cosine_similarity(p.x, q.x) >= 0.95),
 {_COMPONENT}
@@ -81,11 +81,11 @@ SELECT id AS vec_id, (SELECT count(*) FROM links WHERE a = id) AS n_links, compo
 OP8 = rf"""
 WITH RECURSIVE words AS (SELECT doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
 sets AS (SELECT id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
-  ELSE list_distinct(list_transform(range(1, len(w) - 1), i -> concat_ws(' ', w[i], w[i + 1], w[i + 2]))) END AS s FROM words),
+  ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: concat_ws(' ', w[i], w[i + 1], w[i + 2]))) END AS s FROM words),
 nodes AS (SELECT id FROM sets),
 flat AS (SELECT id, len(s) AS n, unnest(s) AS g FROM sets),
-pairs AS (SELECT p.id AS a, q.id AS b, any_value(p.n) AS na, any_value(q.n) AS nb, count(*) AS both FROM flat p JOIN flat q ON p.g = q.g AND p.id <> q.id GROUP BY 1, 2),
-links AS (SELECT a, b FROM pairs WHERE 100 * both >= 85 * (na + nb - both)),
+pairs AS (SELECT p.id AS a, q.id AS b, any_value(p.n) AS na, any_value(q.n) AS nb, count(*) AS shared FROM flat p JOIN flat q ON p.g = q.g AND p.id <> q.id GROUP BY 1, 2),
+links AS (SELECT a, b FROM pairs WHERE 100 * shared >= 85 * (na + nb - shared)),
 {_COMPONENT}
 SELECT sets.id AS doc_id, len(s) AS n_shingles, component_id, sets.id = component_id AS kept FROM sets JOIN component USING (id)
 """
