@@ -29,8 +29,6 @@ LENGTH, GRAM = 400, 32
 BATCH = 1 << 20
 #: Kinds of segments of an anchor in one block; bytes sorted at a time.
 KINDS, SORT_BYTES = 2048, 400_000
-#: Rows that may be broadcast (24 bytes each); beyond it they are joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
 _OTHER = np.random.default_rng(41).integers(0, 2**63, 256, np.uint64)
 _POSITION = np.uint64((1 << 22) - 1)
 
@@ -132,8 +130,7 @@ def segment_table(rows: DataFrame, length: int, gram: int) -> DataFrame:
 def sliced(rows: DataFrame, places: DataFrame, length: int) -> DataFrame:
     """places (k1, k2, start, windows, lead, anchor, kind, size) with the bytes of each: fetched from the texts."""
     wanted = places.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "windows", "lead", "anchor", "id", "size")).alias("slices"))
-    few = places.count() <= BROADCAST_ROWS
-    both = rows.join(F.broadcast(wanted) if few else wanted, ["k1", "k2"]).select("text", "slices")
+    both = rows.join(wanted, ["k1", "k2"]).select("text", "slices")
 
     def task(chunks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks:
@@ -206,8 +203,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     """
     spans = repeated_bytes(docs, length, gram)
     rows = keyed(docs)
-    few = (spans.agg(F.sum(F.size("spans")).alias("n")).first()["n"] or 0) <= BROADCAST_ROWS
-    both = rows.join(F.broadcast(spans) if few else spans, ["k1", "k2"], "left").select("doc_id", "text", "spans")
+    both = rows.join(spans, ["k1", "k2"], "left").select("doc_id", "text", "spans")
 
     def task(chunks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks:
