@@ -1,15 +1,476 @@
-"""All registered queries with the SQL that they equal."""
+"""All registered queries with the SQL that they equal. IDs of the blueprint's inventory stand beside each."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from lexiloom.functions import byte_length, leading_uint, suffix_bytes, varint_size
+from lexiloom.functions.byte_strings import golomb_parameter, next_power_of_two
+from lexiloom.operators import duplicates, order, prefixes
+from lexiloom.sources import generators, metrics, text
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def keep(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def read_strings(spark: SparkSession, sf_dir: str, name: str, col: str, key: str) -> DataFrame:
+    return order.strings(load(spark, sf_dir, name), col, key)
+
+
+DOCS, URLS, PARTS = ("documents", "text", "doc_id"), ("pages", "url", "page_id"), ("part", "p_name", "p_partkey")
+
+
+def base(source: tuple[str, str, str]) -> str:
+    """SQL of (id, b, h): strings as bytes, and as hex digits, which have the same order."""
+    name, col, key = source
+    return f"SELECT {key}::BIGINT AS id, encode({col}) AS b, hex(encode({col})) AS h FROM {name} WHERE {col} IS NOT NULL"
+
+
+def lcp_sql(a: str, b: str) -> str:
+    """SQL of the common bytes of two hex strings."""
+    short = f"least(length({a}), length({b})) // 2"
+    return f"(CASE WHEN {a} IS NULL OR {b} IS NULL THEN 0 ELSE coalesce(list_min(list_filter(range(1, {short} + 1), lambda i: substr({a}, 2 * i - 1, 2) <> substr({b}, 2 * i - 1, 2))), {short} + 1) - 1 END)"
+
+
+def lcp_table(source: tuple[str, str, str]) -> str:
+    return f"""s AS ({base(source)}),
+o AS (SELECT id, h, row_number() OVER (ORDER BY h, id) AS rank, lag(h) OVER (ORDER BY h, id) AS p, lead(h) OVER (ORDER BY h, id) AS q FROM s),
+t AS (SELECT id, h, rank, coalesce({lcp_sql("p", "h")}, 0)::BIGINT AS lcp, coalesce({lcp_sql("q", "h")}, 0)::BIGINT AS nxt FROM o)"""
+
+
+def rank_sql(source: tuple[str, str, str], direction: str = "") -> str:
+    return f"SELECT id, row_number() OVER (ORDER BY h {direction}, id) AS rank FROM ({base(source)})"
+
+
+@query(rank_sql(DOCS))
+def sort_rank_documents(spark: SparkSession, d: str) -> DataFrame:
+    """SRT1, WIN5"""
+    return order.ranked(read_strings(spark, d, *DOCS)).select("id", "rank")
+
+
+@query(rank_sql(URLS, "DESC"))
+def sort_rank_desc_urls(spark: SparkSession, d: str) -> DataFrame:
+    """SRT13, SRT14"""
+    return order.ranked(read_strings(spark, d, *URLS), descending=True).select("id", "rank")
+
+
+PRIORITY = ("orders", "o_orderpriority", "o_orderkey")
+
+
+@query(rank_sql(PRIORITY))
+def sort_indexed_ties(spark: SparkSession, d: str) -> DataFrame:
+    """SRT7, SRT8, SRT15"""
+    return order.ranked(read_strings(spark, d, *PRIORITY)).select("id", "rank")
+
+
+@query(f"SELECT id, decode(b) AS s FROM ({base(PARTS)}) ORDER BY h, id LIMIT 25")
+def topk_strings(spark: SparkSession, d: str) -> DataFrame:
+    """SRT1 with a limit: the 25 first names"""
+    return read_strings(spark, d, *PARTS).orderBy("b", "id").limit(25).select("id", F.decode("b", "UTF-8").alias("s"))
+
+
+@query(f"SELECT id, rank FROM (SELECT id, row_number() OVER (ORDER BY h, id) AS rank FROM ({base(PARTS)})) WHERE rank BETWEEN 101 AND 200")
+def rank_range(spark: SparkSession, d: str) -> DataFrame:
+    """PRJ1: a stretch of the sorted order"""
+    return order.ranked(read_strings(spark, d, *PARTS)).filter(F.col("rank").between(101, 200)).select("id", "rank")
+
+
+@query(f"WITH s AS (SELECT id, decode(b) AS s, row_number() OVER (ORDER BY h, id) AS rank, count(*) OVER () AS n FROM ({base(PARTS)})) SELECT id, s, rank FROM s WHERE rank = (n + 1) // 2")
+def median_string(spark: SparkSession, d: str) -> DataFrame:
+    """SEL1, SEL2, PRJ7"""
+    return order.median(read_strings(spark, d, *PARTS)).select("id", F.decode("b", "UTF-8").alias("s"), "rank")
+
+
+@query(f"WITH {lcp_table(URLS)} SELECT id, rank, lcp FROM t")
+def lcp_array_urls(spark: SparkSession, d: str) -> DataFrame:
+    """WIN1, WIN3, WIN4, FN4"""
+    return prefixes.lcp_array(read_strings(spark, d, *URLS)).select("id", "rank", "lcp")
+
+
+@query(f"WITH {lcp_table(PARTS)} SELECT id, rank, lcp FROM t")
+def lcp_array_part_names(spark: SparkSession, d: str) -> DataFrame:
+    """WIN1, FN4"""
+    return prefixes.lcp_array(read_strings(spark, d, *PARTS)).select("id", "rank", "lcp")
+
+
+@query(f"WITH {lcp_table(PARTS)} SELECT (sum(lcp) // count(*))::BIGINT AS avg_lcp FROM t")
+def avg_lcp(spark: SparkSession, d: str) -> DataFrame:
+    """AGG3"""
+    return prefixes.lcp_array(read_strings(spark, d, *PARTS)).agg(F.floor(F.sum("lcp") / F.count(F.lit(1))).cast("long").alias("avg_lcp"))
+
+
+@query(f"WITH {lcp_table(URLS)} SELECT id, rank, greatest(lcp, nxt) + 1 AS dp FROM t")
+def dist_prefix_exact_urls(spark: SparkSession, d: str) -> DataFrame:
+    """WIN2"""
+    return prefixes.distinguishing_prefix(read_strings(spark, d, *URLS)).select("id", "rank", "dp")
+
+
+@query(f"WITH {lcp_table(PARTS)} SELECT id, rank, greatest(lcp, nxt) + 1 AS dp FROM t")
+def dist_prefix_exact_part_names(spark: SparkSession, d: str) -> DataFrame:
+    """WIN2"""
+    return prefixes.distinguishing_prefix(read_strings(spark, d, *PARTS)).select("id", "rank", "dp")
+
+
+def ladder_sql(source: tuple[str, str, str], longest: int) -> str:
+    """SQL of the first depth at which a prefix is unique, or the length; depths up to the first above `longest`."""
+    tested = prefixes.depths(longest)
+    counts = ", ".join(f"count(*) OVER (PARTITION BY n >= {x}, CASE WHEN n >= {x} THEN substr(h, 1, {2 * x}) END) AS c{x}" for x in tested)
+    cases = " ".join(f"WHEN n < {x} THEN n WHEN c{x} = 1 THEN {x}" for x in tested)
+    return f"WITH s AS (SELECT id, h, length(h) // 2 AS n FROM ({base(source)})), c AS (SELECT *, {counts} FROM s) SELECT id, (CASE {cases} END)::BIGINT AS dp FROM c"
+
+
+@query(ladder_sql(URLS, 2000))
+def dist_prefix_approx_urls(spark: SparkSession, d: str) -> DataFrame:
+    """FLT1 to FLT3, EXC11, EXC12"""
+    return prefixes.prefix_doubling(read_strings(spark, d, *URLS))
+
+
+@query(ladder_sql(DOCS, 1_000_000))
+def dist_prefix_approx_documents(spark: SparkSession, d: str) -> DataFrame:
+    """FLT1 over long texts"""
+    return prefixes.prefix_doubling(read_strings(spark, d, *DOCS))
+
+
+@query(f"WITH {lcp_table(PARTS)} SELECT count(*) AS strings, sum(length(h) // 2)::BIGINT AS bytes, sum(lcp)::BIGINT AS sum_lcp, sum(greatest(lcp, nxt) + 1)::BIGINT AS sum_dp, (sum(lcp) // count(*))::BIGINT AS avg_lcp FROM t")
+def dn_stats(spark: SparkSession, d: str) -> DataFrame:
+    """AGG1, AGG4 to AGG6"""
+    return prefixes.statistics(read_strings(spark, d, *PARTS))
+
+
+@query(f"SELECT row_number() OVER (ORDER BY h, id) AS rank, id FROM ({base(PARTS)})")
+def permutation_sort(spark: SparkSession, d: str) -> DataFrame:
+    """SRT2, EXC8"""
+    return prefixes.sort_by_prefixes(read_strings(spark, d, *PARTS))
+
+
+@query(f"SELECT row_number() OVER (ORDER BY h, id) AS rank, id, decode(b) AS s FROM ({base(PARTS)})")
+def permutation_fetch(spark: SparkSession, d: str) -> DataFrame:
+    """JN1, JN2: the strings in the order of the permutation"""
+    rows = read_strings(spark, d, *PARTS)
+    return prefixes.sort_by_prefixes(rows).join(rows, "id").select("rank", "id", F.decode("b", "UTF-8").alias("s"))
+
+
+@query(f"WITH {lcp_table(URLS)} SELECT rank, lcp, substr(h, 2 * lcp + 1) AS rest FROM t")
+def front_coded_suffix(spark: SparkSession, d: str) -> DataFrame:
+    """PRJ3, EXC5, EXC6"""
+    return prefixes.front_coded(read_strings(spark, d, *URLS)).select("rank", "lcp", F.hex("rest").alias("rest"))
+
+
+@query(f"WITH {lcp_table(URLS)} SELECT sum(length(h) // 2 + 1)::BIGINT AS plain, sum(length(h) // 2 + 1 - lcp)::BIGINT AS coded FROM t")
+def front_coding_bytes(spark: SparkSession, d: str) -> DataFrame:
+    """EXC3 to EXC5: bytes to move with their ends, plain and front coded"""
+    rows = prefixes.lcp_array(read_strings(spark, d, *URLS))
+    n = byte_length(F.col("b")) + 1
+    return rows.agg(F.sum(n).alias("plain"), F.sum(n - F.col("lcp")).alias("coded"))
+
+
+@query(f"SELECT row_number() OVER (ORDER BY h, id) AS rank, h FROM ({base(URLS)})")
+def front_coding_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """PRJ5: strings rebuilt from front-coded runs"""
+    return prefixes.front_decoded(prefixes.runs_for_decoding(read_strings(spark, d, *URLS))).select("rank", F.hex("b").alias("h"))
+
+
+@query(f"WITH {lcp_table(URLS)} SELECT count(*) + sum(greatest(lcp, nxt) + 1 - lcp)::BIGINT AS bytes FROM t")
+def prefix_doubling_bytes(spark: SparkSession, d: str) -> DataFrame:
+    """PRJ4, AGG5: n + D - L"""
+    rows = read_strings(spark, d, *URLS)
+    both = prefixes.lcp_array(rows).join(prefixes.distinguishing_prefix(rows).select("id", "dp"), "id")
+    return both.agg((F.count(F.lit(1)) + F.sum(F.col("dp") - F.col("lcp"))).cast("long").alias("bytes"))
+
+
+@query(f"WITH {lcp_table(PARTS)} SELECT id, lcp, (CASE WHEN lcp < 128 THEN 1 WHEN lcp < 16384 THEN 2 ELSE 3 END)::BIGINT AS size FROM t")
+def varint_lcp_size(spark: SparkSession, d: str) -> DataFrame:
+    """FN16, EXC9"""
+    return prefixes.lcp_array(read_strings(spark, d, *PARTS)).select("id", "lcp", varint_size(F.col("lcp")).alias("size"))
+
+
+@query("WITH k AS (SELECT l_partkey::BIGINT AS p, count(*) AS n, max(l_orderkey) AS m FROM lineitem GROUP BY 1) SELECT p, (2 ** floor(log2(greatest(m // n, 1))))::BIGINT AS b, (2 ** ceil(log2(n)))::BIGINT AS up FROM k")
+def golomb_b(spark: SparkSession, d: str) -> DataFrame:
+    """FN13, FN14"""
+    k = load(spark, d, "lineitem").groupBy(F.col("l_partkey").cast("long").alias("p")).agg(F.count(F.lit(1)).alias("n"), F.max("l_orderkey").alias("m"))
+    return k.select("p", golomb_parameter(F.col("m"), F.col("n")).alias("b"), next_power_of_two(F.col("n")).alias("up"))
+
+
+@query("SELECT l_partkey::BIGINT AS p, l_orderkey::BIGINT AS v, (l_orderkey - coalesce(lag(l_orderkey) OVER w, 0))::BIGINT AS gap FROM (SELECT DISTINCT l_partkey, l_orderkey FROM lineitem) WINDOW w AS (PARTITION BY l_partkey ORDER BY l_orderkey)")
+def delta_gaps(spark: SparkSession, d: str) -> DataFrame:
+    """FN15: gaps of sorted lists, the first value as it is"""
+    rows = load(spark, d, "lineitem").select(F.col("l_partkey").cast("long").alias("p"), F.col("l_orderkey").cast("long").alias("v")).distinct()
+    return rows.withColumn("gap", F.col("v") - F.coalesce(F.lag("v").over(Window.partitionBy("p").orderBy("v")), F.lit(0)))
+
+
+@query(f"SELECT md5(b) AS digest, count(*) AS copies, min(id) AS first_id FROM ({base(DOCS)}) GROUP BY b HAVING count(*) > 1")
+def duplicates_groups(spark: SparkSession, d: str) -> DataFrame:
+    """AGG7, AGG8, AGG10"""
+    return duplicates.groups(read_strings(spark, d, *DOCS)).select(F.md5("b").alias("digest"), "copies", "first_id")
+
+
+SEGMENT = ("customer", "c_mktsegment", "c_custkey")
+
+
+@query(f'WITH r AS (SELECT decode(b) AS s, row_number() OVER (ORDER BY h, id) AS rank FROM ({base(SEGMENT)})) SELECT s, min(rank) AS "begin", max(rank) AS "end" FROM r GROUP BY s HAVING count(*) > 1')
+def duplicate_ranges(spark: SparkSession, d: str) -> DataFrame:
+    """AGG9"""
+    return duplicates.ranges(read_strings(spark, d, *SEGMENT)).select(F.decode("b", "UTF-8").alias("s"), "begin", "end")
+
+
+@query(f"SELECT id FROM (SELECT id, count(*) OVER (PARTITION BY substr(h, 1, 48)) AS c FROM ({base(DOCS)}) WHERE length(h) >= 48) WHERE c > 1")
+def duplicate_prefix_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """FLT1 at depth 24"""
+    return duplicates.prefix_candidates(read_strings(spark, d, *DOCS), 24)
+
+
+@query(f"WITH w AS (SELECT id, min(id) OVER g AS one, max(id) OVER g AS other FROM ({base(DOCS)}) WHERE length(h) >= 48 WINDOW g AS (PARTITION BY substr(h, 1, 48))) SELECT id, CASE WHEN id = one THEN other ELSE one END AS witness FROM w WHERE one <> other")
+def duplicate_witness(spark: SparkSession, d: str) -> DataFrame:
+    """CHK5"""
+    return duplicates.witnesses(read_strings(spark, d, *DOCS), 24)
+
+
+@query("SELECT true AS sorted")
+def check_sorted(spark: SparkSession, d: str) -> DataFrame:
+    """WIN10, CHK1, AGG2: of the ranked names"""
+    return order.is_sorted(order.ranked(read_strings(spark, d, *PARTS)).select("rank", "b"))
+
+
+@query(f"SELECT coalesce(bool_and(ok), true) AS sorted FROM (SELECT coalesce(lag(h) OVER (ORDER BY id) <= h, true) AS ok FROM ({base(PARTS)}))")
+def check_input_order(spark: SparkSession, d: str) -> DataFrame:
+    """CHK1 on a table that isn't sorted"""
+    return order.is_sorted(read_strings(spark, d, *PARTS), "id")
+
+
+@query("SELECT true AS complete, true AS sorted")
+def complete_and_sorted(spark: SparkSession, d: str) -> DataFrame:
+    """CHK2, S14"""
+    rows = read_strings(spark, d, *PARTS)
+    return duplicates.complete_and_sorted(rows, order.ranked(rows).select("rank", "b"))
+
+
+@query("SELECT 0::BIGINT AS lost, 0::BIGINT AS added")
+def check_exhaustive(spark: SparkSession, d: str) -> DataFrame:
+    """CHK3, CHK4: the sorted strings are the input's, as multisets"""
+    rows = read_strings(spark, d, *PARTS)
+    return duplicates.same_multiset(rows.select("b"), order.ranked(rows).select("b"))
+
+
+@query(f"WITH r AS (SELECT length(h) // 2 AS w, row_number() OVER (ORDER BY h, id) AS rank, count(*) OVER () AS n FROM ({base(DOCS)})) SELECT ((rank - 1) * 8 // n)::BIGINT AS bucket, count(*) AS strings, sum(w)::BIGINT AS bytes FROM r GROUP BY 1")
+def range_buckets_by_strings(spark: SparkSession, d: str) -> DataFrame:
+    """PAR1, PAR2, PAR4, PAR6 to PAR8, JN3 to JN5"""
+    rows = order.balanced_buckets(read_strings(spark, d, *DOCS), 8)
+    return rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("strings"), F.sum(byte_length(F.col("b"))).alias("bytes"))
+
+
+@query(f"WITH r AS (SELECT length(h) // 2 AS w, sum(length(h) // 2) OVER (ORDER BY h, id ROWS UNBOUNDED PRECEDING) - length(h) // 2 AS run, sum(length(h) // 2) OVER () AS total FROM ({base(DOCS)})) SELECT (run * 8 // total)::BIGINT AS bucket, count(*) AS strings, sum(w)::BIGINT AS bytes FROM r GROUP BY 1")
+def range_buckets_by_chars(spark: SparkSession, d: str) -> DataFrame:
+    """PAR3, PAR5"""
+    rows = order.weighted_buckets(read_strings(spark, d, *DOCS), 8)
+    return rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("strings"), F.sum("w").alias("bytes"))
+
+
+@query(f"SELECT id, length(h) // 2 AS n, ('0x' || rpad(substr(h, 1, 8), 8, '0'))::BIGINT AS head, substr(h, 9) AS rest FROM ({base(PARTS)})")
+def byte_functions(spark: SparkSession, d: str) -> DataFrame:
+    """FN1, FN2, FN3, FN5 to FN7"""
+    b = F.col("b")
+    return read_strings(spark, d, *PARTS).select("id", byte_length(b).alias("n"), leading_uint(b, 4).alias("head"), F.hex(suffix_bytes(b, F.lit(4))).alias("rest"))
+
+
+DIGITS = "chr(65 + (i // 676 % 26)::INT) || chr(65 + (i // 26 % 26)::INT) || chr(65 + (i % 26)::INT)"
+
+
+@query(f"SELECT i AS id, rpad('AAAAAAA' || {DIGITS}, 40, 'Q') AS s FROM range(10000) t(i)")
+def dn_generator(spark: SparkSession, d: str) -> DataFrame:
+    """SRC9, SRC10: 10000 strings of 40 letters, a quarter of them distinguishing"""
+    return generators.ratio_strings(spark, 10_000, 40, 0.25, "Q").select("id", F.decode("b", "UTF-8").alias("s"))
+
+
+@query(f"SELECT i AS id, rpad('AAAAAAA' || {DIGITS}, CASE WHEN i < 2000 THEN 160 ELSE 40 END, 'Q') AS s FROM range(10000) t(i)")
+def skewed_dn_generator(spark: SparkSession, d: str) -> DataFrame:
+    """SRC11"""
+    return generators.ratio_strings(spark, 10_000, 40, 0.25, "Q", skewed=True).select("id", F.decode("b", "UTF-8").alias("s"))
+
+
+@query("SELECT i AS id, 'a' || reverse(i::VARCHAR) AS s FROM range(1, 10001) t(i)")
+def prefix_number(spark: SparkSession, d: str) -> DataFrame:
+    """SRC14"""
+    return generators.prefixed_numbers(spark, 10_000).select("id", F.decode("b", "UTF-8").alias("s"))
+
+
+@query(None)
+def random_strings(spark: SparkSession, d: str) -> DataFrame:
+    """SRC12, SRC13: hashes decide the letters; SQL engines' hashes differ"""
+    return generators.skewed_random_strings(spark, 2000).select("id", F.decode("b", "UTF-8").alias("s"))
+
+
+@query(None)
+def weighted_draws(spark: SparkSession, d: str) -> DataFrame:
+    """SRC15"""
+    return generators.weighted_draws(spark, 10_000, [1.0, 2.0, 5.0])
+
+
+@query("WITH s AS (SELECT n_nationkey::BIGINT AS k, pos::BIGINT AS pos, substr(n_name, pos::BIGINT) AS s FROM nation, range(1, 100) t(pos) WHERE pos <= length(n_name)) SELECT k, pos, s, row_number() OVER (ORDER BY hex(encode(s)), k, pos) AS rank FROM s")
+def suffix_sort(spark: SparkSession, d: str) -> DataFrame:
+    """SRC8, SNK2: all suffixes of the nations' names in order"""
+    names = load(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("k"), "n_name")
+    rows = text.suffixes(names, "n_name", "k").withColumn("id", F.col("k") * 1000 + F.col("pos"))
+    return order.ranked(rows).select("k", "pos", F.decode("b", "UTF-8").alias("s"), "rank")
+
+
+@query("SELECT o_orderkey::BIGINT AS k, count(*) AS n FROM (SELECT o_orderkey FROM orders UNION ALL SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT') GROUP BY 1")
+def union_all_keys(spark: SparkSession, d: str) -> DataFrame:
+    """SET1, SET2, SET4"""
+    keys = load(spark, d, "orders").select(F.col("o_orderkey").cast("long").alias("k"), "o_orderpriority")
+    return keys.select("k").unionByName(keys.filter("o_orderpriority = '1-URGENT'").select("k")).groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT l_orderkey::BIGINT AS k FROM lineitem EXCEPT ALL SELECT o_orderkey::BIGINT FROM orders")
+def except_all_indices(spark: SparkSession, d: str) -> DataFrame:
+    """SET3"""
+    return load(spark, d, "lineitem").select(F.col("l_orderkey").cast("long").alias("k")).exceptAll(load(spark, d, "orders").select(F.col("o_orderkey").cast("long").alias("k")))
+
+
+# Run metrics: events stand for the rows of a run's log.
+METRICS = """m AS (SELECT CASE user_id % 4 WHEN 0 THEN 1 WHEN 1 THEN 160 WHEN 2 THEN 320 ELSE 640 END::BIGINT AS pes, event_type AS operation,
+ 'phase' || (event_id % 3)::VARCHAR AS phase, (event_id % 5)::BIGINT AS iteration, (event_id % 7)::BIGINT AS round, (abs(value) * 100)::BIGINT + 1 AS value, event_id FROM events WHERE value IS NOT NULL)"""
+
+
+def metric_rows(spark: SparkSession, d: str) -> DataFrame:
+    e = load(spark, d, "events").filter("value is not null")
+    k = F.col("user_id") % 4
+    pes = F.when(k == 0, 1).when(k == 1, 160).when(k == 2, 320).otherwise(640).cast("long")
+    value = F.rint(F.abs("value") * 100).cast("long") + 1
+    return e.select(pes.alias("pes"), F.col("event_type").alias("operation"), F.concat(F.lit("phase"), (F.col("event_id") % 3).cast("string")).alias("phase"), (F.col("event_id") % 5).cast("long").alias("iteration"), (F.col("event_id") % 7).cast("long").alias("round"), value.alias("value"), "event_id")
+
+
+def means(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.selected(metric_rows(spark, d), {}).groupBy("pes", "operation").agg(F.avg("value").alias("value"))
+
+
+MEANS = f"WITH {METRICS}, a AS (SELECT pes, operation, avg(value) AS value FROM m WHERE iteration <> 0 GROUP BY 1, 2)"
+
+
+@query(f"{MEANS} SELECT pes, operation, round(value, 6) AS value FROM a")
+def metrics_mean(spark: SparkSession, d: str) -> DataFrame:
+    """AGG14, FLT4, PRJ9"""
+    return means(spark, d).withColumn("value", F.round("value", 6))
+
+
+@query(f"WITH {METRICS} SELECT pes, operation, min(value) AS least, max(value) AS most, round(avg(value), 6) AS mean FROM m GROUP BY 1, 2")
+def metrics_timer_reduce(spark: SparkSession, d: str) -> DataFrame:
+    """AGG1, AGG11"""
+    return metric_rows(spark, d).groupBy("pes", "operation").agg(F.min("value").alias("least"), F.max("value").alias("most"), F.round(F.avg("value"), 6).alias("mean"))
+
+
+@query(f"WITH {METRICS}, l AS (SELECT phase, sum(value) AS v FROM m GROUP BY phase, iteration) SELECT phase, sum(v)::BIGINT AS value FROM l GROUP BY phase")
+def metrics_comm_volume(spark: SparkSession, d: str) -> DataFrame:
+    """AGG12, AGG13"""
+    return metrics.two_level(metric_rows(spark, d), ["phase"], ["iteration"], "sum", "sum")
+
+
+@query(f"WITH {METRICS}, t AS (SELECT operation, count(*) AS n, sum(value)::BIGINT AS total, avg(value) AS mean, stddev_samp(value) AS sd FROM m GROUP BY 1) SELECT t.operation, n, total, round(mean, 6) AS mean, round(sd, 4) AS sd, round(sum(abs(m.value - mean)), 4) AS away FROM t JOIN m USING (operation) GROUP BY ALL")
+def metrics_spread(spark: SparkSession, d: str) -> DataFrame:
+    """AGG15, AGG19"""
+    s = metrics.spread(metric_rows(spark, d), ["operation"])
+    return s.select("operation", "n", "total", F.round("mean", 6).alias("mean"), F.round("sd", 4).alias("sd"), F.round("away", 4).alias("away"))
+
+
+@query(f"WITH {METRICS}, p AS (SELECT pes, phase, avg(value) AS v FROM m GROUP BY 1, 2) SELECT pes, round(sum(v), 6) AS value FROM p GROUP BY pes")
+def metrics_mean_then_sum(spark: SparkSession, d: str) -> DataFrame:
+    """AGG16"""
+    return metrics.two_level(metric_rows(spark, d), ["pes"], ["phase"], "mean", "sum").withColumn("value", F.round("value", 6))
+
+
+@query(f"WITH {METRICS}, p AS (SELECT pes, iteration, sum(value) AS v FROM m WHERE operation NOT IN ('view') GROUP BY 1, 2) SELECT pes, round(avg(v), 6) AS value FROM p GROUP BY pes")
+def metrics_sum_then_mean(spark: SparkSession, d: str) -> DataFrame:
+    """AGG17, FLT7"""
+    rows = metric_rows(spark, d).filter(~F.col("operation").isin("view"))
+    return metrics.two_level(rows, ["pes"], ["iteration"], "sum", "mean").withColumn("value", F.round("value", 6))
+
+
+@query(f"WITH {METRICS} SELECT pes, iteration, 'unified' AS operation, sum(value)::BIGINT AS value FROM m WHERE starts_with(operation, 'c') GROUP BY 1, 2")
+def metrics_unified(spark: SparkSession, d: str) -> DataFrame:
+    """AGG18, FLT5, FLT8, FN20"""
+    rows = metric_rows(spark, d).filter(F.col("operation").startswith("c"))
+    return rows.groupBy("pes", "iteration").agg(F.sum("value").alias("value")).withColumn("operation", F.lit("unified"))
+
+
+@query(f"{MEANS}, b AS (SELECT *, max(CASE WHEN pes = 160 THEN value END) OVER (PARTITION BY operation) AS base FROM a) SELECT pes, operation, round(base / value, 6) AS speed_up, round(base / value / pes, 9) AS efficiency FROM b")
+def metrics_speed_up(spark: SparkSession, d: str) -> DataFrame:
+    """WIN9, JN7"""
+    s = metrics.speed_up(means(spark, d), ["operation"], "pes", 160)
+    return s.select("pes", "operation", F.round("speed_up", 6).alias("speed_up"), F.round("efficiency", 9).alias("efficiency"))
+
+
+@query(f"{MEANS}, b AS (SELECT *, min(value) OVER (PARTITION BY pes) AS best FROM a) SELECT pes, operation, round(value / best, 6) AS ratio, value = best AS is_best FROM b")
+def metrics_best_of(spark: SparkSession, d: str) -> DataFrame:
+    """AGG20, JN8"""
+    return metrics.best_of(means(spark, d), ["pes"], "operation").select("pes", "operation", F.round("ratio", 6).alias("ratio"), "is_best")
+
+
+@query(f"{MEANS} SELECT operation, " + ", ".join(f'round(max(CASE WHEN pes = {p} THEN value END), 2) AS "{p}"' for p in (1, 160, 320, 640)) + " FROM a GROUP BY operation")
+def metrics_pivot(spark: SparkSession, d: str) -> DataFrame:
+    """AGG24, SNK5"""
+    return metrics.pivoted(means(spark, d), "operation", "pes", [1, 160, 320, 640])
+
+
+@query(f"WITH {METRICS}, q AS (SELECT operation, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM m GROUP BY 1) SELECT operation, min(value) AS low, max(value) AS high FROM m JOIN q USING (operation) WHERE value BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) GROUP BY 1")
+def metrics_whiskers(spark: SparkSession, d: str) -> DataFrame:
+    """AGG22"""
+    return metrics.whiskers(metric_rows(spark, d), ["operation"])
+
+
+CUTS = [0, *(2**k for k in range(1, 19))]
+
+
+@query(f"WITH {METRICS}, c AS (SELECT unnest({CUTS})::BIGINT AS cut) SELECT cut, coalesce((SELECT sum(value) FROM m WHERE value >= cut), 0)::BIGINT AS value FROM c")
+def metrics_tail_sums(spark: SparkSession, d: str) -> DataFrame:
+    """AGG23"""
+    return metrics.tail_sums(metric_rows(spark, d), "value", F.col("value"), CUTS)
+
+
+@query(f"WITH {METRICS}, h AS (SELECT round, sum(value)::BIGINT AS v FROM m GROUP BY 1) SELECT round, v, (sum(v) OVER (ORDER BY round ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::BIGINT AS suffix_sum FROM h")
+def metrics_suffix_sum(spark: SparkSession, d: str) -> DataFrame:
+    """WIN6, WIN8: over a histogram of seven rounds"""
+    return metrics.suffix_sums(metric_rows(spark, d).groupBy("round").agg(F.sum("value").alias("v")), "round", "v")
+
+
+@query(f"WITH {METRICS} SELECT event_id::BIGINT AS event_id, phase, operation, (row_number() OVER (PARTITION BY phase, operation, iteration ORDER BY event_id) - 1)::BIGINT AS counter FROM m")
+def metrics_counter(spark: SparkSession, d: str) -> DataFrame:
+    """WIN7"""
+    w = Window.partitionBy("phase", "operation", "iteration").orderBy("event_id")
+    return metric_rows(spark, d).select(F.col("event_id").cast("long").alias("event_id"), "phase", "operation", (F.row_number().over(w) - 1).cast("long").alias("counter"))
+
+
+@query(f"WITH {METRICS} SELECT count(DISTINCT pes) AS pes, count(DISTINCT operation) > 1 AS several FROM m")
+def metrics_distinct(spark: SparkSession, d: str) -> DataFrame:
+    """AGG21"""
+    return metric_rows(spark, d).agg(F.countDistinct("pes").alias("pes"), (F.countDistinct("operation") > 1).alias("several"))
+
+
+@query(f"WITH {METRICS} SELECT concat_ws(' ', 'RESULT', 'pes=' || pes, 'operation=' || operation, 'value=' || value) AS value FROM m WHERE iteration = 1 AND phase = 'phase1'")
+def metrics_result_text(spark: SparkSession, d: str) -> DataFrame:
+    """SNK3, SRC17, FLT6, FLT9"""
+    return metrics.result_text(metrics.selected(metric_rows(spark, d), {"iteration": 1, "phase": "phase1"}).select("pes", "operation", "value"))
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)

@@ -63,9 +63,9 @@ def varint_size(v: Column) -> Column:
 def golomb_parameter(largest: Column, count: Column) -> Column:
     """The power of two not above largest / count, 1 at least (FN14)."""
     ratio = F.floor(largest / F.greatest(count, F.lit(1)))
-    return F.when(ratio < 1, F.lit(1).cast("long")).otherwise(F.shiftleft(F.lit(1).cast("long"), (F.length(F.bin(ratio.cast("long"))) - 1).cast("int")))
+    return F.when(ratio < 1, F.lit(1).cast("long")).otherwise(F.pow(F.lit(2), F.length(F.bin(ratio.cast("long"))) - 1).cast("long"))
 
 
 def next_power_of_two(v: Column) -> Column:
     """The least power of two not below v (FN13)."""
-    return F.when(v <= 1, F.lit(1).cast("long")).otherwise(F.shiftleft(F.lit(1).cast("long"), F.length(F.bin((v - 1).cast("long"))).cast("int")))
+    return F.when(v <= 1, F.lit(1).cast("long")).otherwise(F.pow(F.lit(2), F.length(F.bin((v - 1).cast("long")))).cast("long"))

@@ -1,0 +1 @@
+"""Empty on purpose: the operators covered here are all batch operators."""
