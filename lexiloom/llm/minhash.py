@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiloom.llm.groups import block_pairs, components, fixed_rows, forest, repeated
-from lexiloom.llm.shared import materialise
+from lexiloom.llm.shared import materialise, small_batches
 
 ROWS, MISS = 4, 1e-6
 SAMPLES, SKETCH_BITS = 512, 1024
@@ -206,6 +206,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     nothing, component_id is null and they are kept. Each input row gives one row; an empty table gives none; extra
     columns are ignored.
     """
+    small_batches(docs.sparkSession)
     threshold = num / den
     found = materialise(features(docs, words, bands_for(threshold, rows), rows), "near-features")
     named = found.filter("digest is not null and doc_id is not null")

@@ -16,8 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiloom.llm.shared import cell_of, seeded
-from lexiloom.llm.tokens import WordCache, batches, with_end
+from lexiloom.llm.shared import cell_of, seeded, small_batches
+from lexiloom.llm.tokens import batches, shared_cache, with_end
 
 SEQUENCE, GROUP_DOCS = 4096, 1024
 
@@ -66,7 +66,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 2, length: int = SEQUE
     def task(chunks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = None
         for chunk in chunks:
-            cache = cache or WordCache(tokenizer, keeps_space)
+            cache = cache or shared_cache(tokenizer, keeps_space)
             doc_ids, texts = chunk.column("doc_id").to_pylist(), chunk.column("text").to_pylist()
             more = [chunk.column(c) for c in carried]
             for a, b in batches(texts):
@@ -82,6 +82,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 2, length: int = SEQUE
                 columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([*columns, *(c.take(taken) for c in more)], names=names)
 
+    small_batches(docs.sparkSession)
     rows = docs.select(docs["doc_id"], F.coalesce(docs["text"], F.lit("")).alias("text"), *(docs[c] for c in carried))
     kept = "".join(f", {f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[2:])
     return rows.mapInArrow(task, f"doc_id long, start long, length int, doc_tokens long, ids binary{kept}")

@@ -51,5 +51,10 @@ def text_or_empty(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 
 
+def small_batches(spark: SparkSession, bytes_each: int = 8 << 20) -> None:
+    """Bounds the Arrow batches that tasks hand to Python by bytes: ten thousand long texts can be gigabytes."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(bytes_each))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

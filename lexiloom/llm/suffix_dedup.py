@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from lexiloom.llm.groups import block_pairs, units
 from lexiloom.llm.minhash import _BASE, _BYTE, _INVERSE, mixed
-from lexiloom.llm.shared import materialise
+from lexiloom.llm.shared import materialise, small_batches
 from lexiloom.llm.suffix_array import repeated_windows
 
 LENGTH, GRAM = 400, 32
@@ -177,6 +177,7 @@ def repeated_parts(dealt: DataFrame, length: int) -> DataFrame:
 
 def repeated_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(k1, k2, spans): the spans of each row of keyed(docs) that repeated strings of `length` bytes cover, merged."""
+    small_batches(docs.sparkSession)
     rows = keyed(docs)
     segments = materialise(segment_table(rows, length, gram), "suffix-segments")
     kinds = segments.groupBy("anchor", "d1", "d2").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("k1", "k2", "start", "windows", "lead")).alias("one"))

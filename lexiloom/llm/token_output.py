@@ -24,8 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexiloom.llm.shared import materialise, scratch_path
-from lexiloom.llm.tokens import WordCache, batches, with_end
+from lexiloom.llm.shared import materialise, scratch_path, small_batches
+from lexiloom.llm.tokens import batches, shared_cache, with_end
 
 MAGIC, VERSION, BLOCK, ESCAPE = b"LXS8", 1, 1024, 15
 #: Selector: (ids in a word, bits of each).
@@ -210,6 +210,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 0, path: str | N
     in the order of a hash of their texts. An empty table gives an empty manifest.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     path = path or scratch_path(spark, "tokens")
     path = path if "://" in path else f"file://{path}"
     rows = docs.select(docs["doc_id"], F.coalesce(docs["text"], F.lit("")).alias("text"))
@@ -229,7 +230,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 0, path: str | N
                 part = chunk.column("part")[0].as_py()
                 name = f"part-{part:06d}-{uuid.uuid4().hex}.lxs8"
                 stream = store.open_output_stream(f"{folder}/{name}")
-                writer, cache = TokenWriter(stream), WordCache(tokenizer, keeps_space)
+                writer, cache = TokenWriter(stream), shared_cache(tokenizer, keeps_space)
             ids, texts = chunk.column("doc_id").to_pylist(), chunk.column("text").to_pylist()
             for a, b in batches(texts):
                 writer.add(ids[a:b], *with_end(*cache.encode(texts[a:b]), end_id))

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 #: Pre-tokens that a worker remembers; beyond it the cache starts anew.
 CACHE_WORDS = 300_000
 #: The characters of text encoded at a time.
-BATCH_CHARS = 3_000_000
+BATCH_CHARS = 1_000_000
 _SPACE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _TIGHT, _MARKED = f"{_SPACE} {_SPACE}", r"  |<\||[\x00-\x02]"
 #: Letters of the Latin-1 block: any of them is a letter to the pre-tokenizers, and stays one in lower case.
@@ -102,6 +102,17 @@ class WordCache:
         return flat, per
 
 
+_SHARED: dict[tuple[str, bool], WordCache] = {}
+
+
+def shared_cache(path: str, keeps_space: bool) -> WordCache:
+    """The worker's cache for a vocabulary: its next task goes on with it. A worker keeps one."""
+    if (path, keeps_space) not in _SHARED:
+        _SHARED.clear()
+        _SHARED[path, keeps_space] = WordCache(path, keeps_space)
+    return _SHARED[path, keeps_space]
+
+
 def _flat(values: np.ndarray, lens: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The values of the chosen runs, where run i is lens[i] long; and the lengths of the chosen."""
     offs, own = (np.cumsum(lens) - lens)[chosen], lens[chosen]

@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexiloom.llm.shared import materialise, unit
+from lexiloom.llm.shared import materialise, small_batches, unit
 
 #: Labelled examples of each class (on average) and kept terms: the bounds of what is fitted.
 EXAMPLES, TERMS = 20_000, 4_000
@@ -192,6 +192,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, neigh
     Null and empty texts have no terms. Without toxic examples every score is 0. A document is never its own neighbour; equal documents with other ids are. Each input row gives
     one row, an empty table none; extra columns are ignored.
     """
+    small_batches(docs.sparkSession)
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("label")).filter("doc_id is not null and label in (0, 1)")
     learnt = usable.groupBy("doc_id").agg(F.max("label").alias("label")).filter(~held_out(F.col("doc_id")))
     sizes = {r["label"]: r["n"] for r in learnt.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
