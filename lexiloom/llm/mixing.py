@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from lexiloom.llm.shared import cell_of, materialise, seeded, unsigned
 
 #: Rows of a block, and rows that one task numbers on average.
-BLOCK_ROWS, TASK_ROWS = 32, 20_000
+BLOCK_ROWS, TASK_ROWS = 32, 5_000
 #: The production mix of the queries; the sources that aren't listed share one stream.
 WEIGHTS = {"src0": 6, "src1": 3, "src2": 3, "src3": 2}
 OTHER = "(other)"

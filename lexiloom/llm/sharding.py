@@ -20,7 +20,7 @@ from lexiloom.llm.shared import cell_of, materialise, seeded, text_or_empty, uni
 
 FAN = 1024
 #: Rows that a source partition, and a block of a shard, hold on average.
-PARTITION_ROWS = 20_000
+PARTITION_ROWS = 5_000
 
 
 def hypergeometric(whole: Column, good: Column, drawn: Column, u: Column) -> Column:
