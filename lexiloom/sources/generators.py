@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 
 def digits(i: Column, count: int) -> Column:
-    """The last `count` digits of i in base 26, as letters from A, most significant first."""
-    return F.concat(*[F.chr(65 + F.pmod(F.floor(i / F.lit(26**k)), F.lit(26))) for k in range(count - 1, -1, -1)])
+    """The last `count` digits of i in base 26, as letters from A, most significant first; those from the 14th on are A."""
+    low = [F.chr(65 + F.pmod(F.floor(i / F.lit(26**k)), F.lit(26))) for k in range(min(count, 13) - 1, -1, -1)]
+    return F.concat(F.lit("A" * (count - len(low))), *low)
 
 
 def ratio_shape(n: int, length: int, ratio: float) -> tuple[int, int]:
