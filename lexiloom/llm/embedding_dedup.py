@@ -35,8 +35,8 @@ class Codes:
         rng = np.random.default_rng(seed)
         self.dim, self.bits = sample.shape[1], bits
         self.mean = sample.mean(axis=0)
-        _, _, axes = np.linalg.svd(sample - self.mean, full_matrices=True)
-        self.axes = axes.T
+        centred = sample - self.mean
+        self.axes = np.linalg.eigh(centred.T @ centred)[1][:, ::-1]
         turned = (sample - self.mean) @ self.axes
         noise = rng.standard_normal(sample.shape)
         noise -= (noise * sample).sum(axis=1, keepdims=True) * sample
