@@ -16,10 +16,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Pre-tokens that a worker remembers; beyond it the cache starts anew.
-CACHE_WORDS = 300_000
+#: Pre-tokens of a generation of the cache; a worker remembers two, so that frequent ones outlive a change.
+CACHE_WORDS = 150_000
 #: The characters of text encoded at a time.
-BATCH_CHARS = 1_000_000
+BATCH_CHARS = 4_000_000
 _SPACE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _TIGHT, _MARKED = f"{_SPACE} {_SPACE}", r"  |<\||[\x00-\x02]"
 #: Letters of the Latin-1 block: any of them is a letter to the pre-tokenizers, and stays one in lower case.
@@ -49,6 +49,7 @@ class WordCache:
         self.tokenizer, self.keeps, self.limit = Tokenizer.from_file(path), keeps_space, limit
         self.model = self.tokenizer.model
         self.words: dict[str, bytes] = {}  # ids as 32-bit numbers: a fifth of a tuple's room
+        self.older: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -64,21 +65,31 @@ class WordCache:
         return pc.split_pattern(pc.if_else(plain, with_lead(fine), pc.binary_join_element_wise("\x02", with_lead(units), "")), "\x01")
 
     def _learn(self, new: list[str]) -> None:
-        tokenize, table, keeps, words = self.model.tokenize, _LETTERS, self.keeps, self.words
+        tokenize, table, space, keeps, words = self.model.tokenize, _LETTERS, _LETTERS[ord(" ")], self.keeps, self.words
         odd = [w for w in new if w[:1] == "\x02"]
         for w, ids in zip(odd, self._ids([w[1:] for w in odd]), strict=True):
             words[w] = array("I", ids).tobytes()
         for w in new:
             if w[:1] != "\x02":
                 letters = w if keeps else w.lower()
-                words[w] = array("I", [t.id for t in tokenize(letters.encode().decode("latin-1").translate(table))]).tobytes()
+                # of ASCII, a pre-token holds letters, one mark and a space, or is a line break
+                letters = letters.replace(" ", space) if letters.isascii() and letters != "\n" else letters.encode().decode("latin-1").translate(table)
+                words[w] = array("I", [t.id for t in tokenize(letters)]).tobytes()
+
+    def _known(self, names: list[str]) -> list[bytes]:
+        """The ids of each pre-token, learnt where they are new."""
+        if len(self.words) > self.limit:
+            self.older, self.words = self.words, {}
+        words, older = self.words, self.older
+        new = [w for w in names if w not in words]
+        words.update((w, older[w]) for w in new if w in older)
+        self._learn([w for w in new if w not in older])
+        return [words[w] for w in names]
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after another, and how many each has."""
         if not texts:
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        if len(self.words) > self.limit:
-            self.words.clear()
         array = pa.array(texts, pa.string())
         odd = pc.match_substring_regex(array, f"{_TIGHT}|{_MARKED}" if self.keeps else r"<\||[\x00-\x02]")
         # the first unit of a text has no space before it; it is marked by a zero character
@@ -87,9 +98,9 @@ class WordCache:
         coded = split.flatten().dictionary_encode()
         pieces = self._pieces(coded.dictionary)
         words = pieces.flatten().dictionary_encode()
-        names = words.dictionary.to_pylist()
-        self._learn([w for w in names if w not in self.words])
-        ids = [self.words[w] for w in names]
+        # one string that Python splits: faster than a scalar for each
+        together = pa.ListArray.from_arrays([0, len(words.dictionary)], words.dictionary)
+        ids = self._known(pc.binary_join(together, "\x01")[0].as_py().split("\x01"))
         # from words to the pieces of a unit, and from units to texts
         flat, lens = _flat(np.frombuffer(b"".join(ids), np.uint32), np.fromiter(map(len, ids), np.int64, len(ids)) // 4, words.indices.to_numpy())
         flat, lens = _flat(flat, np.add.reduceat(lens, pieces.offsets.to_numpy()[:-1]), coded.indices.to_numpy())
