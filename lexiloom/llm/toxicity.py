@@ -1,26 +1,31 @@
 """Operator 10, toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Terms are words in lower case and their beginnings of PREFIXES letters. From labelled examples (labels of documents
-outside the held-out fold only, EXAMPLES of each class on average, chosen by a hash of doc_id) the terms are kept whose
-share of toxic documents is surely high; their idf counts all documents. A document is the TF-IDF vector of its kept
-terms. The index holds, for each term, the postings of the examples in blocks, and each block's greatest weight: the
-weights give a bound for every block of examples, blocks are scored in falling order of their bounds, and the search
-ends when no bound reaches the k-th best cosine, so the neighbours are exact. Their labels, weighted by cosine, and a
-prior give the score; the neighbours and terms are its evidence. Documents without a kept term get the share of toxic
-examples among examples without one.
-
-Everything a task holds is bounded by EXAMPLES, TERMS and one batch of texts.
+Examples are labels of documents outside the held-out fold only, EXAMPLES of each class on average, chosen by a hash of
+doc_id. A document's vector has two parts of equal weight: the words in lower case that any example has, and the marked
+terms, words and their beginnings of PREFIXES letters whose share of toxic examples is surely high. Both are TF-IDF
+vectors whose idf counts all documents; a document without a marked term has the first part alone. So wording that no
+marked term covers has neighbours too, and a copy of an example has a cosine of 1.
+
+The index holds the postings of the examples. Words of few examples are scored in full, and their k-th best score is a
+floor of the k-th best cosine; the HEAVY commonest terms lie in blocks of examples with the greatest weight of each
+term. Both give a bound for every block, and each block is scored whose bound reaches the floor, so the neighbours are
+exact. Their labels, weighted by cosine, and a prior give the score; the neighbours and marked terms are its evidence.
+Documents without any term get the share of toxic examples among examples without one.
+
+Everything a task holds is bounded by the texts of the examples, TERMS and one batch of texts.
 """
 
 from __future__ import annotations
 
-import math
+import os
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +36,7 @@ EXAMPLES, TERMS = 20_000, 4_000
 PREFIXES = (4, 5, 6, 7)
 #: A term is kept from so many toxic examples, or such a share of them, on if the lower bound of its share of toxic documents exceeds LEAST.
 MIN_TOXIC, MIN_SHARE, LEAST = 5, 0.01, 0.5
-NEIGHBOURS, PRIOR, INDEX_BLOCK = 16, 0.5, 128
+NEIGHBOURS, PRIOR, INDEX_BLOCK, HEAVY, QUERIES = 16, 0.5, 128, 512, 64
 BATCH_CHARS, CACHE_UNITS = 2_000_000, 400_000
 _EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 
@@ -93,103 +98,192 @@ def kept_terms(counts: DataFrame, toxic_rate: float, clean_rate: float, toxic: f
     return [r["term"] for r in sure.orderBy(F.desc(gain), "term").limit(TERMS).select("term").collect()]
 
 
-class TermHits:
-    """Finds the kept terms of texts, each distinct unit of a batch once."""
+def word_key(word: str) -> int:
+    """64 bits of a word, the same in all Python workers: Spark gives them one hash seed."""
+    return hash(word)
 
-    def __init__(self, terms: list[str]):
-        self.number, self.seen = {t: i for i, t in enumerate(terms)}, {}
 
-    def _of(self, unit_text: str) -> tuple[int, ...]:
-        got = self.seen.get(unit_text)
-        if got is None:
-            number = self.number
-            got = self.seen[unit_text] = tuple([number[t] for t in terms_of(unit_text) if t in number])
-        return got
+def _same_seed() -> None:
+    if os.environ.get("PYTHONHASHSEED", "random") == "random":
+        raise RuntimeError("Python workers need one PYTHONHASHSEED")
 
-    def find(self, texts: list[str]) -> list[Counter]:
-        if len(self.seen) > CACHE_UNITS:
-            self.seen.clear()
+
+def word_keys(counts: DataFrame) -> np.ndarray:
+    """The sorted keys of the words of term_counts()."""
+
+    def task(chunks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _same_seed()
+        for chunk in chunks:
+            yield pa.RecordBatch.from_arrays([pa.array([word_key(w) for w in chunk.column("term").to_pylist()], pa.int64())], names=["key"])
+
+    return np.unique(counts.filter(~F.col("term").startswith("^")).select("term").mapInArrow(task, "key long").toArrow().column("key").to_numpy())
+
+
+class TermHits:
+    """Finds the terms of texts, each distinct unit of a batch once: numbers of words, then those of marked terms."""
+
+    def __init__(self, words: np.ndarray, terms: list[str]):
+        _same_seed()
+        self.words, self.size = words, len(words) + len(terms)  # words: sorted keys
+        self.marked, self.seen = {t: len(words) + i for i, t in enumerate(terms)}, {}
+        self.begin = {t[1 : 1 + PREFIXES[0]] for t in terms if t[0] == "^"}
+
+    def _learn(self, units: list[str]) -> None:
+        new, plain, owner, marked = [u for u in units if u not in self.seen], [], [], {}
+        for i, u in enumerate(new):
+            for raw in u.split():
+                word = raw.strip(_EDGES).lower()
+                if len(word) > 1:
+                    plain.append(word)
+                    owner.append(i)
+                    if word in self.marked or word[: PREFIXES[0]] in self.begin:
+                        marked.setdefault(i, []).extend([self.marked[t] for t in terms_of(raw) if t in self.marked])
+        keys = np.fromiter(map(word_key, plain), np.int64, len(plain))
+        at = np.minimum(np.searchsorted(self.words, keys), max(0, len(self.words) - 1))
+        known = np.flatnonzero(self.words[at] == keys) if len(self.words) else np.zeros(0, np.int64)
+        self.seen.update(dict.fromkeys(new, ()))
+        for k, x in zip(known.tolist(), at[known].tolist(), strict=True):
+            self.seen[new[owner[k]]] += (x,)
+        for i, m in marked.items():
+            self.seen[new[i]] += tuple(m)
+
+    def find(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(terms, tf) of each text, sorted by term."""
         split = pc.split_pattern(pa.array(texts, pa.string()), " ")
         coded = split.flatten().dictionary_encode()
-        hits = [self._of(u) for u in coded.dictionary.to_pylist()]
-        any_hit = np.fromiter((bool(h) for h in hits), bool, len(hits))
+        units = coded.dictionary.to_pylist()
+        if len(self.seen) + len(units) > CACHE_UNITS:
+            self.seen.clear()
+        self._learn(units)
+        hits = [self.seen[u] for u in units]
+        sizes = np.fromiter(map(len, hits), np.int64, len(hits))
+        flat, first = np.fromiter(chain.from_iterable(hits), np.int64, int(sizes.sum())), np.cumsum(sizes) - sizes
         indices = coded.indices.to_numpy()
-        places = np.flatnonzero(any_hit[indices])
-        rows = np.searchsorted(split.offsets.to_numpy(), places, side="right") - 1
-        out = [Counter() for _ in texts]
-        for r, u in zip(rows.tolist(), indices[places].tolist(), strict=True):
-            out[r].update(hits[u])
-        return out
+        each = sizes[indices]
+        rows = np.repeat(np.repeat(np.arange(len(texts)), np.diff(split.offsets.to_numpy())), each)
+        terms = flat[np.repeat(first[indices] - (np.cumsum(each) - each), each) + np.arange(int(each.sum()))]
+        cells, tf = np.unique(rows * max(1, self.size) + terms, return_counts=True)
+        cuts = np.searchsorted(cells, np.arange(len(texts) + 1) * max(1, self.size))
+        terms = cells % max(1, self.size)
+        return [(terms[a:b], tf[a:b]) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
 
 
-def hit_table(docs: DataFrame, terms: list[str]) -> DataFrame:
-    """(doc_id, terms, tf) of each document, sorted by term."""
+def document_counts(docs: DataFrame, known: Broadcast) -> DataFrame:
+    """(term, n): in how many documents (text) each term occurs, by number."""
 
     def task(chunks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = TermHits(terms)
+        finder = TermHits(*known.value)
+        n = np.zeros(finder.size, np.int64)
         for chunk in chunks:
-            ids, texts = chunk.column("doc_id"), chunk.column("text").to_pylist()
+            texts = chunk.column("text").to_pylist()
             for a, b in _batches(texts):
-                found = [sorted(c.items()) for c in finder.find(texts[a:b])]
-                columns = [ids.slice(a, b - a), *(pa.array([[x[k] for x in f] for f in found], pa.list_(pa.int32())) for k in (0, 1))]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "terms", "tf"])
+                for t, _ in finder.find(texts[a:b]):
+                    n[t] += 1
+        terms = np.flatnonzero(n)
+        for a in range(0, len(terms), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(terms[a : a + 100_000]), pa.array(n[terms[a : a + 100_000]])], names=["term", "n"])
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text")).mapInArrow(task, "doc_id long, terms array<int>, tf array<int>")
+    return docs.select("text").mapInArrow(task, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+
+
+def example_hits(own: DataFrame, known: Broadcast) -> DataFrame:
+    """(doc_id, label, terms, tf) of each example, the last two as bytes of int32."""
+
+    def task(chunks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        finder = TermHits(*known.value)
+        for chunk in chunks:
+            texts = chunk.column("text").to_pylist()
+            for a, b in _batches(texts):
+                found = finder.find(texts[a:b])
+                columns = [chunk.column(c).slice(a, b - a) for c in ("doc_id", "label")]
+                columns += [pa.array([f[k].astype(np.int32).tobytes() for f in found], pa.binary()) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "label", "terms", "tf"])
+
+    return own.select("doc_id", "label", "text").mapInArrow(task, "doc_id long, label int, terms binary, tf binary")
 
 
 class BlockMaxIndex:
-    """Postings of unit vectors by term, with the greatest weight of each term in each block of examples."""
+    """Postings of unit vectors by term; the commonest terms by blocks of examples, with their greatest weight in each."""
 
     def __init__(self, ids: np.ndarray, labels: np.ndarray, weights: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int):
         # examples that share their heaviest term lie together, so that few blocks have high bounds for a query
         order = sorted(range(len(ids)), key=lambda i: (int(vectors[i][0][vectors[i][1].argmax()]), int(ids[i])))
         self.ids, self.labels, self.weights = ids[order], labels[order], weights[order]
-        self.blocks = -(-len(order) // INDEX_BLOCK)
+        self.blocks = max(1, -(-len(order) // INDEX_BLOCK))
         lens = [len(vectors[i][0]) for i in order]
-        term = np.concatenate([vectors[i][0] for i in order]) if order else np.zeros(0, np.int64)
-        value = np.concatenate([vectors[i][1] for i in order]) if order else np.zeros(0)
-        row = np.repeat(np.arange(len(order)), lens)
-        by = np.lexsort((row, term))
+        term = np.concatenate([vectors[i][0] for i in order], dtype=np.int32, casting="same_kind") if order else np.zeros(0, np.int32)
+        value = np.concatenate([vectors[i][1] for i in order], dtype=np.float32, casting="same_kind") if order else np.zeros(0, np.float32)
+        row = np.repeat(np.arange(len(order), dtype=np.int32), lens)
+        count = np.bincount(term, minlength=n_terms)
+        heavy = np.argsort(-count, kind="stable")[:HEAVY]
+        self.place = np.full(n_terms, -1, np.int32)  # of a heavy term
+        self.place[heavy] = np.arange(len(heavy))
+        dense = self.place[term] >= 0
+        self.heavy = np.zeros((self.blocks, len(heavy), INDEX_BLOCK), np.float32)
+        self.heavy[row[dense] // INDEX_BLOCK, self.place[term[dense]], row[dense] % INDEX_BLOCK] = value[dense]
+        self.most = self.heavy.max(axis=2).T.copy() if len(heavy) else np.zeros((0, self.blocks), np.float32)
+        term, value, row = term[~dense], value[~dense], row[~dense]
+        by = np.argsort(term, kind="stable")
         self.row, self.value = row[by], value[by]
-        cell = term[by] * max(1, self.blocks) + self.row // INDEX_BLOCK
-        self.start = np.searchsorted(cell, np.arange(n_terms * max(1, self.blocks) + 1))
-        self.most = np.zeros(n_terms * max(1, self.blocks))
-        np.maximum.at(self.most, cell, self.value)
-        self.most = self.most.reshape(n_terms, -1)
+        self.start = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=n_terms))])
+
+    def _rare(self, terms: np.ndarray, values: np.ndarray) -> np.ndarray:
+        """The whole score of each example by the terms that aren't heavy."""
+        s, n = self.start[terms], self.start[terms + 1] - self.start[terms]
+        long = n > 200
+        v, s_few, n_few = values[~long], s[~long], n[~long]
+        at = np.repeat(s_few - (np.cumsum(n_few) - n_few), n_few) + np.arange(int(n_few.sum()))
+        out = np.bincount(self.row[at], self.value[at] * np.repeat(v, n_few), minlength=self.blocks * INDEX_BLOCK).astype(float)
+        for a, k, x in zip(s[long].tolist(), n[long].tolist(), values[long].tolist(), strict=True):
+            out[self.row[a : a + k]] += x * self.value[a : a + k]
+        return out.reshape(self.blocks, INDEX_BLOCK)
+
+    def nearest_of(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, skips: list) -> list[tuple[np.ndarray, np.ndarray]]:
+        """nearest() for each of the queries; blocks are scored for the queries whose bounds reach them."""
+        score = np.empty((len(queries), self.blocks, INDEX_BLOCK))
+        common = np.zeros((len(queries), self.heavy.shape[1]), np.float32)
+        least = np.zeros(len(queries))
+        for i, ((terms, values), skip) in enumerate(zip(queries, skips, strict=True)):
+            place = self.place[terms]
+            dense = place >= 0
+            common[i, place[dense]] = values[dense]
+            score[i] = self._rare(terms[~dense], values[~dense])
+            if skip is not None:
+                score[i].ravel()[np.flatnonzero(self.ids == skip)] = -np.inf
+            if len(self.ids) > k:  # the k-th best cosine is no less than that of the rare terms alone
+                least[i] = max(0.0, np.partition(score[i].ravel(), -k)[-k] - 1e-5)  # values have 32 bits
+        bound = score.max(axis=2) + common @ self.most
+        for b in range(self.blocks):
+            some = np.flatnonzero((bound[:, b] > 0) & (bound[:, b] >= least))
+            score[some, b] += common[some] @ self.heavy[b]
+        out = []
+        for i in range(len(queries)):
+            flat = score[i].ravel()
+            rows = np.flatnonzero((flat > 0) & (flat >= least[i]))
+            rows = rows[np.lexsort((rows, -np.round(flat[rows], 6)))[:k]]
+            out.append((rows, flat[rows]))
+        return out
 
     def nearest(self, terms: np.ndarray, values: np.ndarray, k: int, skip: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(rows, cosines) of the k nearest examples with a cosine above 0, ties by row; never the example with id skip."""
-        bound = values @ self.most[terms]
-        rows, scores, least = np.zeros(0, np.int64), np.zeros(0), 0.0
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or (len(rows) == k and bound[b] < least - 1e-12):
-                break
-            got = np.zeros(INDEX_BLOCK)
-            for t, v in zip(terms.tolist(), values.tolist(), strict=True):
-                at = t * self.blocks + b
-                s, e = self.start[at], self.start[at + 1]
-                got[self.row[s:e] - b * INDEX_BLOCK] += v * self.value[s:e]
-            own = np.flatnonzero(got > 0)
-            if skip is not None:
-                own = own[self.ids[own + b * INDEX_BLOCK] != skip]
-            rows, scores = np.concatenate([rows, own + b * INDEX_BLOCK]), np.concatenate([scores, got[own]])
-            best = np.lexsort((rows, -np.round(scores, 12)))[:k]
-            rows, scores = rows[best], scores[best]
-            least = scores[-1] if len(scores) == k else 0.0
-        return rows, scores
+        return self.nearest_of([(terms, values)], k, [skip])[0]
 
 
-def vector(terms: list[int], tf: list[int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    t = np.array(terms, np.int64)
-    v = (1 + np.log(np.array(tf, float))) * idf[t]
-    return t, v / np.linalg.norm(v)
+def vector(terms: np.ndarray, tf: np.ndarray, idf: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """The unit vector of a document: its words (numbers below words) and its marked terms with equal weight."""
+    v = (1 + np.log(tf)) * idf[terms]
+    cut = int(np.searchsorted(terms, words))
+    for part in (v[:cut], v[cut:]):
+        if len(part):
+            part /= np.linalg.norm(part)
+    return terms, v / np.linalg.norm(v)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, neighbours: int = NEIGHBOURS) -> DataFrame:
     """(doc_id, held_out, score, predicted, neighbours, cosines, terms) of each row of docs.
 
     labels: (doc_id, toxic 0/1); null labels and ids are ignored, of several labels for a document the highest counts.
-    Null and empty texts have no terms. Without toxic examples every score is 0. A document is never its own neighbour; equal documents with other ids are. Each input row gives
+    terms: the marked ones. Null and empty texts have no terms. Without toxic examples every score is 0. A document is never its own neighbour; equal documents with other ids are. Each input row gives
     one row, an empty table none; extra columns are ignored.
     """
     small_batches(docs.sparkSession)
@@ -200,40 +294,64 @@ def toxicity(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, neigh
     sample = learnt.filter(unit(F.xxhash64(F.lit(10), "doc_id")) < F.when(F.col("label") == 1, rate[1]).otherwise(rate[0]))
     sample = materialise(sample, "toxic-examples")  # 2 * examples rows on average: small enough to broadcast
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text"))
-    own = texts.join(F.broadcast(sample), "doc_id").select("text", "label")
+    own = texts.join(F.broadcast(sample), "doc_id")
     toxic, clean = sizes.get(1, 0) * rate[1], sizes.get(0, 0) * rate[0]
-    terms = kept_terms(term_counts(own), rate[1], rate[0], toxic, clean)
-
-    hits = materialise(hit_table(docs, terms), "toxic-hits")
-    df = np.zeros(max(1, len(terms)))
-    for r in hits.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n")).collect():  # TERMS rows at most
-        df[r["t"]] = r["n"]
-    idf = np.log((1 + hits.count()) / (1 + df)) + 1
-    seen = hits.join(F.broadcast(sample), "doc_id")
-    bare = {r["label"]: r["n"] for r in seen.filter(F.size("terms") == 0).groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    rows = seen.filter(F.size("terms") > 0).dropDuplicates(["doc_id"]).collect()  # 2 * examples rows on average
+    counts = materialise(term_counts(own.select("text", "label")), "toxic-terms")
+    terms = kept_terms(counts, rate[1], rate[0], toxic, clean)
+    words = word_keys(counts)
+    context = docs.sparkSession.sparkContext
+    known = context.broadcast((words, terms))
+
+    df = np.zeros(max(1, len(words) + len(terms)))
+    counted = document_counts(texts, known).toArrow()  # a row for each word of the examples and kept term at most
+    df[counted.column("term").to_numpy()] = counted.column("n").to_numpy()
+    idf = np.log((1 + texts.count()) / (1 + df)) + 1
+    found = example_hits(own, known).toArrow()  # 2 * examples rows on average
+    ids, labelled = found.column("doc_id").to_numpy(), found.column("label").to_numpy()
+    pairs = list(zip(*(found.column(c).to_pylist() for c in ("terms", "tf")), strict=True))
+    del found
+    bare = Counter(int(labelled[i]) for i, (t, _) in enumerate(pairs) if not t)
+    kept = [i for i in np.unique(ids, return_index=True)[1].tolist() if pairs[i][0]]
+    vectors = [vector(np.frombuffer(pairs[i][0], np.int32), np.frombuffer(pairs[i][1], np.int32), idf, len(words)) for i in kept]
+    vectors = [(t, v.astype(np.float32)) for t, v in vectors]
+    del pairs
     weight = {y: 1 / rate[y] for y in (0, 1)}
-    index = BlockMaxIndex(np.array([r["doc_id"] for r in rows], np.int64), np.array([r["label"] for r in rows], np.int64), np.array([weight[r["label"]] for r in rows]), [vector(r["terms"], r["tf"], idf) for r in rows], max(1, len(terms)))
+    index = BlockMaxIndex(ids[kept], labelled[kept].astype(np.int64), np.array([weight[y] for y in labelled[kept].tolist()]), vectors, len(df))
+    del vectors
+    fitted = context.broadcast((index, idf))
+    del index
     share = lambda y, n: weight[y] * n.get(y, 0)
     base = (share(1, sizes) * rate[1]) / max(1e-9, share(1, sizes) * rate[1] + share(0, sizes) * rate[0])
     none = (share(1, bare) + PRIOR * base) / (share(1, bare) + share(0, bare) + PRIOR)
 
     def task(chunks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (index, idf), (words, terms) = fitted.value, known.value
+        finder = TermHits(words, terms)
+        kinds = (pa.float64(), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.list_(pa.string()))
         for chunk in chunks:
-            out: tuple[list, list, list, list] = ([], [], [], [])
-            for d, t, tf in zip(*(chunk.column(c).to_pylist() for c in ("doc_id", "terms", "tf")), strict=True):
-                score, near, cosines = none, [], []
-                if t and len(index.ids):
-                    found, cosine = index.nearest(*vector(t, tf, idf), neighbours, d)
-                    vote = cosine * index.weights[found]
-                    score = float(((vote * index.labels[found]).sum() + PRIOR * base) / (vote.sum() + PRIOR))
-                    near, cosines = index.ids[found].tolist(), cosine.tolist()
-                for column, v in zip(out, (score, near, cosines, [terms[i] for i in t]), strict=True):
-                    column.append(v)
-            kinds = (pa.float64(), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([chunk.column("doc_id"), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))], names=["doc_id", "score", "neighbours", "cosines", "terms"])
-
-    scored = hits.mapInArrow(task, "doc_id long, score double, neighbours array<long>, cosines array<double>, terms array<string>")
+            doc_ids, texts = chunk.column("doc_id"), chunk.column("text").to_pylist()
+            for a, b in _batches(texts):
+                out: tuple[list, list, list, list] = ([], [], [], [])
+                some = doc_ids.slice(a, b - a)
+                hits = finder.find(texts[a:b])
+                asked = [i for i, (t, _) in enumerate(hits) if len(t) and len(index.ids)]
+                ids, near_of = some.to_pylist(), {}
+                for at in range(0, len(asked), QUERIES):
+                    group = asked[at : at + QUERIES]
+                    near_of |= dict(zip(group, index.nearest_of([vector(*hits[i], idf, len(words)) for i in group], neighbours, [ids[i] for i in group]), strict=True))
+                for i, (t, _) in enumerate(hits):
+                    score, near, cosines = none, [], []
+                    if i in near_of:
+                        found, cosine = near_of[i]
+                        vote = cosine * index.weights[found]
+                        score = float(((vote * index.labels[found]).sum() + PRIOR * base) / (vote.sum() + PRIOR))
+                        near, cosines = index.ids[found].tolist(), cosine.tolist()
+                    marked = [terms[j - len(words)] for j in t[np.searchsorted(t, len(words)) :].tolist()]
+                    for column, v in zip(out, (score, near, cosines, marked), strict=True):
+                        column.append(v)
+                yield pa.RecordBatch.from_arrays([some, *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))], names=["doc_id", "score", "neighbours", "cosines", "terms"])
+
+    scored = texts.mapInArrow(task, "doc_id long, score double, neighbours array<long>, cosines array<double>, terms array<string>")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "neighbours", "cosines", "terms")
 
 

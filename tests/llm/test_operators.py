@@ -236,6 +236,21 @@ def test_toxicity(spark, docs, none):
     assert toxicity.toxicity(none, labels).count() == 0 and toxicity.drop_toxic(df, labels.limit(0)).count() == 400
 
 
+def test_toxic_wording_without_marked_terms(spark):
+    plain = [(i, f"plain words number{i} here today") for i in range(1800)]
+    rare = [(5000 + i, " ".join(f"{i // 4 * 8 + j:04x}word" for j in range(8)) + f" words number{i}") for i in range(600)]
+    df = spark.createDataFrame([*plain, *rare], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i >= 5000)) for i, _ in [*plain, *rare]], "doc_id long, toxic int")
+    got = {r["doc_id"]: r for r in toxicity.toxicity(df, labels).collect()}
+    fold = [i for i, _ in rare if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert len(got) == 2400 and not any(got[i]["terms"] for i in fold)
+    for i in fold:
+        mates = {j for j, _ in rare if (j - 5000) // 4 == (i - 5000) // 4 and j not in fold}
+        assert set(got[i]["neighbours"][: len(mates)]) == mates
+        assert got[i]["predicted"] == 1 or len(mates) < 2, got[i]
+    assert not any(got[i]["predicted"] for i, _ in plain)
+
+
 def test_block_max_index_is_exact():
     rng = np.random.default_rng(6)
     vectors = []
