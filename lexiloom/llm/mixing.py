@@ -6,23 +6,24 @@ meets every deadline, so after any number of slots a source has had less than on
 
 Weights are integers, so the schedule repeats after `total` slots: one period is computed, blocks are placed in it by
 arithmetic. When a source has no blocks left, a new phase begins with the sources that have, at the same relative
-weights, so that all rows are placed. A phase needs a schedule of as many slots as its weights add up to: the plan's
-size depends on the parameters alone.
+weights, so that all rows are placed. A phase needs a schedule of as many slots as its weights add up to. The phases
+are a small table with a row for each source, joined to the rows.
 """
 
 from __future__ import annotations
 
 import heapq
+import json
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexiloom.llm.shared import cell_of, materialise, seeded, unsigned
 
 #: Rows of a block, and rows that one task numbers on average.
 BLOCK_ROWS, TASK_ROWS = 32, 5_000
-#: The production mix of the queries; the sources that aren't listed share one stream.
+#: The production mix of the queries; the sources that aren't listed share one weight equally.
 WEIGHTS = {"src0": 6, "src1": 3, "src2": 3, "src3": 2}
 OTHER = "(other)"
 
@@ -50,6 +51,7 @@ def phases(blocks: dict[str, int], weights: dict[str, int]) -> list[dict]:
     """The phases of a mix: each with its period, first slot, and blocks that each source had had before it."""
     had, start, out = dict.fromkeys(blocks, 0), 0, []
     while live := {s: weights[s] for s, n in blocks.items() if n > had[s]}:
+        live = {s: w // math.gcd(*live.values()) for s, w in live.items()}
         slots = period(live)
         at = {s: [i for i, x in enumerate(slots) if x == s] for s in live}
         left = {s: blocks[s] - had[s] for s in live}
@@ -61,58 +63,62 @@ def phases(blocks: dict[str, int], weights: dict[str, int]) -> list[dict]:
     return out
 
 
-def slot_of(stream: Column, block: Column, plan: list[dict]) -> Column:
-    """The slot of a block, from the plan of phases()."""
-    out = F.lit(None).cast("long")
-    by: dict[str, Column] = {}
-    for p in plan:
-        for s, at in p["at"].items():
-            j = block - p["had"][s]
-            place = F.element_at(F.array(*[F.lit(int(i)).cast("long") for i in at]), (j % len(at) + 1).cast("int"))
-            slot = p["start"] + F.floor(j / len(at)) * p["len"] + place
-            by[s] = F.when(block >= p["had"][s], slot).otherwise(by[s]) if s in by else slot
-    for s, slot in by.items():
-        out = F.when(stream == s, slot).otherwise(out)
-    return out.cast("long")
+def plan_table(spark: SparkSession, total: dict[str, int], plan: list[dict]) -> DataFrame:
+    """A row for each source: its rows, and its phases of phases() in order."""
+    rows = [(s, n, [(p["had"][s], p["start"], p["len"], p["at"][s]) for p in plan if s in p["at"]]) for s, n in total.items()]
+    return spark.createDataFrame(rows, "_lx_key string, _lx_n long, _lx_phases array<struct<had: long, start: long, len: long, at: array<long>>>")
+
+
+def slot_of(block: Column, phases_of: Column) -> Column:
+    """The slot of a block, from the phases of its source in plan_table()."""
+    p = F.element_at(F.filter(phases_of, lambda x: x["had"] <= block), -1)
+    j, w = block - p["had"], F.size(p["at"])
+    return (p["start"] + F.floor(j / w) * p["len"] + F.element_at(p["at"], (j % w + 1).cast("int"))).cast("long")
 
 
 def mix(docs: DataFrame, weights: dict[str, int] | None = None, other_weight: int = 6, block_rows: int = BLOCK_ROWS, seed: int = 7, source_col: str = "source", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with columns stream, block, slot and position (gapless from 0 over all rows): the order of the mix.
 
-    weights: positive integers by source. Sources that aren't listed, and null, share one stream with other_weight, so
-    the plan's size doesn't grow with the number of sources. Within a stream rows come in the order of a seeded hash of
-    id and text: equal rows are placed one by one, in any order. No row is dropped; the last block of a stream may be
-    short. An empty table gives no rows. Columns of docs with the new names are replaced.
+    weights: positive integers by source. The sources that aren't listed, null being one, share other_weight equally:
+    each has blocks, releases and deadlines of its own, and `stream` names them OTHER together. A block is numbered
+    within its source and holds rows of it alone. Within a source rows come in the order of a seeded hash of id and
+    text: equal rows are placed one by one, in any order. No row is dropped; the last block of a source may be short. An
+    empty table gives no rows. Columns of docs with the new names are replaced.
     """
     weights = WEIGHTS if weights is None else weights
     if any(w != int(w) or w < 1 for w in [*weights.values(), other_weight]) or OTHER in weights:
         raise ValueError("weights are positive integers")
     rest = docs.drop("stream", "block", "slot", "position")
-    full = {**weights, OTHER: other_weight}
-    stream = F.when(F.col(source_col).cast("string").isin(*weights), F.col(source_col).cast("string")).otherwise(F.lit(OTHER)) if weights else F.lit(OTHER)
-    keyed = rest.withColumn("stream", stream).withColumn("_lx_h", seeded(seed, rest[id_col], rest[text_col]))
-    total = {r["stream"]: r["n"] for r in keyed.groupBy("stream").agg(F.count(F.lit(1)).alias("n")).collect()}  # len(weights) + 1 rows at most
+    source = rest[source_col].cast("string")
+    key = F.when(source.isNull(), F.lit("null")).otherwise(F.concat(F.lit("="), source))
+    stream = F.when(source.isin(*weights), source).otherwise(F.lit(OTHER)) if weights else F.lit(OTHER)
+    keyed = rest.withColumns({"stream": stream, "_lx_key": key, "_lx_h": seeded(seed, rest[id_col], rest[text_col])})
+    total = {r["_lx_key"]: r["n"] for r in keyed.groupBy("_lx_key").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each source
     if not total:
         none = F.lit(None).cast("long")
         return rest.withColumns({"stream": F.lit(OTHER), "block": none, "slot": none, "position": none})
-    cells = F.lit(1).cast("long")
-    for s, n in total.items():
-        cells = F.when(F.col("stream") == s, F.lit(max(1, math.ceil(n / TASK_ROWS))).cast("long")).otherwise(cells)
+    listed = {f"={s}": w for s, w in weights.items()}
+    others = max(1, sum(k not in listed for k in total))
+    full = {k: listed[k] * others if k in listed else other_weight for k in total}
+    plan = phases({s: -(-n // block_rows) for s, n in total.items()}, full)
+    known = plan_table(docs.sparkSession, total, plan)
+    keyed = keyed.join(F.broadcast(known.select("_lx_key", "_lx_n")), "_lx_key")
+    cells = F.ceil(F.col("_lx_n") / TASK_ROWS).cast("long")
     keyed = keyed.withColumn("_lx_cell", cell_of(F.col("_lx_h"), cells))
-    sums = keyed.groupBy("stream", "_lx_cell").agg(F.count(F.lit(1)).alias("n"))  # a row for TASK_ROWS rows of input
-    before = Window.partitionBy("stream").orderBy("_lx_cell").rowsBetween(Window.unboundedPreceding, -1)
-    starts = materialise(sums.select("stream", "_lx_cell", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_lx_start")), "mix-starts")
-    order = Window.partitionBy("stream", "_lx_cell").orderBy(unsigned(F.col("_lx_h")))
-    numbered = keyed.withColumn("_lx_at", F.row_number().over(order) - 1).join(starts, ["stream", "_lx_cell"])
+    sums = keyed.groupBy("_lx_key", "_lx_cell").agg(F.count(F.lit(1)).alias("n"))  # a row for TASK_ROWS rows of input
+    before = Window.partitionBy("_lx_key").orderBy("_lx_cell").rowsBetween(Window.unboundedPreceding, -1)
+    starts = materialise(sums.select("_lx_key", "_lx_cell", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_lx_start")), "mix-starts")
+    order = Window.partitionBy("_lx_key", "_lx_cell").orderBy(unsigned(F.col("_lx_h")))
+    numbered = keyed.withColumn("_lx_at", F.row_number().over(order) - 1).join(starts, ["_lx_key", "_lx_cell"])
     index = F.col("_lx_start") + F.col("_lx_at")
-    placed = numbered.withColumn("block", F.floor(index / block_rows).cast("long"))
-    plan = phases({s: -(-n // block_rows) for s, n in total.items()}, full)
-    placed = placed.withColumn("slot", slot_of(F.col("stream"), F.col("block"), plan))
+    placed = numbered.withColumn("block", F.floor(index / block_rows).cast("long")).join(F.broadcast(known.select("_lx_key", "_lx_phases")), "_lx_key")
+    placed = placed.withColumn("slot", slot_of(F.col("block"), F.col("_lx_phases")))
+    # a short last block closes the gap that it would leave behind it
+    gaps = [(slot_value(s, -(-n // block_rows) - 1, plan), -n % block_rows) for s, n in total.items() if n % block_rows]
     position = F.col("slot") * block_rows + index % block_rows
-    for s, n in total.items():  # a short last block closes the gap that it would leave behind it
-        if gap := -n % block_rows:
-            last = slot_value(s, -(-n // block_rows) - 1, plan)
-            position = position - F.when(F.col("slot") > last, gap).otherwise(0)
+    if gaps:
+        short = F.from_json(F.lit(json.dumps([{"last": a, "gap": g} for a, g in gaps])), "array<struct<last: long, gap: long>>")
+        position = position - F.aggregate(short, F.lit(0).cast("long"), lambda a, x: a + F.when(F.col("slot") > x["last"], x["gap"]).otherwise(0))
     return placed.withColumn("position", position.cast("long")).select(*rest.columns, "stream", "block", "slot", "position")
 
 

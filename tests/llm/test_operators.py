@@ -192,6 +192,22 @@ def test_mixing(spark, docs, none):
     assert [r["position"] for r in mixing.in_mix_order(mixing.mix(big), 500).collect()] == list(range(4000))
 
 
+def test_mixing_shares_of_unlisted_sources(spark):
+    source = F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 100 == 1, None).otherwise(F.concat(F.lit("src"), (F.col("id") % 20).cast("string")))
+    big = spark.range(6000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), source.alias("source"))
+    rows = mixing.mix(big, block_rows=8).collect()
+    placed = {r["slot"]: r["source"] for r in rows}
+    assert all(placed[r["slot"]] == r["source"] for r in rows) and sorted(r["position"] for r in rows) == list(range(6000))
+    assert sorted(placed) == list(range(len(placed)))
+    names, left, had = set(placed.values()), Counter(placed.values()), Counter()
+    share = {s: mixing.WEIGHTS[s] / 20 if s in mixing.WEIGHTS else 6 / 20 / (len(names) - 4) for s in names}
+    for t in range(len(placed)):
+        had[placed[t]] += 1
+        assert all(abs(had[s] - w * (t + 1)) < 1 for s, w in share.items())
+        if any(had[s] == n for s, n in left.items()):
+            break
+
+
 def test_near_duplicates(docs, none):
     def shingles(t, w):
         x = re.findall(r"[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), t))
