@@ -22,20 +22,20 @@ BASE = {
     "access": (r"AKIA[A-Z0-9]+", 0, 18),
     "hex": (r"[0-9a-f]+", 0, 16),
 }
-#: Weak kinds: pattern, least and greatest length of the match, the part of a credential it is.
+#: Weak kinds: pattern, least length of the match, the part of a credential it is.
 WEAK = {
-    "weak_id": (r"(?:ASIA|AROA|AIDA)[A-Z0-9]+", 16, 128, "id"),
-    "weak_user": (r"(?i:user(?:name)?|login|client_?id|account)\x20*[:=]\x20*[A-Za-z0-9@._-]+", 6, 128, "id"),
-    "weak_secret": (r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{20,}", 20, 128, "secret"),
-    "weak_endpoint": (r"(?i:[a-z][a-z0-9+.-]*)://[A-Za-z0-9._~:@/?#%=&+-]+", 10, 2048, "endpoint"),
+    "weak_id": (r"(?:ASIA|AROA|AIDA)[A-Z0-9]+", 16, "id"),
+    "weak_user": (r"(?i:user(?:name)?|login|client_?id|account)\x20*[:=]\x20*[A-Za-z0-9@._-]+", 6, "id"),
+    "weak_secret": (r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{20,}", 20, "secret"),
+    "weak_endpoint": (r"(?i:[a-z][a-z0-9+.-]*)://[A-Za-z0-9._~:@/?#%=&+-]+", 10, "endpoint"),
 }
 KINDS = [*BASE, *WEAK]
 #: The scope: parts of one credential lie within so many code points of each other.
 REACH = 200
 
 
-def spans_of(text: Column, pattern: str, group: int, least: int, most: int | None = None) -> Column:
-    """array<struct<s, e>> of the leftmost non-overlapping matches whose group has least to most code points."""
+def spans_of(text: Column, pattern: str, group: int, least: int) -> Column:
+    """array<struct<s, e>> of the leftmost non-overlapping matches whose group has least or more code points."""
     gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g))
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     counted = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
@@ -44,7 +44,7 @@ def spans_of(text: Column, pattern: str, group: int, least: int, most: int | Non
 
     def step(a: Column, x: Column) -> Column:
         s = a["at"] + x["gap"]
-        fits = (x["g"] >= least) & (x["g"] <= most if most else F.lit(True))
+        fits = x["g"] >= least
         span = F.struct(s.alias("s"), (s + x["n"]).alias("e"))
         return F.struct((s + x["n"]).alias("at"), F.when(fits, F.concat(a["out"], F.array(span))).otherwise(a["out"]).alias("out"))
 
@@ -56,16 +56,17 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """(row_no, doc_id, one array of spans for each kind); texts end here."""
     text = text_or_empty(docs[text_col])
     base = [spans_of(text, p, g, n).alias(k) for k, (p, g, n) in BASE.items()]
-    weak = [spans_of(text, p, 0, least, most).alias(k) for k, (p, least, most, _) in WEAK.items()]
+    weak = [spans_of(text, p, 0, least).alias(k) for k, (p, least, _) in WEAK.items()]
     return docs.select(F.monotonically_increasing_id().alias("row_no"), docs[id_col].alias("doc_id"), *base, *weak)
 
 
 def linked(found: DataFrame, reach: int = REACH) -> DataFrame:
     """(row_no, kind, s, e) of the weak candidates that a complementary part lies beside.
 
-    The interval join: a part goes to the cells of `reach` code points that it touches when grown by reach, a
-    candidate to the cell of its start; equal cells are joined, the distance is checked. It is a semi-join, so that a
-    candidate comes out once, however many parts lie beside it.
+    The interval join: a part and its complement don't overlap, so the start of one lies within reach of the other's
+    end. A candidate goes to the cells of `reach` code points of its start and of its end, a part to the two cells in
+    which such a start or end can lie; equal cells are joined, the distance is checked. So spans may have any length.
+    It is a semi-join, and a candidate that both ends find comes out once.
     """
     has = lambda *kinds: sum((F.size(k) for k in kinds), F.lit(0)) > 0
     busy = found.filter(has(*WEAK))
@@ -73,13 +74,19 @@ def linked(found: DataFrame, reach: int = REACH) -> DataFrame:
     label = lambda kinds: F.concat(*[part(k, r) for k, r in kinds])
     weak = [(k, r) for k, (*_, r) in WEAK.items()]
     exploded = lambda kinds: busy.select("row_no", F.explode(label(kinds)).alias("x")).select("row_no", "x.*")
-    candidates = exploded(weak).withColumn("cell", F.floor(F.col("s") / reach))
+    cell = lambda x: F.floor(x / max(1, reach))
+    side = lambda name, c: F.struct(F.lit(name).alias("side"), c.alias("cell"))
+    ends = F.array(side("end", cell(F.col("e"))), side("start", cell(F.col("s"))))
+    candidates = exploded(weak).withColumn("at", F.explode(ends)).select("row_no", "kind", "role", "s", "e", "at.side", "at.cell")
     parts = exploded([*weak, ("access", "id"), ("assign", "secret"), ("hex", "secret")])
     parts = parts.select("row_no", F.col("role").alias("p_role"), F.col("s").alias("p_s"), F.col("e").alias("p_e"))
-    parts = parts.withColumn("cell", F.explode(F.sequence(F.floor(F.greatest(F.col("p_s") - reach - 2048, F.lit(0)) / reach), F.floor((F.col("p_e") + reach) / reach))))
+    begins, stops = cell(F.col("p_s")), cell(F.col("p_e"))
+    places = F.array(side("end", begins - 1), side("end", begins), side("start", stops), side("start", stops + 1))
+    parts = parts.withColumn("at", F.explode(places)).select("row_no", "p_role", "p_s", "p_e", "at.side", "at.cell")
     near = (F.col("p_s") <= F.col("e") + reach) & (F.col("p_e") >= F.col("s") - reach)
     apart = (F.col("p_s") >= F.col("e")) | (F.col("p_e") <= F.col("s"))  # a part isn't its own complement
-    return candidates.join(parts, (candidates.row_no == parts.row_no) & (candidates.cell == parts.cell) & (F.col("role") != F.col("p_role")) & near & apart, "left_semi").drop("cell", "role")
+    same = (candidates.row_no == parts.row_no) & (candidates.side == parts.side) & (candidates.cell == parts.cell)
+    return candidates.join(parts, same & (F.col("role") != F.col("p_role")) & near & apart, "left_semi").select("row_no", "kind", "s", "e").distinct()
 
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = REACH) -> DataFrame:
