@@ -6,58 +6,91 @@ code points: an access identifier beside a bare secret, a secret beside a user n
 endpoint beside a user name or a secret.
 
 Positions come from two built-in functions: split() gives the gaps between the matches of a pattern, and
-regexp_extract_all() the matches; the running totals of their lengths are the spans.
+regexp_extract_all() the matches; the running totals of their lengths are the spans. Every pattern is linear in the
+text, and a text without a pattern's marks isn't searched for it.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexiloom.llm.shared import materialise, text_or_empty
 
-#: Base kinds: pattern, the group whose length counts, least length.
+#: Base kinds: pattern, the group whose length counts, least length, marks of which every match has one. Runs are matched
+#: whole or not at all, so the least length of an access identifier or of hex digits may stand in the pattern.
 BASE = {
-    "assign": (r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 1, 12),
-    "access": (r"AKIA[A-Z0-9]+", 0, 18),
-    "hex": (r"[0-9a-f]+", 0, 16),
+    "assign": (r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 1, 12, (":", "=")),
+    "access": (r"AKIA[A-Z0-9]{14,}", 0, 18, ("AKIA",)),
+    "hex": (r"[0-9a-f]{16,}", 0, 16, ()),
 }
-#: Weak kinds: pattern, least length of the match, the part of a credential it is.
+#: Weak kinds: pattern, least length of the match, the part of a credential it is, marks. A scheme has 31 letters at most.
 WEAK = {
-    "weak_id": (r"(?:ASIA|AROA|AIDA)[A-Z0-9]+", 16, "id"),
-    "weak_user": (r"(?i:user(?:name)?|login|client_?id|account)\x20*[:=]\x20*[A-Za-z0-9@._-]+", 6, "id"),
-    "weak_secret": (r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{20,}", 20, "secret"),
-    "weak_endpoint": (r"(?i:[a-z][a-z0-9+.-]*)://[A-Za-z0-9._~:@/?#%=&+-]+", 10, "endpoint"),
+    "weak_id": (r"(?:ASIA|AROA|AIDA)[A-Z0-9]+", 16, "id", ("ASIA", "AROA", "AIDA")),
+    "weak_user": (r"(?i:user(?:name)?|login|client_?id|account)\x20*[:=]\x20*[A-Za-z0-9@._-]+", 6, "id", (":", "=")),
+    "weak_secret": (r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{20,}", 20, "secret", ()),
+    "weak_endpoint": (r"(?<![A-Za-z])(?i:[a-z][a-z0-9+.-]{0,30})://[A-Za-z0-9._~:@/?#%=&+-]+", 10, "endpoint", ("://",)),
 }
 KINDS = [*BASE, *WEAK]
 #: The scope: parts of one credential lie within so many code points of each other.
 REACH = 200
 
 
-def spans_of(text: Column, pattern: str, group: int, least: int) -> Column:
-    """array<struct<s, e>> of the leftmost non-overlapping matches whose group has least or more code points."""
-    gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g))
-    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    counted = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
-    sized = F.arrays_zip(F.transform(whole, lambda w: F.length(w)).alias("n"), F.transform(counted, lambda w: F.length(w)).alias("g"), F.slice(gaps, 1, F.greatest(F.size(whole), F.lit(0))).alias("gap"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int>>").alias("out"))
+#: Elements that a running total copies at a time.
+CHUNK = 256
+
+
+def running(steps: Column) -> Column:
+    """The total before each element of an array of int, chunk by chunk: a long array isn't copied for each element."""
+
+    def before(xs: Column, first: Column) -> Column:
+        start = F.struct(first.alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(xs, start, lambda a, x: F.struct((a["at"] + x).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")))["out"]
 
-    def step(a: Column, x: Column) -> Column:
-        s = a["at"] + x["gap"]
-        fits = x["g"] >= least
-        span = F.struct(s.alias("s"), (s + x["n"]).alias("e"))
-        return F.struct((s + x["n"]).alias("at"), F.when(fits, F.concat(a["out"], F.array(span))).otherwise(a["out"]).alias("out"))
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / F.lit(CHUNK)).cast("int")), lambda c: F.slice(steps, c * CHUNK + 1, CHUNK))
+    sums = F.transform(chunks, lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + x))
+    whole = F.flatten(F.zip_with(chunks, before(sums, F.lit(0)), before))
+    return F.when(F.size(steps) > 0, whole).otherwise(F.array().cast("array<int>"))
 
-    found = F.aggregate(sized, start, step)["out"]
-    return F.when(text.rlike(pattern), found).otherwise(F.array().cast("array<struct<s:int,e:int>>"))
+
+def spans_of(whole: Column, counted: Column, gaps: Column, least: int) -> Column:
+    """array<struct<s, e>> of the matches whose group has least or more code points; none where nothing matches.
+
+    whole: the code points of each match, counted: of its group; gaps: of what lies before each match and after the last.
+    """
+    ahead = F.slice(gaps, 1, F.size(whole))
+    start = F.zip_with(running(F.zip_with(ahead, whole, lambda g, n: g + n)), ahead, lambda a, g: a + g)
+    spans = F.transform(F.arrays_zip(start.alias("s"), whole.alias("n"), counted.alias("g")), lambda x: F.struct(x["s"].alias("s"), (x["s"] + x["n"]).alias("e"), x["g"].alias("g")))
+    fit = F.transform(F.filter(spans, lambda x: x["g"] >= least), lambda x: F.struct(x["s"], x["e"]))
+    return F.coalesce(fit, F.array().cast("array<struct<s:int,e:int>>"))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(row_no, doc_id, one array of spans for each kind); texts end here."""
-    text = text_or_empty(docs[text_col])
-    base = [spans_of(text, p, g, n).alias(k) for k, (p, g, n) in BASE.items()]
-    weak = [spans_of(text, p, 0, least).alias(k) for k, (p, least, _) in WEAK.items()]
-    return docs.select(F.monotonically_increasing_id().alias("row_no"), docs[id_col].alias("doc_id"), *base, *weak)
+    rules = {k: (p, g, n, marks) for k, (p, g, n, marks) in BASE.items()} | {k: (p, 0, n, marks) for k, (p, n, _, marks) in WEAK.items()}
+    rows = docs.select(F.monotonically_increasing_id().alias("row_no"), docs[id_col].alias("doc_id"), text_or_empty(docs[text_col]).alias("text"))
+    text = F.col("text")
+    for step in ("hit", "found", "sizes", "spans"):  # each a projection of its own, so that no pattern runs twice
+        new = {}
+        for k, (pattern, group, least, marks) in rules.items():
+            matches = lambda g, p=pattern: F.regexp_extract_all(text, F.lit(p), F.lit(g))
+            if step == "hit":
+                marked = [F.contains(text, F.lit(m)) for m in marks] or [F.lit(True)]
+                new[f"{k}_hit"] = reduce(or_, marked) & text.rlike(pattern)
+            elif step == "found":
+                hit = F.col(f"{k}_hit")
+                new |= {f"{k}_whole": F.when(hit, matches(0)), f"{k}_gaps": F.when(hit, F.split(text, pattern, -1))}
+                if group:
+                    new[f"{k}_counted"] = F.when(hit, matches(group))
+            elif step == "sizes":
+                new |= {f"{k}_{part}": F.transform(f"{k}_{part}", lambda w: F.length(w)) for part in ("whole", "gaps", *["counted"] * bool(group))}
+            else:
+                new[k] = spans_of(F.col(f"{k}_whole"), F.col(f"{k}_counted" if group else f"{k}_whole"), F.col(f"{k}_gaps"), least)
+        rows = rows.withColumns(new)
+    return rows.select("row_no", "doc_id", *KINDS)
 
 
 def linked(found: DataFrame, reach: int = REACH) -> DataFrame:
@@ -72,7 +105,7 @@ def linked(found: DataFrame, reach: int = REACH) -> DataFrame:
     busy = found.filter(has(*WEAK))
     part = lambda k, r: F.transform(k, lambda x: F.struct(F.lit(k).alias("kind"), F.lit(r).alias("role"), x["s"].alias("s"), x["e"].alias("e")))
     label = lambda kinds: F.concat(*[part(k, r) for k, r in kinds])
-    weak = [(k, r) for k, (*_, r) in WEAK.items()]
+    weak = [(k, r) for k, (_, _, r, _) in WEAK.items()]
     exploded = lambda kinds: busy.select("row_no", F.explode(label(kinds)).alias("x")).select("row_no", "x.*")
     cell = lambda x: F.floor(x / max(1, reach))
     side = lambda name, c: F.struct(F.lit(name).alias("side"), c.alias("cell"))
