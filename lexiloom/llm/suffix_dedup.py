@@ -6,12 +6,15 @@ Which windows of LENGTH bytes repeat anywhere is decided exactly, without one su
    distance. Windows of a text with the same anchor follow one another: their union is a segment. Only hashes move.
 2. An anchor met once holds no repeated window. Segments met more than once are repeated as a whole.
 3. Segments that share an anchor but differ are fetched, one of each kind, and gathered by anchor; a suffix array over
-   them tells which of their windows repeat. An anchor with many kinds is cut into pairs of blocks (groups.py).
-4. The repeated windows of every kind go back to all its places; the bytes they cover are removed.
+   them tells which of their windows repeat.
+4. An anchor with more than KINDS kinds would be too much for one task. Its windows are counted by their digests
+   instead, each on its own: exact, and in proportion to the kinds' bytes.
+5. The repeated windows of every kind go back to all its places; the bytes they cover are removed.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiloom.llm.groups import block_pairs, units
+from lexiloom.llm.groups import units
 from lexiloom.llm.minhash import _BASE, _BYTE, _INVERSE, mixed
 from lexiloom.llm.shared import materialise, small_batches
 from lexiloom.llm.suffix_array import repeated_windows
@@ -27,22 +30,21 @@ from lexiloom.llm.suffix_array import repeated_windows
 LENGTH, GRAM = 400, 32
 #: Window starts handled at a time, below 2**22; a longer text is cut, with overlaps.
 BATCH = 1 << 20
-#: Kinds of segments of an anchor in one block; bytes sorted at a time.
+#: Most kinds of segments of an anchor that one suffix array sorts; bytes sorted at a time.
 KINDS, SORT_BYTES = 2048, 400_000
-_OTHER = np.random.default_rng(41).integers(0, 2**63, 256, np.uint64)
 _POSITION = np.uint64((1 << 22) - 1)
 
 
-class Hashes:
-    """Hashes of any range of some bytes, by running sums."""
+def gram_hashes(data: np.ndarray, gram: int, powers: np.ndarray, inverse: np.ndarray) -> np.ndarray:
+    """The hash of the `gram` bytes at each place, by running sums."""
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[data] * powers[: len(data)], dtype=np.uint64)])
+    at = np.arange(max(0, len(data) - gram + 1))
+    return mixed((sums[at + gram] - sums[at]) * inverse[at])
 
-    def __init__(self, data: np.ndarray, powers: np.ndarray, inverse: np.ndarray):
-        self.inverse = inverse
-        one = np.zeros(1, np.uint64)
-        self.sums = [np.concatenate([one, np.cumsum(t[data] * powers[: len(data)], dtype=np.uint64)]) for t in (_BYTE, _OTHER)]
 
-    def of(self, start: np.ndarray, stop: np.ndarray, which: int = 0) -> np.ndarray:
-        return mixed((self.sums[which][stop] - self.sums[which][start]) * self.inverse[start])
+def digests(parts: list[bytes]) -> np.ndarray:
+    """128 bits of each as two 64-bit numbers."""
+    return np.frombuffer(b"".join(hashlib.blake2b(p, digest_size=16).digest() for p in parts), np.int64).reshape(-1, 2)
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -54,14 +56,10 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return run(_BASE), run(_INVERSE)
 
 
-def segments_of(data: np.ndarray, bounds: list[tuple[int, int]], length: int, gram: int, powers) -> tuple[np.ndarray, ...]:
+def segments_of(data: bytes, bounds: list[tuple[int, int]], length: int, gram: int, powers) -> tuple[np.ndarray, ...]:
     """(text number, first window, windows, anchor, anchor hash, two digests) of the segments of texts data[a:b]."""
-    h = Hashes(data, *powers)
-    n = len(data)
-    grams = max(0, n - gram + 1)
-    at = np.arange(grams)
-    plain = h.of(at, at + gram)
-    low = (plain & ~_POSITION) | at.astype(np.uint64)  # the leftmost of equal hashes is the smallest
+    plain = gram_hashes(np.frombuffer(data, np.uint8), gram, *powers)
+    low = (plain & ~_POSITION) | np.arange(len(plain)).astype(np.uint64)  # the leftmost of equal hashes is the smallest
     span, wide = length - gram + 1, 1
     while wide * 2 <= span:
         low = np.minimum(low[: len(low) - wide], low[wide:])
@@ -80,9 +78,8 @@ def segments_of(data: np.ndarray, bounds: list[tuple[int, int]], length: int, gr
     i = np.flatnonzero(new)
     count = np.diff(np.append(i, len(own)))
     first = own[i]
-    stop = first + count + length - 1
-    signed = lambda x: x.view(np.int64)
-    return text[i], first, count, pick[i], signed(plain[pick[i]]), signed(h.of(first, stop, 0)), signed(h.of(first, stop, 1))
+    d = digests([data[a:b] for a, b in zip(first.tolist(), (first + count + length - 1).tolist(), strict=True)])
+    return text[i], first, count, pick[i], plain[pick[i]].view(np.int64), d[:, 0], d[:, 1]
 
 
 def pieces_of(texts: list[bytes], length: int) -> Iterator[list[tuple[int, int, bytes]]]:
@@ -116,7 +113,7 @@ def segment_table(rows: DataFrame, length: int, gram: int) -> DataFrame:
             for batch in pieces_of(chunk.column("text").cast(pa.binary()).to_pylist(), length):
                 ends = np.cumsum([len(p) for *_, p in batch])
                 bounds = list(zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True))
-                data = np.frombuffer(b"".join(p for *_, p in batch), np.uint8)
+                data = b"".join(p for *_, p in batch)
                 k, first, count, at, anchor, d1, d2 = segments_of(data, bounds, length, gram, powers)
                 if len(k):
                     row = np.array([r for r, *_ in batch])[k]
@@ -152,11 +149,14 @@ def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-def repeated_parts(dealt: DataFrame, length: int) -> DataFrame:
-    """(anchor, id, w1, w2): the runs of windows of each kind that repeat in another kind of the same anchor."""
+def repeated_parts(gathered: DataFrame, length: int, sort_bytes: int = SORT_BYTES) -> DataFrame:
+    """(anchor, id, w1, w2): the runs of windows of each kind that repeat in another kind of the same anchor.
+
+    A suffix array takes several anchors together; windows of different anchors differ.
+    """
 
     def task(chunks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, bounds in units(chunks, ("anchor", "bi", "bj")):
+        for table, bounds in units(chunks, ("anchor",)):
             data, leads = table.column("data").to_pylist(), table.column("lead").to_pylist()
             anchors, ids = table.column("anchor").to_numpy(), table.column("id").to_numpy()
             held: list[int] = []
@@ -165,17 +165,40 @@ def repeated_parts(dealt: DataFrame, length: int) -> DataFrame:
                 if b - a > 1:
                     held += range(a, b)
                     size += sum(len(data[i]) for i in range(a, b))
-                if held and (size >= SORT_BYTES or k == len(bounds) - 1):
+                if held and (size >= sort_bytes or k == len(bounds) - 1):
                     found = [(held[j], s, e) for j, f in enumerate(repeated_windows([data[i] for i in held], [leads[i] for i in held], length)) for s, e in zip(*_runs(f), strict=True)]
                     if found:
                         row, s, e = (np.array(c, np.int64) for c in zip(*found, strict=True))
                         yield pa.RecordBatch.from_arrays([pa.array(c) for c in (anchors[row], ids[row], s, e)], names=["anchor", "id", "w1", "w2"])
                     held, size = [], 0
 
-    return dealt.mapInArrow(task, "anchor long, id long, w1 long, w2 long")
+    return gathered.repartition("anchor").sortWithinPartitions("anchor", "id").mapInArrow(task, "anchor long, id long, w1 long, w2 long")
+
 
+def repeated_singly(crowded: DataFrame, length: int) -> DataFrame:
+    """The same for anchors with any number of kinds: each window is counted by its digest and its distance to the anchor."""
 
-def repeated_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    def task(chunks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in chunks:
+            data, lead = chunk.column("data").to_pylist(), chunk.column("lead").to_numpy()
+            for a in range(0, len(data), 256):
+                some = data[a : a + 256]
+                count = np.array([len(t) - length + 1 for t in some])
+                own = np.repeat(np.arange(a, a + len(some)), count)
+                w = np.arange(len(own)) - np.repeat(np.cumsum(count) - count, count)
+                d = digests([t[k : k + length] for t, n in zip(some, count.tolist(), strict=True) for k in range(n)])
+                columns = [chunk.column("anchor").take(pa.array(own)), chunk.column("id").take(pa.array(own)), pa.array(w), pa.array(w - lead[own]), pa.array(d[:, 0]), pa.array(d[:, 1])]
+                yield pa.RecordBatch.from_arrays(columns, names=["anchor", "id", "w", "place", "d1", "d2"])
+
+    key = ["anchor", "place", "d1", "d2"]
+    windows = materialise(crowded.mapInArrow(task, "anchor long, id long, w long, place long, d1 long, d2 long"), "suffix-windows")
+    many = windows.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(*key)
+    hit = windows.join(many, key, "left_semi").groupBy("anchor", "id").agg(F.array_sort(F.collect_list("w")).alias("ws"))  # a kind has few windows
+    run = hit.select("anchor", "id", F.posexplode("ws").alias("k", "w")).groupBy("anchor", "id", F.col("w") - F.col("k"))
+    return run.agg(F.min("w").alias("w1"), (F.max("w") + 1).alias("w2")).select("anchor", "id", "w1", "w2")
+
+
+def repeated_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most_kinds: int = KINDS) -> DataFrame:
     """(k1, k2, spans): the spans of each row of keyed(docs) that repeated strings of `length` bytes cover, merged."""
     small_batches(docs.sparkSession)
     rows = keyed(docs)
@@ -185,8 +208,10 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     kinds = materialise(kinds.join(many, "anchor").withColumn("id", F.xxhash64("d1", "d2")), "suffix-kinds")
     apart = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     places = materialise(kinds.join(apart, "anchor").select("one.*", "anchor", "id", "size"), "suffix-places")
-    dealt = block_pairs(sliced(rows, places, length), "anchor", "size", "id", KINDS)
-    parts = repeated_parts(dealt, length)
+    parts = repeated_parts(sliced(rows, places.filter(F.col("size") <= most_kinds), length), length)
+    crowded = places.filter(F.col("size") > most_kinds)
+    if not crowded.isEmpty():
+        parts = parts.unionByName(repeated_singly(sliced(rows, crowded, length), length))
     whole = kinds.filter("times > 1").select("anchor", "id", F.lit(0).cast("long").alias("w1"), F.col("one.windows").cast("long").alias("w2"))
     repeats = materialise(whole.unionByName(parts.join(kinds.filter("times = 1").select("anchor", "id"), ["anchor", "id"], "left_semi")).distinct(), "suffix-repeats")
     at = segments.withColumn("id", F.xxhash64("d1", "d2")).join(repeats, ["anchor", "id"])
@@ -227,5 +252,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
 
 
 def suffix_digest(docs: DataFrame) -> DataFrame:
-    """The contract's columns, from the bytes that stay."""
-    return remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    """The contract's columns, from the bytes that stay, and those bytes as text; halves of characters become U+FFFD."""
+    found = remove_repeats(docs)
+    kept = F.make_valid_utf8(F.col("kept").cast("string"))
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), kept.alias("kept_text"))
