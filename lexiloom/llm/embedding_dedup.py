@@ -2,13 +2,14 @@
 
 A bounded sample of FIT_ROWS vectors, chosen by a hash of their ids, fits the codes: vectors are centred and turned to
 their principal axes, and each rotation is learned by alternating signs and a Procrustes step, so that the axes cut the
-cloud into balanced halves. Several rotations give a long code. It is cut into substrings of about log2(n) bits, a table
-each; vectors that agree in a substring are candidates. How many tables are needed is measured on the sample: pairs
-made at exactly the threshold must miss all tables with a probability of MISS at most.
-
-Candidates are compared by the Hamming distance of whole codes, then clusters of them by the exact cosine of the
-original vectors in double precision (groups.py). Every row is indexed. Equal vectors are one item that counts as often
-as it occurs.
+cloud into balanced halves. Several rotations give a long code. It is cut into substrings, a table each; vectors that
+agree in a substring are candidates. How many tables are needed is measured on the sample: pairs made at exactly the
+threshold must miss all tables with a probability of MISS at most.
+
+A bucket's entries hold a sketch, 64 bits of the code: entries without another one near by are dropped. The rest fetch
+the original vectors and are compared in their bucket by the exact cosine in double precision. A pair counts in the
+first table only in which it agrees, so link counts add up over the tables. Buckets of any size are cut into blocks
+(groups.py). Every row is indexed. Equal vectors are one item that counts as often as it occurs.
 """
 
 from __future__ import annotations
@@ -19,13 +20,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiloom.llm.groups import block_pairs, components, edge_batch, fixed_rows, forest, repeated, units
-from lexiloom.llm.shared import materialise
+from lexiloom.llm.groups import BLOCK, block_pairs, components, edge_batch, fixed_rows, units
+from lexiloom.llm.shared import materialise, small_batches
 
 FIT_ROWS, ITERATIONS, MISS = 20_000, 30, 1e-5
+#: Of the items, one in HOT_SAMPLE shows which buckets are large; standard deviations that a sketch may stray.
+HOT_SAMPLE, SLACK = 64, 7
 
 
 class Codes:
@@ -44,12 +48,11 @@ class Codes:
         moved = threshold * sample + math.sqrt(max(0.0, 1 - threshold**2)) * noise / np.maximum(length, 1e-12)
         moved_turned = (moved - self.mean) @ self.axes
         self.rotations: list[np.ndarray] = []
-        self.tables, agree, differ = 0, [], np.zeros(len(sample))
+        self.tables, agree = 0, []
         while not self.tables:
             r = self._rotation(turned, rng)
             self.rotations.append(r)
             a, b = turned @ r >= 0, moved_turned @ r >= 0
-            differ = differ + (a != b).sum(axis=1)
             agree.append(a == b)
             same = np.concatenate(agree, axis=1)
             got = same.shape[1] // bits
@@ -60,7 +63,9 @@ class Codes:
                 if need <= got:
                     self.tables = need
         self.width = len(self.rotations) * self.dim
-        self.near = math.ceil(differ.max() + 4 * differ.std() + 4)  # above it two whole codes aren't compared further
+        self.places = np.linspace(0, self.width - 1, 64).astype(np.int64)  # of the code, in the sketch
+        differ = (~same[:, self.places]).sum(axis=1)
+        self.near = math.ceil(differ.mean() + SLACK * max(1.0, differ.std()))  # bits in which sketches may differ
 
     @staticmethod
     def _rotation(v: np.ndarray, rng: np.random.Generator) -> np.ndarray:
@@ -81,22 +86,20 @@ class Codes:
         value = (cut * (np.int64(1) << np.arange(self.bits, dtype=np.int64))).sum(axis=2)
         return value + (np.arange(self.tables, dtype=np.int64) << 40)
 
+    def sketches(self, code: np.ndarray) -> np.ndarray:
+        return np.ascontiguousarray(np.packbits(code[:, self.places], axis=1)).view(np.int64).ravel()
+
 
-def unit_rows(column: pa.Array, dim: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(row numbers, unit vectors in double precision) of the rows that have a direction and, if given, the length dim."""
-    rows, out = [], []
-    for i, v in enumerate(column):
-        values = v.values
-        if values is None or not len(values) or values.null_count or (dim and len(values) != dim):
-            continue
-        x = values.to_numpy(zero_copy_only=False).astype(np.float64)
-        top = np.abs(x).max()
-        if not np.isfinite(top) or top == 0:
-            continue
-        x = x / top
-        rows.append(i)
-        out.append(x / np.linalg.norm(x))
-    return np.array(rows, np.int64), np.array(out).reshape(len(out), -1) if out else np.zeros((0, dim or 0))
+def unit_rows(column: pa.ListArray, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row numbers, unit vectors in double precision) of the rows that have `dim` components and a direction."""
+    lengths = pc.fill_null(pc.list_value_length(column), 0).to_numpy()
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)  # null components are NaN
+    rows = np.flatnonzero(lengths == dim)
+    x = flat[(np.cumsum(lengths) - lengths)[rows][:, None] + np.arange(dim)]
+    top = np.abs(x).max(axis=1, initial=0)
+    fine = np.isfinite(top) & (top > 0)
+    x = x[fine] / top[fine, None]
+    return rows[fine], x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 def fit(vectors: DataFrame, threshold: float, fit_rows: int = FIT_ROWS) -> Codes | None:
@@ -111,34 +114,70 @@ def fit(vectors: DataFrame, threshold: float, fit_rows: int = FIT_ROWS) -> Codes
     _, unit = unit_rows(sample.column("embedding").combine_chunks(), dim)
     if not len(unit):
         return None
-    return Codes(unit, threshold, min(28, max(8, round(math.log2(n)))))
+    return Codes(unit, threshold, min(28, max(8, round(math.log2(n)) - 2)))
+
+
+def near_entries(keyed: DataFrame, near: int) -> DataFrame:
+    """(key, id) of the entries of keyed (key, id, sketch) with another one of the bucket whose sketch is near.
+
+    Buckets that a sample of the ids finds large are cut into blocks; one that it doesn't find is only slower.
+    """
+    sampled = keyed.filter(F.pmod(F.xxhash64(F.lit(64), "id"), F.lit(HOT_SAMPLE)) == 0)
+    hot = materialise(sampled.groupBy("key").agg((F.count(F.lit(1)) * HOT_SAMPLE).alias("size")).filter(F.col("size") > BLOCK), "embedding-hot")
+    sized = keyed.withColumn("size", F.lit(1).cast("long"))
+    if not hot.isEmpty():
+        sized = keyed.join(hot, "key", "left").withColumn("size", F.coalesce("size", F.lit(1)))
+
+    def task(chunks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, _ in units(chunks, ("key", "bi", "bj")):
+            key, ids, sketch, bi, bj, side = (table.column(c).to_numpy() for c in ("key", "id", "sketch", "bi", "bj", "side"))
+            sketch = sketch.view(np.uint64)  # signed bits are counted without their sign
+            on, i, d = np.zeros(len(key), bool), np.arange(len(key)), 1
+            while len(i := i[: np.searchsorted(i, len(key) - d)]):
+                j = i + d
+                i = i[(key[i] == key[j]) & (bi[i] == bi[j]) & (bj[i] == bj[j])]
+                close = i[(np.bitwise_count(sketch[i] ^ sketch[i + d]) <= near) & ((bi[i] == bj[i]) | (side[i] != side[i + d]))]
+                on[close] = on[close + d] = True
+                d += 1
+            yield pa.RecordBatch.from_arrays([pa.array(key[on]), pa.array(ids[on])], names=["key", "id"])
+
+    return block_pairs(sized, "key", "size", "id").mapInArrow(task, "key long, id long").distinct()
 
 
 def links_in(dealt: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, n): for each unit a spanning forest of its links as rows (a, b, null), and (a, null, n): vectors linked with a."""
+    """(a, b, n): for each unit a spanning forest of its links as ids (a, b, null), and (item, null, n): vectors linked with it.
+
+    A link belongs to the first table in which its vectors agree.
+    """
 
     def task(chunks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, bounds in units(chunks, ("cluster", "bi", "bj")):
-            ids, side, times = (table.column(c).to_numpy() for c in ("id", "side", "times"))
-            bi, bj = table.column("bi").to_numpy(), table.column("bj").to_numpy()
+        for table, bounds in units(chunks, ("key", "bi", "bj")):
+            items, ids, side, times, bi, bj = (table.column(c).to_numpy() for c in ("item", "id", "side", "times", "bi", "bj"))
+            at = table.column("key").to_numpy() >> 40
             unit = fixed_rows(table.column("unit"), np.float64)
-            edges, counts = [], []
+            keys = table.column("keys").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
+            edges, who, n = [], [], []
             for a, b in bounds:
-                linked = unit[a:b] @ unit[a:b].T >= threshold
-                np.fill_diagonal(linked, False)
+                i, j = np.nonzero(np.triu(unit[a:b] @ unit[a:b].T >= threshold, 1))
                 if bi[a] != bj[a]:
-                    linked &= side[a:b, None] != side[None, a:b]
-                counts.append((ids[a:b], linked.astype(np.int64) @ times[a:b]))
+                    across = side[a + i] != side[a + j]
+                    i, j = i[across], j[across]
+                first = np.concatenate([(keys[a + i[k : k + 65536]] == keys[a + j[k : k + 65536]]).argmax(axis=1) for k in range(0, len(i), 65536)] or [i])
+                i, j = i[first == at[a]], j[first == at[a]]
+                who += [items[a + i], items[a + j]]
+                n += [times[a + j], times[a + i]]
                 label = np.arange(b - a)
-                for i in range(b - a):
-                    for j in np.flatnonzero(linked[i] & (label != label[i])).tolist():
-                        if label[i] != label[j]:
-                            label[label == label[j]] = label[i]
-                            edges.append((ids[a + i], ids[a + j]))
+                while len(i):  # the first of the pairs that aren't connected yet
+                    edges.append((ids[a + i[0]], ids[a + j[0]]))
+                    label[label == label[j[0]]] = label[i[0]]
+                    apart = label[i] != label[j]
+                    i, j = i[apart], j[apart]
             e = edge_batch(edges)
-            who, n = np.concatenate([c[0] for c in counts]), np.concatenate([c[1] for c in counts])
             yield pa.RecordBatch.from_arrays([e.column("a"), e.column("b"), pa.nulls(e.num_rows, pa.int64())], names=["a", "b", "n"])
-            yield pa.RecordBatch.from_arrays([pa.array(who), pa.nulls(len(who), pa.int64()), pa.array(n)], names=["a", "b", "n"])
+            one, back = np.unique(np.concatenate(who), return_inverse=True)
+            total = np.zeros(len(one), np.int64)
+            np.add.at(total, back, np.concatenate(n))
+            yield pa.RecordBatch.from_arrays([pa.array(one), pa.nulls(len(one), pa.int64()), pa.array(total)], names=["a", "b", "n"])
 
     return dealt.mapInArrow(task, "a long, b long, n long")
 
@@ -147,7 +186,7 @@ def embedding_links(vectors: DataFrame, threshold: float = 0.95, fit_rows: int =
     """(vec_id, n_links, component_id, kept) of each row.
 
     Vectors that are null, empty, zero, hold null or non-finite components, or have another length than most, link with
-    nothing. Rows with the same vec_id count as one node: their links go together. Rows without id have no links,
+    nothing. Rows with the same vec_id count as one node: their links go together, n_links adds up. Rows without id have no links,
     component_id null, and are kept. An empty table gives no rows; extra columns are ignored.
     """
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
@@ -160,32 +199,26 @@ def embedding_links(vectors: DataFrame, threshold: float = 0.95, fit_rows: int =
             at, unit = unit_rows(chunk.column("embedding"), codes.dim)
             if len(at):
                 code = codes.encode(unit)
-                ids = chunk.column("vec_id").take(pa.array(at))
-                digests = [hashlib.blake2b(u.tobytes(), digest_size=16).digest() for u in unit]
-                packed = np.packbits(np.pad(code, ((0, 0), (0, -code.shape[1] % 64))), axis=1)
-                columns = [ids, pa.array(digests, pa.binary()), pa.array(codes.keys(code).tolist(), pa.list_(pa.int64())), pa.array([x.tobytes() for x in packed], pa.binary()), pa.array([u.tobytes() for u in unit], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["vec_id", "digest", "keys", "code", "unit"])
+                digests = pa.array([hashlib.blake2b(u, digest_size=16).digest() for u in unit], pa.binary())
+                keys = pa.ListArray.from_arrays(np.arange(len(at) + 1, dtype=np.int32) * codes.tables, codes.keys(code).ravel())
+                raw = pa.Array.from_buffers(pa.binary(8 * codes.dim), len(at), [None, pa.py_buffer(unit)]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([chunk.column("vec_id").take(pa.array(at)), digests, keys, pa.array(codes.sketches(code)), raw], names=["vec_id", "digest", "keys", "sketch", "unit"])
 
-    coded = materialise(rows.filter("vec_id is not null").mapInArrow(encode, "vec_id long, digest binary, keys array<long>, code binary, unit binary"), "embedding-codes")
+    small_batches(vectors.sparkSession)
+    coded = materialise(rows.filter("vec_id is not null").mapInArrow(encode, "vec_id long, digest binary, keys array<long>, sketch long, unit binary"), "embedding-codes")
     classes = materialise(coded.groupBy("digest").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("times")), "embedding-classes")
-    lead = materialise(coded.join(classes, "digest").filter("vec_id = id").dropDuplicates(["digest"]).select("id", "times", "keys", "code", "unit"), "embedding-leads")
-    keyed = lead.select(F.explode("keys").alias("key"), "id")
-    near = codes.near
-
-    def passes(table: pa.Table):
-        code = fixed_rows(table.column("code"), np.uint64)
-        return lambda i, js: np.bitwise_count(code[js] ^ code[i]).sum(axis=1) <= near
-
-    found = forest(block_pairs(repeated(keyed).join(lead.select("id", "code"), "id"), "key", "size", "id"), passes, "key")
-    clusters = materialise(components(found, "embedding-clusters"), "embedding-clusters")
-    sizes = clusters.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    members = clusters.join(sizes, "component").select("id", F.col("component").alias("cluster"), "size").join(lead.select("id", "times", "unit"), "id")
-    links = materialise(links_in(block_pairs(members, "cluster", "size", "id"), threshold), "embedding-links")
-    counts = links.filter("b is null").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("others"))
+    lead = materialise(coded.join(classes, "digest").filter("vec_id = id").dropDuplicates(["digest"]).select("id", "digest", "times", "keys", "sketch", "unit"), "embedding-leads")
+    # of two vectors that share an id, each is an item
+    lead = materialise(lead.withColumn("item", F.monotonically_increasing_id()), "embedding-items")
+    active = materialise(near_entries(lead.select(F.explode("keys").alias("key"), F.col("item").alias("id"), "sketch"), codes.near), "embedding-near")
+    sizes = active.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
+    members = active.join(sizes, "key").withColumnRenamed("id", "item").join(lead.select("item", "id", "times", "keys", "unit"), "item")
+    links = materialise(links_in(block_pairs(members, "key", "size", "item"), threshold), "embedding-links")
+    counts = links.filter("b is null").groupBy(F.col("a").alias("item")).agg(F.sum("n").alias("others"))
     # all members of a class share its links; rows that share an id tie their classes together
     ties = coded.join(classes, "digest").filter("vec_id != id").select(F.col("vec_id").alias("a"), F.col("id").alias("b"))
     whole = components(links.filter("b is not null").select("a", "b").unionByName(ties), "embedding-components")
-    own = coded.select("vec_id", "digest").join(classes, "digest").join(counts, "id", "left")
+    own = coded.select("vec_id", "digest").join(lead.select("digest", "item", "times"), "digest").join(counts, "item", "left")
     own = own.groupBy("vec_id").agg(F.sum(F.coalesce("others", F.lit(0)) + F.col("times") - 1).alias("n_links"))
     out = rows.select("vec_id").join(own, "vec_id", "left").join(whole.select(F.col("id").alias("vec_id"), "component"), "vec_id", "left")
     component = F.coalesce("component", "vec_id")
