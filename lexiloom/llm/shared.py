@@ -1,30 +1,34 @@
-"""Helpers that the training-data operators share: scratch tables, seeded hashes, row numbers."""
+"""Helpers that the training-data operators share: scratch tables, seeded hashes, what Python workers keep."""
 
 from __future__ import annotations
 
-import uuid
+import gc
+from collections.abc import Callable
+
+import pyarrow as pa
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Only used where spark.checkpoint.dir is unset, as in tests on one machine.
-LOCAL_SCRATCH = "/tmp/checkpoints"
-
+from lexiloom.plans.scratch import materialise, scratch_path  # noqa: F401  one place for tables in the middle of a plan
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster (spark.checkpoint.dir), or LOCAL_SCRATCH where none is set."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SCRATCH).rstrip("/")
+_KEPT: dict[object, object] = {}
 
 
-def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_dir(spark)}/lexiloom/{label}-{uuid.uuid4().hex}"
+def worker_cache(key: object, make: Callable[[], object]) -> object:
+    """What a Python worker keeps from task to task: one object only, made anew for another key."""
+    if key not in _KEPT:
+        clear_worker()
+        _KEPT[key] = make()
+    return _KEPT[key]
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: cuts lineage, survives lost executors."""
-    path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def clear_worker() -> None:
+    """Gives back what the worker's earlier tasks have kept: called by tasks that keep nothing themselves."""
+    if _KEPT:
+        _KEPT.clear()
+        gc.collect()
+    pa.default_memory_pool().release_unused()
 
 
 def seeded(seed: int, *cols: Column) -> Column:

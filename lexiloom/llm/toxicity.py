@@ -1,44 +1,46 @@
 """Operator 10, toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
 Examples are labels of documents outside the held-out fold only, EXAMPLES of each class on average, chosen by a hash of
-doc_id. A document's vector has two parts of equal weight: the words in lower case that any example has, and the marked
-terms, words and their beginnings of PREFIXES letters whose share of toxic examples is surely high. Both are TF-IDF
-vectors whose idf counts all documents; a document without a marked term has the first part alone. So wording that no
-marked term covers has neighbours too, and a copy of an example has a cosine of 1.
-
-The index holds the postings of the examples. Words of few examples are scored in full, and their k-th best score is a
-floor of the k-th best cosine; the HEAVY commonest terms lie in blocks of examples with the greatest weight of each
-term. Both give a bound for every block, and each block is scored whose bound reaches the floor, so the neighbours are
-exact. Their labels, weighted by cosine, and a prior give the score; the neighbours and marked terms are its evidence.
-Documents without any term get the share of toxic examples among examples without one.
-
-Everything a task holds is bounded by the texts of the examples, TERMS and one batch of texts.
+doc_id. Terms are runs of letters and digits in lower case, all that any example has. A document's vector has two parts
+of equal weight: all its terms, and the marked ones, terms and beginnings of terms whose share of toxic examples is surely
+above one half. Both are TF-IDF vectors whose idf counts all documents; a document without a marked term has the first
+part alone. So wording that no marked term covers has neighbours too, and a copy of an example has a cosine of 1.
+
+The index holds the postings of the examples. Frequent terms lie in blocks of examples with the greatest weight of each
+term there; the postings of all other terms are added up. Both give a bound of each block. The blocks with the highest
+bounds are scored first, their k-th best cosine is a floor, and every other block is scored whose bound reaches it: the
+neighbours are exact. Their labels, weighted by cosine, and a prior give the score; neighbours and marked terms are its
+evidence. Documents without any term get the share of toxic examples among examples without one.
+
+Everything that the driver or a task holds is bounded by the texts of the examples and one batch of texts.
 """
 
 from __future__ import annotations
 
-import os
-from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexiloom.llm.shared import materialise, small_batches, unit
+from lexiloom.llm.shared import clear_worker, materialise, small_batches, unit
+from lexiloom.llm.texts import RangeHashes, as_bytes, batches, mixed, runs
 
-#: Labelled examples of each class (on average) and kept terms: the bounds of what is fitted.
-EXAMPLES, TERMS = 20_000, 4_000
+#: Labelled examples of each class, on average: the bound of what is fitted.
+EXAMPLES = 8_000
+#: Bytes of the beginnings of terms that may be marked.
 PREFIXES = (4, 5, 6, 7)
-#: A term is kept from so many toxic examples, or such a share of them, on if the lower bound of its share of toxic documents exceeds LEAST.
+#: A term is marked if so many toxic examples and such a share of them have it, and its share of toxic examples is surely above LEAST.
 MIN_TOXIC, MIN_SHARE, LEAST = 5, 0.01, 0.5
-NEIGHBOURS, PRIOR, INDEX_BLOCK, HEAVY, QUERIES = 16, 0.5, 128, 512, 64
-BATCH_CHARS, CACHE_UNITS = 2_000_000, 400_000
-_EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
+NEIGHBOURS, PRIOR, INDEX_BLOCK, QUERIES = 16, 0.5, 128, 64
+#: A term that more of the examples have is frequent; blocks scored before the rest.
+FREQUENT, EARLY = 0.1, 6
+BATCH_BYTES = 1_000_000
+
+_MEMBER = np.array([chr(b).isalnum() or b >= 128 for b in range(128)] + [True] * 128)
+_BEGINS = np.uint64(0x5851F42D4C957F2D)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -46,245 +48,228 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def terms_of(unit_text: str) -> list[str]:
-    """The terms of a piece of text: each word, and its beginnings marked by ^."""
-    out = []
-    for raw in unit_text.split():
-        word = raw.strip(_EDGES).lower()
-        if len(word) > 1:
-            out.append(word)
-            out += ["^" + word[:k] for k in PREFIXES if len(word) >= k]
-    return out
+def text_batches(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    return batches(pc.binary_length(texts).to_numpy().tolist(), BATCH_BYTES)
+
+
+class Found:
+    """The terms of some texts in order: text number, place, key of the whole term."""
 
+    def __init__(self, texts: pa.Array):
+        self.data, bounds = as_bytes(pc.utf8_lower(texts))
+        start, stop, row = runs(_MEMBER[self.data], bounds)
+        long = stop - start > 1
+        self.start, self.stop, self.row = start[long], stop[long], row[long]
+        self.hashes = RangeHashes(self.data)
+        self.key = self.hashes.of(self.start, self.stop).view(np.int64)
 
-def _batches(texts: list[str]) -> Iterator[tuple[int, int]]:
-    start, held = 0, 0
-    for i, t in enumerate(texts):
-        if held and held + len(t) > BATCH_CHARS:
-            yield start, i
-            start, held = i, 0
-        held += len(t)
-    if start < len(texts):
-        yield start, len(texts)
+    def beginnings(self, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """(which terms have so many bytes, the keys of their beginnings)."""
+        which = np.flatnonzero(self.stop - self.start >= length)
+        return which, mixed(self.hashes.of(self.start[which], self.start[which] + length) ^ _BEGINS).view(np.int64)
 
 
 def term_counts(examples: DataFrame) -> DataFrame:
-    """(term, toxic, clean): in how many examples (text, label) of each class a term occurs."""
+    """(key, term, toxic, clean): in how many texts (text, label) of each class a term occurs; ^ marks beginnings."""
 
     def task(chunks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        clear_worker()
         for chunk in chunks:
-            texts, labels = chunk.column("text").to_pylist(), chunk.column("label").to_pylist()
-            for a, b in _batches(texts):
-                counts: tuple[Counter, Counter] = (Counter(), Counter())
-                for t, y in zip(texts[a:b], labels[a:b], strict=True):
-                    counts[y].update({x for u in set(t.split()) for x in terms_of(u)})
-                names = list(counts[1] | counts[0])
-                columns = [pa.array(names, pa.string()), *(pa.array([c[n] for n in names], pa.int64()) for c in (counts[1], counts[0]))]
-                yield pa.RecordBatch.from_arrays(columns, names=["term", "toxic", "clean"])
-
-    return examples.mapInArrow(task, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-
-
-def kept_terms(counts: DataFrame, toxic_rate: float, clean_rate: float, toxic: float, clean: float) -> list[str]:
-    """The terms whose share of toxic documents is surely above LEAST (Wilson's lower bound), strongest first.
-
-    The rates undo the sampling of the classes; toxic and clean are the sampled sizes.
+            labels = chunk.column("label").to_numpy()
+            for a, b in text_batches(chunk.column("text")):
+                found = Found(chunk.column("text").slice(a, b - a))
+                for length in (None, *PREFIXES):
+                    which, key = (np.arange(len(found.key)), found.key) if length is None else found.beginnings(length)
+                    if not len(which):
+                        continue
+                    row, start = found.row[which], found.start[which]
+                    by = np.lexsort((row, key))
+                    key, row, start, which = key[by], row[by], start[by], which[by]
+                    new = np.ones(len(key), bool)
+                    new[1:] = key[1:] != key[:-1]
+                    once = new.copy()
+                    once[1:] |= row[1:] != row[:-1]
+                    toxic = labels[a + row] == 1
+                    at = np.flatnonzero(new)
+                    ends = start[at] + length if length else found.stop[which[at]]
+                    raw = found.data.tobytes()
+                    mark = "^" if length else ""
+                    names = [mark + raw[s:e].decode("utf-8", "replace") for s, e in zip(start[at].tolist(), ends.tolist(), strict=True)]
+                    columns = [key[at], names, np.add.reduceat((once & toxic).astype(np.int64), at), np.add.reduceat((once & ~toxic).astype(np.int64), at)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "term", "toxic", "clean"])
+
+    counted = examples.mapInArrow(task, "key long, term string, toxic long, clean long")
+    return counted.groupBy("key").agg(F.min("term").alias("term"), F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+
+
+def marked_terms(counts: DataFrame, toxic_rate: float, clean_rate: float, toxic: float) -> DataFrame:
+    """(key, term) of the terms whose share of toxic documents is surely above LEAST (Wilson's lower bound).
+
+    The rates undo the sampling of the classes; toxic is the sampled size. As each has MIN_SHARE of the toxic examples,
+    there are at most as many as 1 / MIN_SHARE examples have terms and beginnings.
     """
     n = F.col("toxic") + F.col("clean") * (toxic_rate / clean_rate)
     p, z = F.col("toxic") / n, 1.96
     lower = (p + z * z / (2 * n) - z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
-    gain = F.col("toxic") / F.lit(max(toxic, 1.0)) - F.col("clean") / F.lit(max(clean, 1.0))
-    sure = counts.filter(F.col("toxic") >= max(MIN_TOXIC, MIN_SHARE * toxic)).filter(lower > LEAST)
-    return [r["term"] for r in sure.orderBy(F.desc(gain), "term").limit(TERMS).select("term").collect()]
-
-
-def word_key(word: str) -> int:
-    """64 bits of a word, the same in all Python workers: Spark gives them one hash seed."""
-    return hash(word)
-
-
-def _same_seed() -> None:
-    if os.environ.get("PYTHONHASHSEED", "random") == "random":
-        raise RuntimeError("Python workers need one PYTHONHASHSEED")
-
-
-def word_keys(counts: DataFrame) -> np.ndarray:
-    """The sorted keys of the words of term_counts()."""
-
-    def task(chunks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _same_seed()
-        for chunk in chunks:
-            yield pa.RecordBatch.from_arrays([pa.array([word_key(w) for w in chunk.column("term").to_pylist()], pa.int64())], names=["key"])
-
-    return np.unique(counts.filter(~F.col("term").startswith("^")).select("term").mapInArrow(task, "key long").toArrow().column("key").to_numpy())
-
-
-class TermHits:
-    """Finds the terms of texts, each distinct unit of a batch once: numbers of words, then those of marked terms."""
-
-    def __init__(self, words: np.ndarray, terms: list[str]):
-        _same_seed()
-        self.words, self.size = words, len(words) + len(terms)  # words: sorted keys
-        self.marked, self.seen = {t: len(words) + i for i, t in enumerate(terms)}, {}
-        self.begin = {t[1 : 1 + PREFIXES[0]] for t in terms if t[0] == "^"}
-
-    def _learn(self, units: list[str]) -> None:
-        new, plain, owner, marked = [u for u in units if u not in self.seen], [], [], {}
-        for i, u in enumerate(new):
-            for raw in u.split():
-                word = raw.strip(_EDGES).lower()
-                if len(word) > 1:
-                    plain.append(word)
-                    owner.append(i)
-                    if word in self.marked or word[: PREFIXES[0]] in self.begin:
-                        marked.setdefault(i, []).extend([self.marked[t] for t in terms_of(raw) if t in self.marked])
-        keys = np.fromiter(map(word_key, plain), np.int64, len(plain))
-        at = np.minimum(np.searchsorted(self.words, keys), max(0, len(self.words) - 1))
-        known = np.flatnonzero(self.words[at] == keys) if len(self.words) else np.zeros(0, np.int64)
-        self.seen.update(dict.fromkeys(new, ()))
-        for k, x in zip(known.tolist(), at[known].tolist(), strict=True):
-            self.seen[new[owner[k]]] += (x,)
-        for i, m in marked.items():
-            self.seen[new[i]] += tuple(m)
-
-    def find(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """(terms, tf) of each text, sorted by term."""
-        split = pc.split_pattern(pa.array(texts, pa.string()), " ")
-        coded = split.flatten().dictionary_encode()
-        units = coded.dictionary.to_pylist()
-        if len(self.seen) + len(units) > CACHE_UNITS:
-            self.seen.clear()
-        self._learn(units)
-        hits = [self.seen[u] for u in units]
-        sizes = np.fromiter(map(len, hits), np.int64, len(hits))
-        flat, first = np.fromiter(chain.from_iterable(hits), np.int64, int(sizes.sum())), np.cumsum(sizes) - sizes
-        indices = coded.indices.to_numpy()
-        each = sizes[indices]
-        rows = np.repeat(np.repeat(np.arange(len(texts)), np.diff(split.offsets.to_numpy())), each)
-        terms = flat[np.repeat(first[indices] - (np.cumsum(each) - each), each) + np.arange(int(each.sum()))]
-        cells, tf = np.unique(rows * max(1, self.size) + terms, return_counts=True)
-        cuts = np.searchsorted(cells, np.arange(len(texts) + 1) * max(1, self.size))
-        terms = cells % max(1, self.size)
-        return [(terms[a:b], tf[a:b]) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
-
-
-def document_counts(docs: DataFrame, known: Broadcast) -> DataFrame:
+    return counts.filter(F.col("toxic") >= max(MIN_TOXIC, MIN_SHARE * toxic)).filter(lower > LEAST).select("key", "term")
+
+
+class Terms:
+    """Numbers of the known terms: first all terms of the examples, then the marked ones, both by sorted keys."""
+
+    def __init__(self, words: np.ndarray, marked: np.ndarray):
+        self.words, self.marked, self.size = words, marked, len(words) + len(marked)
+
+    @staticmethod
+    def _numbers(known: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which keys are known, their numbers)."""
+        at = np.minimum(np.searchsorted(known, keys), max(0, len(known) - 1))
+        which = np.flatnonzero(known[at] == keys) if len(known) else np.zeros(0, np.int64)
+        return which, at[which]
+
+    def find(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, term, tf), sorted by text and term."""
+        found = Found(texts)
+        distinct, back = np.unique(found.key, return_inverse=True)
+        number = np.full(len(distinct), -1)
+        which, at = self._numbers(self.words, distinct)
+        number[which] = at
+        number = number[back]
+        cells = [found.row[number >= 0] * self.size + number[number >= 0]]
+        for length in (None, *PREFIXES) if len(self.marked) else ():
+            of, keys = (np.arange(len(found.key)), found.key) if length is None else found.beginnings(length)
+            which, at = self._numbers(self.marked, keys)
+            cells.append(found.row[of[which]] * self.size + len(self.words) + at)
+        cell, tf = np.unique(np.concatenate(cells), return_counts=True)
+        return cell // max(1, self.size), cell % max(1, self.size), tf
+
+    def vectors(self, found: tuple[np.ndarray, np.ndarray, np.ndarray], n: int, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, term, weight): the unit vectors of n texts, their two parts of equal weight."""
+        row, term, tf = found
+        v = (1 + np.log(tf)) * idf[term]
+        part = 2 * row + (term >= len(self.words))
+        square = np.bincount(part, v * v, 2 * n)
+        parts = (square.reshape(n, 2) > 0).sum(axis=1)
+        return row, term, v / np.sqrt(square[part] * parts[row])
+
+
+def document_counts(docs: DataFrame, known) -> DataFrame:
     """(term, n): in how many documents (text) each term occurs, by number."""
 
     def task(chunks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = TermHits(*known.value)
-        n = np.zeros(finder.size, np.int64)
+        clear_worker()
+        terms = known.value
+        n = np.zeros(terms.size, np.int64)
         for chunk in chunks:
-            texts = chunk.column("text").to_pylist()
-            for a, b in _batches(texts):
-                for t, _ in finder.find(texts[a:b]):
-                    n[t] += 1
-        terms = np.flatnonzero(n)
-        for a in range(0, len(terms), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(terms[a : a + 100_000]), pa.array(n[terms[a : a + 100_000]])], names=["term", "n"])
+            for a, b in text_batches(chunk.column("text")):
+                n += np.bincount(terms.find(chunk.column("text").slice(a, b - a))[1], minlength=terms.size)
+        some = np.flatnonzero(n)
+        for a in range(0, len(some), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(some[a : a + 100_000]), pa.array(n[some[a : a + 100_000]])], names=["term", "n"])
 
     return docs.select("text").mapInArrow(task, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
-def example_hits(own: DataFrame, known: Broadcast) -> DataFrame:
-    """(doc_id, label, terms, tf) of each example, the last two as bytes of int32."""
+def example_terms(own: DataFrame, known) -> DataFrame:
+    """(doc_id, label, h, terms, tf) of each example, the last two as bytes of int32; h tells repeated ids apart."""
 
     def task(chunks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = TermHits(*known.value)
+        clear_worker()
         for chunk in chunks:
-            texts = chunk.column("text").to_pylist()
-            for a, b in _batches(texts):
-                found = finder.find(texts[a:b])
-                columns = [chunk.column(c).slice(a, b - a) for c in ("doc_id", "label")]
-                columns += [pa.array([f[k].astype(np.int32).tobytes() for f in found], pa.binary()) for k in (0, 1)]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "label", "terms", "tf"])
+            for a, b in text_batches(chunk.column("text")):
+                row, term, tf = known.value.find(chunk.column("text").slice(a, b - a))
+                cuts = np.searchsorted(row, np.arange(b - a + 1)).tolist()
+                columns = [chunk.column(c).slice(a, b - a) for c in ("doc_id", "label", "h")]
+                columns += [pa.array([x[s:e].astype(np.int32).tobytes() for s, e in zip(cuts, cuts[1:])], pa.binary()) for x in (term, tf)]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "label", "h", "terms", "tf"])
 
-    return own.select("doc_id", "label", "text").mapInArrow(task, "doc_id long, label int, terms binary, tf binary")
+    return own.select("doc_id", "label", F.xxhash64("text").alias("h"), "text").mapInArrow(task, "doc_id long, label int, h long, terms binary, tf binary")
 
 
 class BlockMaxIndex:
-    """Postings of unit vectors by term; the commonest terms by blocks of examples, with their greatest weight in each."""
+    """Postings of unit vectors by term; frequent terms by blocks of examples, with their greatest weight in each.
+
+    ids: of the examples; vectors: (example, term, weight), sorted by example.
+    """
 
-    def __init__(self, ids: np.ndarray, labels: np.ndarray, weights: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int):
+    def __init__(self, ids: np.ndarray, labels: np.ndarray, weights: np.ndarray, vectors: tuple[np.ndarray, np.ndarray, np.ndarray], n_terms: int, frequent: float = FREQUENT):
+        row, term, value = vectors
+        n = len(ids)
         # examples that share their heaviest term lie together, so that few blocks have high bounds for a query
-        order = sorted(range(len(ids)), key=lambda i: (int(vectors[i][0][vectors[i][1].argmax()]), int(ids[i])))
+        top = np.full(n, -1)
+        by = np.lexsort((value, row))
+        last = np.append(row[by][1:] != row[by][:-1], True) if len(row) else np.zeros(0, bool)
+        top[row[by][last]] = term[by][last]
+        order = np.lexsort((ids, top))
         self.ids, self.labels, self.weights = ids[order], labels[order], weights[order]
-        self.blocks = max(1, -(-len(order) // INDEX_BLOCK))
-        lens = [len(vectors[i][0]) for i in order]
-        term = np.concatenate([vectors[i][0] for i in order], dtype=np.int32, casting="same_kind") if order else np.zeros(0, np.int32)
-        value = np.concatenate([vectors[i][1] for i in order], dtype=np.float32, casting="same_kind") if order else np.zeros(0, np.float32)
-        row = np.repeat(np.arange(len(order), dtype=np.int32), lens)
-        count = np.bincount(term, minlength=n_terms)
-        heavy = np.argsort(-count, kind="stable")[:HEAVY]
-        self.place = np.full(n_terms, -1, np.int32)  # of a heavy term
-        self.place[heavy] = np.arange(len(heavy))
+        spot = np.empty(n, np.int64)
+        spot[order] = np.arange(n)
+        row, value = spot[row], value.astype(np.float32)
+        self.blocks = max(1, -(-n // INDEX_BLOCK))
+        self.places = self.blocks * INDEX_BLOCK
+        often = np.flatnonzero(np.bincount(term, minlength=n_terms) > frequent * n)
+        self.place = np.full(n_terms, -1, np.int32)  # of a frequent term
+        self.place[often] = np.arange(len(often))
         dense = self.place[term] >= 0
-        self.heavy = np.zeros((self.blocks, len(heavy), INDEX_BLOCK), np.float32)
+        self.heavy = np.zeros((self.blocks, len(often), INDEX_BLOCK), np.float32)
         self.heavy[row[dense] // INDEX_BLOCK, self.place[term[dense]], row[dense] % INDEX_BLOCK] = value[dense]
-        self.most = self.heavy.max(axis=2).T.copy() if len(heavy) else np.zeros((0, self.blocks), np.float32)
-        term, value, row = term[~dense], value[~dense], row[~dense]
+        self.most = self.heavy.max(axis=2, initial=0).T.copy()
+        row, term, value = row[~dense], term[~dense], value[~dense]
         by = np.argsort(term, kind="stable")
-        self.row, self.value = row[by], value[by]
+        self.row, self.value = row[by].astype(np.int32), value[by]
         self.start = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=n_terms))])
 
-    def _rare(self, terms: np.ndarray, values: np.ndarray) -> np.ndarray:
-        """The whole score of each example by the terms that aren't heavy."""
-        s, n = self.start[terms], self.start[terms + 1] - self.start[terms]
-        long = n > 200
-        v, s_few, n_few = values[~long], s[~long], n[~long]
-        at = np.repeat(s_few - (np.cumsum(n_few) - n_few), n_few) + np.arange(int(n_few.sum()))
-        out = np.bincount(self.row[at], self.value[at] * np.repeat(v, n_few), minlength=self.blocks * INDEX_BLOCK).astype(float)
-        for a, k, x in zip(s[long].tolist(), n[long].tolist(), values[long].tolist(), strict=True):
-            out[self.row[a : a + k]] += x * self.value[a : a + k]
-        return out.reshape(self.blocks, INDEX_BLOCK)
-
-    def nearest_of(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, skips: list) -> list[tuple[np.ndarray, np.ndarray]]:
-        """nearest() for each of the queries; blocks are scored for the queries whose bounds reach them."""
-        score = np.empty((len(queries), self.blocks, INDEX_BLOCK))
-        common = np.zeros((len(queries), self.heavy.shape[1]), np.float32)
-        least = np.zeros(len(queries))
-        for i, ((terms, values), skip) in enumerate(zip(queries, skips, strict=True)):
-            place = self.place[terms]
-            dense = place >= 0
-            common[i, place[dense]] = values[dense]
-            score[i] = self._rare(terms[~dense], values[~dense])
+    def nearest(self, queries: tuple[np.ndarray, np.ndarray, np.ndarray], n: int, k: int, skips: list) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each of n queries (query, term, weight): (rows, cosines) of the k nearest examples with a cosine above 0.
+
+        Ties go by row; never the example whose id is the query's of skips.
+        """
+        query, term, value = queries
+        place = self.place[term]
+        common = np.zeros((n, self.heavy.shape[1]), np.float32)
+        common[query[place >= 0], place[place >= 0]] = value[place >= 0]
+        query, term, value = query[place < 0], term[place < 0], value[place < 0]
+        length = self.start[term + 1] - self.start[term]
+        at = np.repeat(self.start[term] - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))
+        score = np.bincount(np.repeat(query * self.places, length) + self.row[at], np.repeat(value, length) * self.value[at], n * self.places)
+        score = score.astype(np.float32).reshape(n, self.blocks, INDEX_BLOCK)
+        flat = score.reshape(n, -1)
+        for i, skip in enumerate(skips):
             if skip is not None:
-                score[i].ravel()[np.flatnonzero(self.ids == skip)] = -np.inf
-            if len(self.ids) > k:  # the k-th best cosine is no less than that of the rare terms alone
-                least[i] = max(0.0, np.partition(score[i].ravel(), -k)[-k] - 1e-5)  # values have 32 bits
+                flat[i, : len(self.ids)][self.ids == skip] = -np.inf
+        flat[:, len(self.ids) :] = -np.inf
         bound = score.max(axis=2) + common @ self.most
-        for b in range(self.blocks):
-            some = np.flatnonzero((bound[:, b] > 0) & (bound[:, b] >= least))
-            score[some, b] += common[some] @ self.heavy[b]
+        early = bound >= np.partition(bound, max(0, self.blocks - EARLY), axis=1)[:, max(0, self.blocks - EARLY)][:, None]
+        self._add(score, common, early & (bound > 0))
+        best = np.where(early[:, :, None], score, -np.inf).reshape(n, -1)
+        floor = np.maximum(0, np.partition(best, -min(k, self.places), axis=1)[:, -min(k, self.places)] - 1e-5)  # weights have 32 bits
+        reached = (bound > 0) & (bound >= floor[:, None])
+        self._add(score, common, reached & ~early)
         out = []
-        for i in range(len(queries)):
-            flat = score[i].ravel()
-            rows = np.flatnonzero((flat > 0) & (flat >= least[i]))
-            rows = rows[np.lexsort((rows, -np.round(flat[rows], 6)))[:k]]
-            out.append((rows, flat[rows]))
+        for i in range(n):
+            blocks = np.flatnonzero(reached[i] | early[i])
+            inside = score[i, blocks]
+            b, x = np.nonzero((inside > 0) & (inside >= floor[i]))
+            cosine = inside[b, x].astype(float)
+            rows = blocks[b] * INDEX_BLOCK + x
+            by = np.lexsort((rows, -np.round(cosine, 6)))[:k]
+            out.append((rows[by], np.minimum(cosine[by], 1.0)))
         return out
 
-    def nearest(self, terms: np.ndarray, values: np.ndarray, k: int, skip: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(rows, cosines) of the k nearest examples with a cosine above 0, ties by row; never the example with id skip."""
-        return self.nearest_of([(terms, values)], k, [skip])[0]
-
-
-def vector(terms: np.ndarray, tf: np.ndarray, idf: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """The unit vector of a document: its words (numbers below words) and its marked terms with equal weight."""
-    v = (1 + np.log(tf)) * idf[terms]
-    cut = int(np.searchsorted(terms, words))
-    for part in (v[:cut], v[cut:]):
-        if len(part):
-            part /= np.linalg.norm(part)
-    return terms, v / np.linalg.norm(v)
+    def _add(self, score: np.ndarray, common: np.ndarray, chosen: np.ndarray) -> None:
+        """Adds the frequent terms to the blocks that are chosen for a query."""
+        for b in np.flatnonzero(chosen.any(axis=0)).tolist():
+            some = np.flatnonzero(chosen[:, b])
+            score[some, b] += common[some] @ self.heavy[b]
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, neighbours: int = NEIGHBOURS) -> DataFrame:
-    """(doc_id, held_out, score, predicted, neighbours, cosines, terms) of each row of docs.
+    """(doc_id, h, held_out, score, predicted, neighbours, cosines, terms) of each row of docs; h: a hash of the text.
 
-    labels: (doc_id, toxic 0/1); null labels and ids are ignored, of several labels for a document the highest counts.
-    terms: the marked ones. Null and empty texts have no terms. Without toxic examples every score is 0. A document is never its own neighbour; equal documents with other ids are. Each input row gives
-    one row, an empty table none; extra columns are ignored.
+    labels: (doc_id, toxic 0/1); null labels and ids are ignored, of several labels for a document the highest counts, of
+    several texts that with the smallest hash. terms: the marked ones. Null and empty texts have no terms. Without toxic
+    examples every score is 0. A document is never its own neighbour; equal documents with other ids are. Rows with the
+    same id and text have the same score. Each input row gives one row, an empty table none; extra columns are ignored.
     """
     small_batches(docs.sparkSession)
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("label")).filter("doc_id is not null and label in (0, 1)")
@@ -294,71 +279,72 @@ def toxicity(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, neigh
     sample = learnt.filter(unit(F.xxhash64(F.lit(10), "doc_id")) < F.when(F.col("label") == 1, rate[1]).otherwise(rate[0]))
     sample = materialise(sample, "toxic-examples")  # 2 * examples rows on average: small enough to broadcast
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text"))
-    own = texts.join(F.broadcast(sample), "doc_id")
-    toxic, clean = sizes.get(1, 0) * rate[1], sizes.get(0, 0) * rate[0]
-    counts = materialise(term_counts(own.select("text", "label")), "toxic-terms")
-    terms = kept_terms(counts, rate[1], rate[0], toxic, clean)
-    words = word_keys(counts)
+    own = materialise(texts.join(F.broadcast(sample), "doc_id"), "toxic-texts")
+    once = own.groupBy(F.xxhash64("text").alias("h"), "label").agg(F.first("text").alias("text"))  # copies show nothing more
+    counts = materialise(term_counts(once.select("text", "label")), "toxic-terms")
+    marks = marked_terms(counts, rate[1], rate[0], sizes.get(1, 0) * rate[1]).toArrow().sort_by("key")
+    words = counts.filter(~F.col("term").startswith("^")).select("key").toArrow().column("key").to_numpy()  # those of the examples
     context = docs.sparkSession.sparkContext
-    known = context.broadcast((words, terms))
+    terms = Terms(np.sort(words), marks.column("key").to_numpy())
+    known = context.broadcast(terms)
 
-    df = np.zeros(max(1, len(words) + len(terms)))
-    counted = document_counts(texts, known).toArrow()  # a row for each word of the examples and kept term at most
+    df = np.zeros(max(1, terms.size))
+    counted = document_counts(texts, known).toArrow()  # a row for each term of the examples at most
     df[counted.column("term").to_numpy()] = counted.column("n").to_numpy()
     idf = np.log((1 + texts.count()) / (1 + df)) + 1
-    found = example_hits(own, known).toArrow()  # 2 * examples rows on average
-    ids, labelled = found.column("doc_id").to_numpy(), found.column("label").to_numpy()
-    pairs = list(zip(*(found.column(c).to_pylist() for c in ("terms", "tf")), strict=True))
+    found = example_terms(own, known).toArrow()  # 2 * examples rows on average
+    ids, labelled = found.column("doc_id").to_numpy(), found.column("label").to_numpy().astype(np.int64)
+    by = np.lexsort((found.column("h").to_numpy(), ids))
+    by = by[np.append(True, ids[by][1:] != ids[by][:-1])] if len(by) else by
+    found, ids, labelled = found.take(pa.array(by)), ids[by], labelled[by]
+    raw = [np.frombuffer(b"".join(found.column(c).to_pylist()), np.int32).astype(np.int64) for c in ("terms", "tf")]
+    row = np.repeat(np.arange(len(ids)), pc.binary_length(found.column("terms")).to_numpy() // 4)
     del found
-    bare = Counter(int(labelled[i]) for i, (t, _) in enumerate(pairs) if not t)
-    kept = [i for i in np.unique(ids, return_index=True)[1].tolist() if pairs[i][0]]
-    vectors = [vector(np.frombuffer(pairs[i][0], np.int32), np.frombuffer(pairs[i][1], np.int32), idf, len(words)) for i in kept]
-    vectors = [(t, v.astype(np.float32)) for t, v in vectors]
-    del pairs
+    full = np.zeros(len(ids), bool)
+    full[row] = True
+    bare = {y: int(((labelled == y) & ~full).sum()) for y in (0, 1)}
     weight = {y: 1 / rate[y] for y in (0, 1)}
-    index = BlockMaxIndex(ids[kept], labelled[kept].astype(np.int64), np.array([weight[y] for y in labelled[kept].tolist()]), vectors, len(df))
-    del vectors
-    fitted = context.broadcast((index, idf))
-    del index
+    index = BlockMaxIndex(ids, labelled, np.where(labelled == 1, weight[1], weight[0]), terms.vectors((row, *raw), len(ids), idf), len(df))
+    fitted = context.broadcast((index, idf, marks.column("term").to_pylist()))
+    del index, raw
     share = lambda y, n: weight[y] * n.get(y, 0)
     base = (share(1, sizes) * rate[1]) / max(1e-9, share(1, sizes) * rate[1] + share(0, sizes) * rate[0])
     none = (share(1, bare) + PRIOR * base) / (share(1, bare) + share(0, bare) + PRIOR)
 
     def task(chunks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (index, idf), (words, terms) = fitted.value, known.value
-        finder = TermHits(words, terms)
+        clear_worker()
+        (index, idf, names), terms = fitted.value, known.value
         kinds = (pa.float64(), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.list_(pa.string()))
         for chunk in chunks:
-            doc_ids, texts = chunk.column("doc_id"), chunk.column("text").to_pylist()
-            for a, b in _batches(texts):
-                out: tuple[list, list, list, list] = ([], [], [], [])
-                some = doc_ids.slice(a, b - a)
-                hits = finder.find(texts[a:b])
-                asked = [i for i, (t, _) in enumerate(hits) if len(t) and len(index.ids)]
-                ids, near_of = some.to_pylist(), {}
+            for a, b in text_batches(chunk.column("text")):
+                ids = chunk.column("doc_id").slice(a, b - a).to_pylist()
+                row, term, value = terms.vectors(terms.find(chunk.column("text").slice(a, b - a)), b - a, idf)
+                cuts = np.searchsorted(row, np.arange(b - a + 1))
+                marked = [[names[t] for t in term[s:e][term[s:e] >= len(terms.words)] - len(terms.words)] for s, e in zip(cuts.tolist(), cuts[1:].tolist())]
+                out = [[none] * (b - a), [[]] * (b - a), [[]] * (b - a)]
+                asked = np.flatnonzero(np.diff(cuts)) if len(index.ids) else []
                 for at in range(0, len(asked), QUERIES):
                     group = asked[at : at + QUERIES]
-                    near_of |= dict(zip(group, index.nearest_of([vector(*hits[i], idf, len(words)) for i in group], neighbours, [ids[i] for i in group]), strict=True))
-                for i, (t, _) in enumerate(hits):
-                    score, near, cosines = none, [], []
-                    if i in near_of:
-                        found, cosine = near_of[i]
-                        vote = cosine * index.weights[found]
-                        score = float(((vote * index.labels[found]).sum() + PRIOR * base) / (vote.sum() + PRIOR))
-                        near, cosines = index.ids[found].tolist(), cosine.tolist()
-                    marked = [terms[j - len(words)] for j in t[np.searchsorted(t, len(words)) :].tolist()]
-                    for column, v in zip(out, (score, near, cosines, marked), strict=True):
-                        column.append(v)
-                yield pa.RecordBatch.from_arrays([some, *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))], names=["doc_id", "score", "neighbours", "cosines", "terms"])
-
-    scored = texts.mapInArrow(task, "doc_id long, score double, neighbours array<long>, cosines array<double>, terms array<string>")
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "neighbours", "cosines", "terms")
+                    pick = np.concatenate([np.arange(cuts[i], cuts[i + 1]) for i in group])
+                    queries = (np.repeat(np.arange(len(group)), np.diff(cuts)[group]), term[pick], value[pick])
+                    for i, (rows, cosine) in zip(group.tolist(), index.nearest(queries, len(group), neighbours, [ids[i] for i in group]), strict=True):
+                        vote = cosine * index.weights[rows]
+                        out[0][i] = float(((vote * index.labels[rows]).sum() + PRIOR * base) / (vote.sum() + PRIOR))
+                        out[1][i], out[2][i] = index.ids[rows].tolist(), cosine.tolist()
+                some = [chunk.column(c).slice(a, b - a) for c in ("doc_id", "h")]
+                yield pa.RecordBatch.from_arrays([*some, *(pa.array(c, k) for c, k in zip([*out, marked], kinds, strict=True))], names=["doc_id", "h", "score", "neighbours", "cosines", "terms"])
+
+    hashed = texts.select("doc_id", F.xxhash64("text").alias("h"), "text")
+    scored = hashed.mapInArrow(task, "doc_id long, h long, score double, neighbours array<long>, cosines array<double>, terms array<string>")
+    return scored.select("doc_id", "h", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "neighbours", "cosines", "terms")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that aren't predicted toxic."""
+    """The rows of docs that aren't predicted toxic, with all their columns; each row by its own id and text."""
     from lexiloom.llm.minhash import BROADCAST_IDS
 
-    gone = materialise(toxicity(docs, labels).filter("predicted = 1 and doc_id is not null").select("doc_id").distinct(), "toxic-gone")
+    scored = toxicity(docs, labels).filter("predicted = 1")
+    gone = materialise(scored.select(F.col("doc_id").alias("_lx_id"), F.col("h").alias("_lx_h")).distinct(), "toxic-gone")
     few = gone.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti")
+    same = docs["doc_id"].cast("long").eqNullSafe(gone["_lx_id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == gone["_lx_h"])
+    return docs.join(F.broadcast(gone) if few else gone, same, "left_anti")
