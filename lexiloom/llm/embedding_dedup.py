@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiloom.llm.groups import BLOCK, block_pairs, components, edge_batch, fixed_rows, units
-from lexiloom.llm.shared import materialise, small_batches
+from lexiloom.llm.shared import clear_worker, materialise, small_batches
 
 FIT_ROWS, ITERATIONS, MISS = 20_000, 30, 1e-5
 #: Of the items, one in HOT_SAMPLE shows which buckets are large; standard deviations that a sketch may stray.
@@ -195,6 +195,7 @@ def embedding_links(vectors: DataFrame, threshold: float = 0.95, fit_rows: int =
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
 
     def encode(chunks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        clear_worker()
         for chunk in chunks:
             at, unit = unit_rows(chunk.column("embedding"), codes.dim)
             if len(at):

@@ -21,7 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiloom.llm.groups import block_pairs, components, fixed_rows, forest, repeated
-from lexiloom.llm.shared import materialise, small_batches
+from lexiloom.llm.shared import clear_worker, materialise, small_batches
+from lexiloom.llm.texts import batches, mixed
 
 ROWS, MISS = 4, 1e-6
 SAMPLES, SKETCH_BITS = 512, 1024
@@ -30,36 +31,35 @@ SLACK = 6
 #: Ids that may be broadcast (8 bytes each); beyond it they are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: The bytes of text turned into sets at a time.
-BATCH_BYTES = 2_000_000
+BATCH_BYTES = 1_000_000
 
-_RANDOM = np.random.default_rng(8)
-_BYTE = _RANDOM.integers(0, 2**63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
-_PLACE = _RANDOM.integers(0, 2**63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
-
-
-def mixed(x: np.ndarray) -> np.ndarray:
-    """A bijective mix of 64-bit values (the finaliser of splitmix64)."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+_PLACE = np.random.default_rng(8).integers(0, 2**63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 16
 
 
 def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(start, hash) of each word of bytes data, A-Z as a-z; words end at 0x20 and 0x09 to 0x0D."""
+    """(start, hash) of each word of bytes data, A-Z as a-z; words end at 0x20 and 0x09 to 0x0D.
+
+    A word of LONG_WORD bytes or less is two numbers, which are mixed; a longer one has 64 bits of its BLAKE2b digest.
+    """
     space = (data == 32) | ((data >= 9) & (data <= 13))
     lower = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
     edge = np.diff(np.concatenate([[True], space, [True]]).astype(np.int8))
     starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    powers = np.ones(len(data) + 1, np.uint64)
-    powers[1:] = _BASE
-    powers = np.cumprod(powers, dtype=np.uint64)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[lower] * powers[:-1], dtype=np.uint64)])
-    back = np.full(len(data) + 1, _INVERSE, np.uint64)
-    back[0] = 1
-    back = np.cumprod(back, dtype=np.uint64)
-    return starts, mixed((sums[ends] - sums[starts]) * back[starts])
+    size = ends - starts
+    at = starts[:, None] + np.arange(LONG_WORD)
+    cells = np.concatenate([lower, np.zeros(LONG_WORD, np.uint8)])[at]
+    cells[np.arange(LONG_WORD) >= size[:, None]] = 0
+    halves = cells.view("<u8")
+    hashes = mixed(mixed(halves[:, 0] + size.astype(np.uint64) * _STEP) + halves[:, 1])
+    long = np.flatnonzero(size > LONG_WORD)
+    if len(long):
+        raw = lower.tobytes()
+        digests = b"".join(hashlib.blake2b(raw[s:e], digest_size=8).digest() for s, e in zip(starts[long].tolist(), ends[long].tolist(), strict=True))
+        hashes[long] = np.frombuffer(digests, "<u8")
+    return starts, hashes
 
 
 def shingle_sets(texts: list[bytes], words: int) -> list[np.ndarray]:
@@ -84,15 +84,8 @@ def shingle_sets(texts: list[bytes], words: int) -> list[np.ndarray]:
     return out
 
 
-def text_batches(texts: list[bytes], size: int = BATCH_BYTES) -> Iterator[tuple[int, int]]:
-    start, held = 0, 0
-    for i, t in enumerate(texts):
-        if held and held + len(t) > size:
-            yield start, i
-            start, held = i, 0
-        held += len(t)
-    if start < len(texts):
-        yield start, len(texts)
+def text_batches(texts: list[bytes]) -> Iterator[tuple[int, int]]:
+    return batches(map(len, texts), BATCH_BYTES)
 
 
 def bands_for(threshold: float, rows: int = ROWS, miss: float = MISS) -> int:
@@ -109,7 +102,7 @@ def signatures(sets: list[np.ndarray], bands: int, rows: int) -> np.ndarray:
     keys = np.zeros((len(sets), bands), np.uint64)
     for k, (f, s) in enumerate(zip(factors, shifts, strict=True)):
         low = np.minimum.reduceat(flat * f + s, starts)
-        keys[:, k // rows] = mixed(keys[:, k // rows] * _BASE + low)
+        keys[:, k // rows] = mixed(keys[:, k // rows] * _STEP + low)
     return keys ^ mixed(np.arange(1, bands + 1, dtype=np.uint64))
 
 
@@ -118,7 +111,7 @@ def odd_sketch(hashes: np.ndarray) -> tuple[bytes, int]:
     cell = hashes >> np.uint64(64 - SAMPLES.bit_length() + 1)
     first = np.ones(len(hashes), bool)
     first[1:] = cell[1:] != cell[:-1]
-    bits = (mixed(hashes[first] ^ _BASE) % np.uint64(SKETCH_BITS)).astype(np.int64)
+    bits = (mixed(hashes[first] ^ _STEP) % np.uint64(SKETCH_BITS)).astype(np.int64)
     return np.packbits(np.bincount(bits, minlength=SKETCH_BITS) % 2 == 1).tobytes(), int(first.sum())
 
 
@@ -145,6 +138,7 @@ def features(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
     """(doc_id, n, digest, keys, sketch, minima) of each document; what a document without words has is null."""
 
     def task(chunks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        clear_worker()
         for chunk in chunks:
             ids, texts = chunk.column("doc_id"), chunk.column("text").cast(pa.binary()).to_pylist()
             for a, b in text_batches(texts):
@@ -167,6 +161,7 @@ def full_sets(docs: DataFrame, members: DataFrame, words: int) -> DataFrame:
     chosen = rows.join(F.broadcast(members) if few else members, "id")
 
     def task(chunks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        clear_worker()
         for chunk in chunks:
             texts = chunk.column("text").cast(pa.binary()).to_pylist()
             for a, b in text_batches(texts):
@@ -227,7 +222,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     else:
         linked = components(links, "near-components")
         own = found.join(classes, "digest", "left").join(linked, "id", "left")
-    component = F.coalesce("component", "id", "doc_id")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "id", "doc_id"))
     return own.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiloom.llm.shared import cell_of, seeded, small_batches
-from lexiloom.llm.tokens import batches, shared_cache, with_end
+from lexiloom.llm.tokens import shared_cache, text_batches, with_end
 
 SEQUENCE, GROUP_DOCS = 4096, 1024
 
@@ -69,7 +69,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 2, length: int = SEQUE
             cache = cache or shared_cache(tokenizer, keeps_space)
             doc_ids, texts = chunk.column("doc_id").to_pylist(), chunk.column("text").to_pylist()
             more = [chunk.column(c) for c in carried]
-            for a, b in batches(texts):
+            for a, b in text_batches(texts):
                 flat, per = with_end(*cache.encode(texts[a:b]), end_id)
                 data, at, rows, source = flat.astype("<u4").tobytes(), 0, [], []
                 for k, n in enumerate(per.tolist()):

@@ -23,9 +23,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiloom.llm.groups import units
-from lexiloom.llm.minhash import _BASE, _BYTE, _INVERSE, mixed
-from lexiloom.llm.shared import materialise, small_batches
+from lexiloom.llm.shared import clear_worker, materialise, small_batches
 from lexiloom.llm.suffix_array import repeated_windows
+from lexiloom.llm.texts import RangeHashes, powers
 
 LENGTH, GRAM = 400, 32
 #: Window starts handled at a time, below 2**22; a longer text is cut, with overlaps.
@@ -35,30 +35,15 @@ KINDS, SORT_BYTES = 2048, 400_000
 _POSITION = np.uint64((1 << 22) - 1)
 
 
-def gram_hashes(data: np.ndarray, gram: int, powers: np.ndarray, inverse: np.ndarray) -> np.ndarray:
-    """The hash of the `gram` bytes at each place, by running sums."""
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[data] * powers[: len(data)], dtype=np.uint64)])
-    at = np.arange(max(0, len(data) - gram + 1))
-    return mixed((sums[at + gram] - sums[at]) * inverse[at])
-
-
 def digests(parts: list[bytes]) -> np.ndarray:
     """128 bits of each as two 64-bit numbers."""
     return np.frombuffer(b"".join(hashlib.blake2b(p, digest_size=16).digest() for p in parts), np.int64).reshape(-1, 2)
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    def run(base):
-        x = np.full(n, base, np.uint64)
-        x[0] = 1
-        return np.cumprod(x, dtype=np.uint64)
-
-    return run(_BASE), run(_INVERSE)
-
-
-def segments_of(data: bytes, bounds: list[tuple[int, int]], length: int, gram: int, powers) -> tuple[np.ndarray, ...]:
+def segments_of(data: bytes, bounds: list[tuple[int, int]], length: int, gram: int, both) -> tuple[np.ndarray, ...]:
     """(text number, first window, windows, anchor, anchor hash, two digests) of the segments of texts data[a:b]."""
-    plain = gram_hashes(np.frombuffer(data, np.uint8), gram, *powers)
+    at = np.arange(max(0, len(data) - gram + 1))
+    plain = RangeHashes(np.frombuffer(data, np.uint8), both).of(at, at + gram)
     low = (plain & ~_POSITION) | np.arange(len(plain)).astype(np.uint64)  # the leftmost of equal hashes is the smallest
     span, wide = length - gram + 1, 1
     while wide * 2 <= span:
@@ -107,14 +92,15 @@ def segment_table(rows: DataFrame, length: int, gram: int) -> DataFrame:
     """(k1, k2, start, windows, lead, anchor, d1, d2) of every segment; lead: bytes before the anchor."""
 
     def task(chunks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = _powers(BATCH + 2 * length + 8)
+        clear_worker()
+        both = powers(BATCH + 2 * length + 8)
         for chunk in chunks:
             k1, k2 = (chunk.column(c).to_numpy() for c in ("k1", "k2"))
             for batch in pieces_of(chunk.column("text").cast(pa.binary()).to_pylist(), length):
                 ends = np.cumsum([len(p) for *_, p in batch])
                 bounds = list(zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True))
                 data = b"".join(p for *_, p in batch)
-                k, first, count, at, anchor, d1, d2 = segments_of(data, bounds, length, gram, powers)
+                k, first, count, at, anchor, d1, d2 = segments_of(data, bounds, length, gram, both)
                 if len(k):
                     row = np.array([r for r, *_ in batch])[k]
                     start = first - np.array([a for a, _ in bounds])[k] + np.array([o for _, o, _ in batch])[k]

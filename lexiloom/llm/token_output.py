@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiloom.llm.shared import materialise, scratch_path, small_batches
-from lexiloom.llm.tokens import batches, shared_cache, with_end
+from lexiloom.llm.tokens import shared_cache, text_batches, with_end
 
 MAGIC, VERSION, BLOCK, ESCAPE = b"LXS8", 1, 1024, 15
 #: Selector: (ids in a word, bits of each).
@@ -232,7 +232,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 0, path: str | N
                 stream = store.open_output_stream(f"{folder}/{name}")
                 writer, cache = TokenWriter(stream), shared_cache(tokenizer, keeps_space)
             ids, texts = chunk.column("doc_id").to_pylist(), chunk.column("text").to_pylist()
-            for a, b in batches(texts):
+            for a, b in text_batches(texts):
                 writer.add(ids[a:b], *with_end(*cache.encode(texts[a:b]), end_id))
         if writer is not None:
             n_docs, n_ids = writer.close()

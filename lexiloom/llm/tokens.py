@@ -16,6 +16,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from lexiloom.llm.shared import worker_cache
+from lexiloom.llm.texts import batches
+
 #: Pre-tokens of a generation of the cache; a worker remembers two, so that frequent ones outlive a change.
 CACHE_WORDS = 150_000
 #: The characters of text encoded at a time.
@@ -113,15 +116,9 @@ class WordCache:
         return flat, per
 
 
-_SHARED: dict[tuple[str, bool], WordCache] = {}
-
-
 def shared_cache(path: str, keeps_space: bool) -> WordCache:
-    """The worker's cache for a vocabulary: its next task goes on with it. A worker keeps one."""
-    if (path, keeps_space) not in _SHARED:
-        _SHARED.clear()
-        _SHARED[path, keeps_space] = WordCache(path, keeps_space)
-    return _SHARED[path, keeps_space]
+    """The worker's cache for a vocabulary: its next task goes on with it."""
+    return worker_cache((path, keeps_space), lambda: WordCache(path, keeps_space))
 
 
 def _flat(values: np.ndarray, lens: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -136,13 +133,6 @@ def with_end(flat: np.ndarray, per: np.ndarray, end_id: int) -> tuple[np.ndarray
     return np.insert(flat, np.cumsum(per), end_id).astype(np.uint32), per + 1
 
 
-def batches(texts: list[str], chars: int = BATCH_CHARS):
-    """Ranges of texts with about so many characters each; a longer text is a range of its own."""
-    start, size = 0, 0
-    for i, t in enumerate(texts):
-        if size and size + len(t) > chars:
-            yield start, i
-            start, size = i, 0
-        size += len(t)
-    if start < len(texts):
-        yield start, len(texts)
+def text_batches(texts: list[str]):
+    """Ranges of texts with about BATCH_CHARS characters each; a longer text is a range of its own."""
+    return batches(map(len, texts), BATCH_CHARS)
