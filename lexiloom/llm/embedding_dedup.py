@@ -6,10 +6,11 @@ cloud into balanced halves. Several rotations give a long code. It is cut into s
 agree in a substring are candidates. How many tables are needed is measured on the sample: pairs made at exactly the
 threshold must miss all tables with a probability of MISS at most.
 
-A bucket's entries hold a sketch, 64 bits of the code: entries without another one near by are dropped. The rest fetch
-the original vectors and are compared in their bucket by the exact cosine in double precision. A pair counts in the
-first table only in which it agrees, so link counts add up over the tables. Buckets of any size are cut into blocks
-(groups.py). Every row is indexed. Equal vectors are one item that counts as often as it occurs.
+A pair belongs to the first table in which it agrees. A bucket's entries hold whole codes: those without another one
+within the Hamming distance that a link may have, in a pair of this table, are dropped. The rest fetch the original
+vectors and are compared in their bucket by the exact cosine in double precision, so link counts add up over the
+tables. Buckets of any size are cut into blocks (groups.py). Every row is indexed. Equal vectors are one item that
+counts as often as it occurs.
 """
 
 from __future__ import annotations
@@ -28,8 +29,8 @@ from lexiloom.llm.groups import BLOCK, block_pairs, components, edge_batch, fixe
 from lexiloom.llm.shared import clear_worker, materialise, small_batches
 
 FIT_ROWS, ITERATIONS, MISS = 20_000, 30, 1e-5
-#: Of the items, one in HOT_SAMPLE shows which buckets are large; standard deviations that a sketch may stray.
-HOT_SAMPLE, SLACK = 64, 7
+#: Of the items, one in HOT_SAMPLE shows which buckets are large; standard deviations that a code may stray.
+HOT_SAMPLE, SLACK = 64, 6
 
 
 class Codes:
@@ -63,9 +64,8 @@ class Codes:
                 if need <= got:
                     self.tables = need
         self.width = len(self.rotations) * self.dim
-        self.places = np.linspace(0, self.width - 1, 64).astype(np.int64)  # of the code, in the sketch
-        differ = (~same[:, self.places]).sum(axis=1)
-        self.near = math.ceil(differ.mean() + SLACK * max(1.0, differ.std()))  # bits in which sketches may differ
+        differ = (~same).sum(axis=1)
+        self.near = math.ceil(differ.mean() + SLACK * max(1.0, differ.std()))  # bits in which linked codes may differ
 
     @staticmethod
     def _rotation(v: np.ndarray, rng: np.random.Generator) -> np.ndarray:
@@ -86,8 +86,25 @@ class Codes:
         value = (cut * (np.int64(1) << np.arange(self.bits, dtype=np.int64))).sum(axis=2)
         return value + (np.arange(self.tables, dtype=np.int64) << 40)
 
-    def sketches(self, code: np.ndarray) -> np.ndarray:
-        return np.ascontiguousarray(np.packbits(code[:, self.places], axis=1)).view(np.int64).ravel()
+    @staticmethod
+    def packed(code: np.ndarray) -> np.ndarray:
+        """The code as 64-bit words, padded by zeros."""
+        return np.ascontiguousarray(np.packbits(np.pad(code, ((0, 0), (0, -code.shape[1] % 64))), axis=1)).view(np.uint64)
+
+    def first_table(self, differ: np.ndarray) -> np.ndarray:
+        """The first table in which each of some pairs agrees, from the words in which they differ; 0 if there is none."""
+        out = []
+        for a in range(0, len(differ), 16_384):
+            part = np.ascontiguousarray(differ[a : a + 16_384]).view(np.uint8)
+            bits = np.unpackbits(part, axis=1, count=self.tables * self.bits).reshape(len(part), self.tables, self.bits)
+            out.append(bits.any(axis=2).argmin(axis=1))
+        return np.concatenate(out) if out else np.zeros(0, np.int64)
+
+
+def fixed_binary(rows: np.ndarray) -> pa.Array:
+    """Each row of a matrix as bytes."""
+    rows = np.ascontiguousarray(rows)
+    return pa.Array.from_buffers(pa.binary(rows.itemsize * rows.shape[1]), len(rows), [None, pa.py_buffer(rows)]).cast(pa.binary())
 
 
 def unit_rows(column: pa.ListArray, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -117,12 +134,12 @@ def fit(vectors: DataFrame, threshold: float, fit_rows: int = FIT_ROWS) -> Codes
     return Codes(unit, threshold, min(28, max(8, round(math.log2(n)) - 2)))
 
 
-def near_entries(keyed: DataFrame, near: int) -> DataFrame:
-    """(key, id) of the entries of keyed (key, id, sketch) with another one of the bucket whose sketch is near.
+def near_entries(keyed: DataFrame, codes: Codes) -> DataFrame:
+    """(key, item) of the entries of keyed (key, item, code) in a pair of their table whose codes are near.
 
-    Buckets that a sample of the ids finds large are cut into blocks; one that it doesn't find is only slower.
+    Buckets that a sample of the items finds large are cut into blocks; one that it doesn't find is only slower.
     """
-    sampled = keyed.filter(F.pmod(F.xxhash64(F.lit(64), "id"), F.lit(HOT_SAMPLE)) == 0)
+    sampled = keyed.filter(F.pmod(F.xxhash64(F.lit(64), "item"), F.lit(HOT_SAMPLE)) == 0)
     hot = materialise(sampled.groupBy("key").agg((F.count(F.lit(1)) * HOT_SAMPLE).alias("size")).filter(F.col("size") > BLOCK), "embedding-hot")
     sized = keyed.withColumn("size", F.lit(1).cast("long"))
     if not hot.isEmpty():
@@ -130,40 +147,38 @@ def near_entries(keyed: DataFrame, near: int) -> DataFrame:
 
     def task(chunks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, _ in units(chunks, ("key", "bi", "bj")):
-            key, ids, sketch, bi, bj, side = (table.column(c).to_numpy() for c in ("key", "id", "sketch", "bi", "bj", "side"))
-            sketch = sketch.view(np.uint64)  # signed bits are counted without their sign
+            key, items, bi, bj, side = (table.column(c).to_numpy() for c in ("key", "item", "bi", "bj", "side"))
+            code = fixed_rows(table.column("code"), np.uint64)
             on, i, d = np.zeros(len(key), bool), np.arange(len(key)), 1
             while len(i := i[: np.searchsorted(i, len(key) - d)]):
                 j = i + d
                 i = i[(key[i] == key[j]) & (bi[i] == bi[j]) & (bj[i] == bj[j])]
-                close = i[(np.bitwise_count(sketch[i] ^ sketch[i + d]) <= near) & ((bi[i] == bj[i]) | (side[i] != side[i + d]))]
-                on[close] = on[close + d] = True
+                pair = i[(bi[i] == bj[i]) | (side[i] != side[i + d])]
+                pair = pair[np.bitwise_count(code[pair] ^ code[pair + d]).sum(axis=1) <= codes.near]
+                pair = pair[codes.first_table(code[pair] ^ code[pair + d]) == key[pair] >> 40]
+                on[pair] = on[pair + d] = True
                 d += 1
-            yield pa.RecordBatch.from_arrays([pa.array(key[on]), pa.array(ids[on])], names=["key", "id"])
-
-    return block_pairs(sized, "key", "size", "id").mapInArrow(task, "key long, id long").distinct()
+            yield pa.RecordBatch.from_arrays([pa.array(key[on]), pa.array(items[on])], names=["key", "item"])
 
+    return block_pairs(sized, "key", "size", "item").mapInArrow(task, "key long, item long").distinct()
 
-def links_in(dealt: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, n): for each unit a spanning forest of its links as ids (a, b, null), and (item, null, n): vectors linked with it.
 
-    A link belongs to the first table in which its vectors agree.
-    """
+def links_in(dealt: DataFrame, codes: Codes, threshold: float) -> DataFrame:
+    """(a, b, n): for each unit a spanning forest of its links as ids (a, b, null), and (item, null, n): vectors linked with it."""
 
     def task(chunks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, bounds in units(chunks, ("key", "bi", "bj")):
             items, ids, side, times, bi, bj = (table.column(c).to_numpy() for c in ("item", "id", "side", "times", "bi", "bj"))
             at = table.column("key").to_numpy() >> 40
-            unit = fixed_rows(table.column("unit"), np.float64)
-            keys = table.column("keys").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
+            unit, code = fixed_rows(table.column("unit"), np.float64), fixed_rows(table.column("code"), np.uint64)
             edges, who, n = [], [], []
             for a, b in bounds:
                 i, j = np.nonzero(np.triu(unit[a:b] @ unit[a:b].T >= threshold, 1))
                 if bi[a] != bj[a]:
                     across = side[a + i] != side[a + j]
                     i, j = i[across], j[across]
-                first = np.concatenate([(keys[a + i[k : k + 65536]] == keys[a + j[k : k + 65536]]).argmax(axis=1) for k in range(0, len(i), 65536)] or [i])
-                i, j = i[first == at[a]], j[first == at[a]]
+                own = codes.first_table(code[a + i] ^ code[a + j]) == at[a]
+                i, j = i[own], j[own]
                 who += [items[a + i], items[a + j]]
                 n += [times[a + j], times[a + i]]
                 label = np.arange(b - a)
@@ -202,19 +217,19 @@ def embedding_links(vectors: DataFrame, threshold: float = 0.95, fit_rows: int =
                 code = codes.encode(unit)
                 digests = pa.array([hashlib.blake2b(u, digest_size=16).digest() for u in unit], pa.binary())
                 keys = pa.ListArray.from_arrays(np.arange(len(at) + 1, dtype=np.int32) * codes.tables, codes.keys(code).ravel())
-                raw = pa.Array.from_buffers(pa.binary(8 * codes.dim), len(at), [None, pa.py_buffer(unit)]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([chunk.column("vec_id").take(pa.array(at)), digests, keys, pa.array(codes.sketches(code)), raw], names=["vec_id", "digest", "keys", "sketch", "unit"])
+                columns = [chunk.column("vec_id").take(pa.array(at)), digests, keys, fixed_binary(codes.packed(code)), fixed_binary(unit)]
+                yield pa.RecordBatch.from_arrays(columns, names=["vec_id", "digest", "keys", "code", "unit"])
 
     small_batches(vectors.sparkSession)
-    coded = materialise(rows.filter("vec_id is not null").mapInArrow(encode, "vec_id long, digest binary, keys array<long>, sketch long, unit binary"), "embedding-codes")
+    coded = materialise(rows.filter("vec_id is not null").mapInArrow(encode, "vec_id long, digest binary, keys array<long>, code binary, unit binary"), "embedding-codes")
     classes = materialise(coded.groupBy("digest").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("times")), "embedding-classes")
-    lead = materialise(coded.join(classes, "digest").filter("vec_id = id").dropDuplicates(["digest"]).select("id", "digest", "times", "keys", "sketch", "unit"), "embedding-leads")
+    lead = materialise(coded.join(classes, "digest").filter("vec_id = id").dropDuplicates(["digest"]).select("id", "digest", "times", "keys", "code", "unit"), "embedding-leads")
     # of two vectors that share an id, each is an item
     lead = materialise(lead.withColumn("item", F.monotonically_increasing_id()), "embedding-items")
-    active = materialise(near_entries(lead.select(F.explode("keys").alias("key"), F.col("item").alias("id"), "sketch"), codes.near), "embedding-near")
+    active = materialise(near_entries(lead.select(F.explode("keys").alias("key"), "item", "code"), codes), "embedding-near")
     sizes = active.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
-    members = active.join(sizes, "key").withColumnRenamed("id", "item").join(lead.select("item", "id", "times", "keys", "unit"), "item")
-    links = materialise(links_in(block_pairs(members, "key", "size", "item"), threshold), "embedding-links")
+    members = active.join(sizes, "key").join(lead.select("item", "id", "times", "code", "unit"), "item")
+    links = materialise(links_in(block_pairs(members, "key", "size", "item"), codes, threshold), "embedding-links")
     counts = links.filter("b is null").groupBy(F.col("a").alias("item")).agg(F.sum("n").alias("others"))
     # all members of a class share its links; rows that share an id tie their classes together
     ties = coded.join(classes, "digest").filter("vec_id != id").select(F.col("vec_id").alias("a"), F.col("id").alias("b"))
