@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Only used where spark.checkpoint.dir is unset, as in tests on one machine.
+#: Only used where spark.checkpoint.dir is unset and one process does all the work, as in tests.
 LOCAL_SCRATCH = "/tmp/checkpoints"
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SCRATCH
+    """A new path in the folder that all executors share."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.conf.get("spark.master", "")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = LOCAL_SCRATCH
     return f"{base.rstrip('/')}/lexiloom/{label}-{uuid.uuid4().hex}"
 
 
