@@ -2,63 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lexiloom import catalog_bytes, catalog_files, registry
+from lexiloom.catalog_files import MEANS, METRICS, means, metric_rows
 from lexiloom.functions import byte_length, leading_uint, suffix_bytes, varint_size
 from lexiloom.functions.byte_strings import golomb_parameter, next_power_of_two
 from lexiloom.operators import duplicates, order, prefixes
+from lexiloom.registry import DOCS, PARTS, PRIORITY, SEGMENT, URLS, Query, base, ladder_sql, lcp_table, load, query, rank_sql, read_strings
 from lexiloom.sources import generators, metrics, text
 
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def keep(f: Query) -> Query:
-        _QUERIES[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = sql
-        return f
-
-    return keep
-
-
-def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def read_strings(spark: SparkSession, sf_dir: str, name: str, col: str, key: str) -> DataFrame:
-    return order.strings(load(spark, sf_dir, name), col, key)
-
-
-DOCS, URLS, PARTS = ("documents", "text", "doc_id"), ("pages", "url", "page_id"), ("part", "p_name", "p_partkey")
-
-
-def base(source: tuple[str, str, str]) -> str:
-    """SQL of (id, b, h): strings as bytes, and as hex digits, which have the same order."""
-    name, col, key = source
-    return f"SELECT {key}::BIGINT AS id, encode({col}) AS b, hex(encode({col})) AS h FROM {name} WHERE {col} IS NOT NULL"
-
-
-def lcp_sql(a: str, b: str) -> str:
-    """SQL of the common bytes of two hex strings."""
-    short = f"least(length({a}), length({b})) // 2"
-    return f"(CASE WHEN {a} IS NULL OR {b} IS NULL THEN 0 ELSE coalesce(list_min(list_filter(range(1, {short} + 1), lambda i: substr({a}, 2 * i - 1, 2) <> substr({b}, 2 * i - 1, 2))), {short} + 1) - 1 END)"
-
-
-def lcp_table(source: tuple[str, str, str]) -> str:
-    return f"""s AS ({base(source)}),
-o AS (SELECT id, h, row_number() OVER (ORDER BY h, id) AS rank, lag(h) OVER (ORDER BY h, id) AS p, lead(h) OVER (ORDER BY h, id) AS q FROM s),
-t AS (SELECT id, h, rank, coalesce({lcp_sql("p", "h")}, 0)::BIGINT AS lcp, coalesce({lcp_sql("q", "h")}, 0)::BIGINT AS nxt FROM o)"""
-
-
-def rank_sql(source: tuple[str, str, str], direction: str = "") -> str:
-    return f"SELECT id, row_number() OVER (ORDER BY h {direction}, id) AS rank FROM ({base(source)})"
-
+MORE = (catalog_bytes, catalog_files)  # they register theirs as they are loaded
 
 @query(rank_sql(DOCS))
 def sort_rank_documents(spark: SparkSession, d: str) -> DataFrame:
@@ -72,9 +27,6 @@ def sort_rank_desc_urls(spark: SparkSession, d: str) -> DataFrame:
     return order.ranked(read_strings(spark, d, *URLS), descending=True).select("id", "rank")
 
 
-PRIORITY = ("orders", "o_orderpriority", "o_orderkey")
-
-
 @query(rank_sql(PRIORITY))
 def sort_indexed_ties(spark: SparkSession, d: str) -> DataFrame:
     """SRT7, SRT8, SRT15"""
@@ -95,7 +47,7 @@ def rank_range(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH s AS (SELECT id, decode(b) AS s, row_number() OVER (ORDER BY h, id) AS rank, count(*) OVER () AS n FROM ({base(PARTS)})) SELECT id, s, rank FROM s WHERE rank = (n + 1) // 2")
 def median_string(spark: SparkSession, d: str) -> DataFrame:
-    """SEL1, SEL2, PRJ7"""
+    """SEL1"""
     return order.median(read_strings(spark, d, *PARTS)).select("id", F.decode("b", "UTF-8").alias("s"), "rank")
 
 
@@ -129,17 +81,9 @@ def dist_prefix_exact_part_names(spark: SparkSession, d: str) -> DataFrame:
     return prefixes.distinguishing_prefix(read_strings(spark, d, *PARTS)).select("id", "rank", "dp")
 
 
-def ladder_sql(source: tuple[str, str, str], longest: int) -> str:
-    """SQL of the first depth at which a prefix is unique, or the length; depths up to the first above `longest`."""
-    tested = prefixes.depths(longest)
-    counts = ", ".join(f"count(*) OVER (PARTITION BY n >= {x}, CASE WHEN n >= {x} THEN substr(h, 1, {2 * x}) END) AS c{x}" for x in tested)
-    cases = " ".join(f"WHEN n < {x} THEN n WHEN c{x} = 1 THEN {x}" for x in tested)
-    return f"WITH s AS (SELECT id, h, length(h) // 2 AS n FROM ({base(source)})), c AS (SELECT *, {counts} FROM s) SELECT id, (CASE {cases} END)::BIGINT AS dp FROM c"
-
-
 @query(ladder_sql(URLS, 2000))
 def dist_prefix_approx_urls(spark: SparkSession, d: str) -> DataFrame:
-    """FLT1 to FLT3, EXC11, EXC12"""
+    """FLT1 to FLT3"""
     return prefixes.prefix_doubling(read_strings(spark, d, *URLS))
 
 
@@ -149,7 +93,7 @@ def dist_prefix_approx_documents(spark: SparkSession, d: str) -> DataFrame:
     return prefixes.prefix_doubling(read_strings(spark, d, *DOCS))
 
 
-@query(f"WITH {lcp_table(PARTS)} SELECT count(*) AS strings, sum(length(h) // 2)::BIGINT AS bytes, sum(lcp)::BIGINT AS sum_lcp, sum(greatest(lcp, nxt) + 1)::BIGINT AS sum_dp, (sum(lcp) // count(*))::BIGINT AS avg_lcp FROM t")
+@query(f"WITH {lcp_table(PARTS)} SELECT count(*) AS strings, sum(length(h) // 2)::BIGINT AS bytes, sum(lcp)::BIGINT AS sum_lcp, sum(greatest(lcp, nxt) + 1)::BIGINT AS sum_dp, (sum(lcp) // count(*))::BIGINT AS avg_lcp, round(sum(greatest(lcp, nxt) + 1) / sum(length(h) // 2), 6) AS dp_ratio FROM t")
 def dn_stats(spark: SparkSession, d: str) -> DataFrame:
     """AGG1, AGG4 to AGG6"""
     return prefixes.statistics(read_strings(spark, d, *PARTS))
@@ -157,15 +101,15 @@ def dn_stats(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT row_number() OVER (ORDER BY h, id) AS rank, id FROM ({base(PARTS)})")
 def permutation_sort(spark: SparkSession, d: str) -> DataFrame:
-    """SRT2, EXC8"""
-    return prefixes.sort_by_prefixes(read_strings(spark, d, *PARTS))
+    """SRT2"""
+    return prefixes.sort_by_prefixes(read_strings(spark, d, *PARTS)).select("rank", "id")
 
 
 @query(f"SELECT row_number() OVER (ORDER BY h, id) AS rank, id, decode(b) AS s FROM ({base(PARTS)})")
 def permutation_fetch(spark: SparkSession, d: str) -> DataFrame:
     """JN1, JN2: the strings in the order of the permutation"""
     rows = read_strings(spark, d, *PARTS)
-    return prefixes.sort_by_prefixes(rows).join(rows, "id").select("rank", "id", F.decode("b", "UTF-8").alias("s"))
+    return prefixes.fetched(prefixes.sort_by_prefixes(rows), rows).select("rank", "id", F.decode("b", "UTF-8").alias("s"))
 
 
 @query(f"WITH {lcp_table(URLS)} SELECT rank, lcp, substr(h, 2 * lcp + 1) AS rest FROM t")
@@ -190,15 +134,13 @@ def front_coding_round_trip(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {lcp_table(URLS)} SELECT count(*) + sum(greatest(lcp, nxt) + 1 - lcp)::BIGINT AS bytes FROM t")
 def prefix_doubling_bytes(spark: SparkSession, d: str) -> DataFrame:
-    """PRJ4, AGG5: n + D - L"""
-    rows = read_strings(spark, d, *URLS)
-    both = prefixes.lcp_array(rows).join(prefixes.distinguishing_prefix(rows).select("id", "dp"), "id")
-    return both.agg((F.count(F.lit(1)) + F.sum(F.col("dp") - F.col("lcp"))).cast("long").alias("bytes"))
+    """AGG5: n + D - L"""
+    return prefixes.distinguishing_prefix(read_strings(spark, d, *URLS)).agg((F.count(F.lit(1)) + F.sum(F.col("dp") - F.col("lcp"))).cast("long").alias("bytes"))
 
 
 @query(f"WITH {lcp_table(PARTS)} SELECT id, lcp, (CASE WHEN lcp < 128 THEN 1 WHEN lcp < 16384 THEN 2 ELSE 3 END)::BIGINT AS size FROM t")
 def varint_lcp_size(spark: SparkSession, d: str) -> DataFrame:
-    """FN16, EXC9"""
+    """EXC9: sizes of the lcps as varints"""
     return prefixes.lcp_array(read_strings(spark, d, *PARTS)).select("id", "lcp", varint_size(F.col("lcp")).alias("size"))
 
 
@@ -211,20 +153,17 @@ def golomb_b(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT l_partkey::BIGINT AS p, l_orderkey::BIGINT AS v, (l_orderkey - coalesce(lag(l_orderkey) OVER w, 0))::BIGINT AS gap FROM (SELECT DISTINCT l_partkey, l_orderkey FROM lineitem) WINDOW w AS (PARTITION BY l_partkey ORDER BY l_orderkey)")
 def delta_gaps(spark: SparkSession, d: str) -> DataFrame:
-    """FN15: gaps of sorted lists, the first value as it is"""
+    """The gaps that FN15 codes: of sorted lists, the first value as it is"""
     rows = load(spark, d, "lineitem").select(F.col("l_partkey").cast("long").alias("p"), F.col("l_orderkey").cast("long").alias("v")).distinct()
     return rows.withColumn("gap", F.col("v") - F.coalesce(F.lag("v").over(Window.partitionBy("p").orderBy("v")), F.lit(0)))
 
 
 @query(f"SELECT md5(b) AS digest, count(*) AS copies, min(id) AS first_id FROM ({base(DOCS)}) GROUP BY b HAVING count(*) > 1")
 def duplicates_groups(spark: SparkSession, d: str) -> DataFrame:
-    """AGG7, AGG8, AGG10"""
+    """AGG7, AGG8"""
     return duplicates.groups(read_strings(spark, d, *DOCS)).select(F.md5("b").alias("digest"), "copies", "first_id")
 
 
-SEGMENT = ("customer", "c_mktsegment", "c_custkey")
-
-
 @query(f'WITH r AS (SELECT decode(b) AS s, row_number() OVER (ORDER BY h, id) AS rank FROM ({base(SEGMENT)})) SELECT s, min(rank) AS "begin", max(rank) AS "end" FROM r GROUP BY s HAVING count(*) > 1')
 def duplicate_ranges(spark: SparkSession, d: str) -> DataFrame:
     """AGG9"""
@@ -243,10 +182,26 @@ def duplicate_witness(spark: SparkSession, d: str) -> DataFrame:
     return duplicates.witnesses(read_strings(spark, d, *DOCS), 24)
 
 
-@query("SELECT true AS sorted")
+RANKED = f"WITH r AS (SELECT id, h, row_number() OVER (ORDER BY h, id) AS rank FROM ({base(PARTS)}))"
+
+
+def rising(order_by: str, of: str = "r") -> str:
+    """SQL of whether h never falls along an order."""
+    return f"(SELECT coalesce(bool_and(ok), true) FROM (SELECT coalesce(lag(h) OVER (ORDER BY {order_by}) <= h, true) AS ok FROM {of}))"
+
+
+def named(name: str, df: DataFrame) -> DataFrame:
+    return df.withColumn("input", F.lit(name))
+
+
+@query(f"{RANKED} SELECT 'ranked' AS input, {rising('rank')} AS sorted UNION ALL SELECT 'backwards', {rising('-rank')} UNION ALL SELECT 'equal', {rising('rank', '(SELECT 1 AS h, rank FROM r)')} UNION ALL SELECT 'one moved', {rising('rank', '(SELECT h, CASE WHEN rank = 7 THEN 99 ELSE rank END AS rank FROM r WHERE rank <> 99)')}")
 def check_sorted(spark: SparkSession, d: str) -> DataFrame:
-    """WIN10, CHK1, AGG2: of the ranked names"""
-    return order.is_sorted(order.ranked(read_strings(spark, d, *PARTS)).select("rank", "b"))
+    """WIN10, CHK1, AGG2: of the ranked names, and of three other orders"""
+    r = order.ranked(read_strings(spark, d, *PARTS)).select("rank", "b")
+    moved = r.filter("rank != 99").withColumn("rank", F.when(F.col("rank") == 7, 99).otherwise(F.col("rank")))
+    cases = {"ranked": r, "backwards": r.withColumn("rank", -F.col("rank")), "equal": r.withColumn("b", F.lit(b"x")), "one moved": moved}
+    out = [named(k, order.is_sorted(x)) for k, x in cases.items()]
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
 
 
 @query(f"SELECT coalesce(bool_and(ok), true) AS sorted FROM (SELECT coalesce(lag(h) OVER (ORDER BY id) <= h, true) AS ok FROM ({base(PARTS)}))")
@@ -255,37 +210,60 @@ def check_input_order(spark: SparkSession, d: str) -> DataFrame:
     return order.is_sorted(read_strings(spark, d, *PARTS), "id")
 
 
-@query("SELECT true AS complete, true AS sorted")
+CHANGED = "(SELECT rank, CASE WHEN rank = 5 THEN h || '7A' ELSE h END AS h FROM r)"
+
+
+def counted(of: str) -> str:
+    """SQL of whether a table has as many strings and bytes as r."""
+    return f"((SELECT count(*) FROM {of}) = (SELECT count(*) FROM r) AND (SELECT sum(length(h)) FROM {of}) = (SELECT sum(length(h)) FROM r))"
+
+
+def damaged(rows: DataFrame) -> dict[str, DataFrame]:
+    """(rank, b) as it should be, without a row, with a string changed, and backwards."""
+    longer = F.when(F.col("rank") == 5, F.concat(F.col("b"), F.lit(b"z"))).otherwise(F.col("b"))
+    return {"ranked": rows, "one lost": rows.filter("rank != 3"), "one changed": rows.withColumn("b", longer), "backwards": rows.withColumn("rank", -F.col("rank"))}
+
+
+LOST = "(SELECT * FROM r WHERE rank <> 3)"
+
+
+@query(f"{RANKED} SELECT 'ranked' AS input, {counted('r')} AS complete, {rising('rank')} AS sorted UNION ALL SELECT 'one lost', {counted(LOST)}, {rising('rank', LOST)} UNION ALL SELECT 'one changed', {counted(CHANGED)}, {rising('rank', CHANGED)} UNION ALL SELECT 'backwards', {counted('r')}, {rising('-rank')}")
 def complete_and_sorted(spark: SparkSession, d: str) -> DataFrame:
-    """CHK2, S14"""
+    """CHK2, S14: of the ranked names, and of three damaged results"""
     rows = read_strings(spark, d, *PARTS)
-    return duplicates.complete_and_sorted(rows, order.ranked(rows).select("rank", "b"))
+    out = [named(k, duplicates.complete_and_sorted(rows, x)) for k, x in damaged(order.ranked(rows).select("rank", "b")).items()]
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
+
 
+def differing(of: str) -> str:
+    return f"(SELECT count(*) FROM (SELECT h FROM r EXCEPT ALL SELECT h FROM {of})) AS lost, (SELECT count(*) FROM (SELECT h FROM {of} EXCEPT ALL SELECT h FROM r)) AS added"
 
-@query("SELECT 0::BIGINT AS lost, 0::BIGINT AS added")
+
+@query(f"{RANKED} SELECT 'ranked' AS input, {differing('r')} UNION ALL SELECT 'one lost', {differing(LOST)} UNION ALL SELECT 'one changed', {differing(CHANGED)} UNION ALL SELECT 'backwards', {differing('r')}")
 def check_exhaustive(spark: SparkSession, d: str) -> DataFrame:
-    """CHK3, CHK4: the sorted strings are the input's, as multisets"""
+    """CHK3, CHK4: whether the strings are the input's, as multisets, of the same four results"""
     rows = read_strings(spark, d, *PARTS)
-    return duplicates.same_multiset(rows.select("b"), order.ranked(rows).select("b"))
+    out = [named(k, duplicates.same_multiset(rows.select("b"), x.select("b"))) for k, x in damaged(order.ranked(rows).select("rank", "b")).items()]
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
 
 
 @query(f"WITH r AS (SELECT length(h) // 2 AS w, row_number() OVER (ORDER BY h, id) AS rank, count(*) OVER () AS n FROM ({base(DOCS)})) SELECT ((rank - 1) * 8 // n)::BIGINT AS bucket, count(*) AS strings, sum(w)::BIGINT AS bytes FROM r GROUP BY 1")
 def range_buckets_by_strings(spark: SparkSession, d: str) -> DataFrame:
-    """PAR1, PAR2, PAR4, PAR6 to PAR8, JN3 to JN5"""
+    """Exact parts by rank, SRT13"""
     rows = order.balanced_buckets(read_strings(spark, d, *DOCS), 8)
     return rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("strings"), F.sum(byte_length(F.col("b"))).alias("bytes"))
 
 
 @query(f"WITH r AS (SELECT length(h) // 2 AS w, sum(length(h) // 2) OVER (ORDER BY h, id ROWS UNBOUNDED PRECEDING) - length(h) // 2 AS run, sum(length(h) // 2) OVER () AS total FROM ({base(DOCS)})) SELECT (run * 8 // total)::BIGINT AS bucket, count(*) AS strings, sum(w)::BIGINT AS bytes FROM r GROUP BY 1")
 def range_buckets_by_chars(spark: SparkSession, d: str) -> DataFrame:
-    """PAR3, PAR5"""
+    """Exact parts by running bytes"""
     rows = order.weighted_buckets(read_strings(spark, d, *DOCS), 8)
     return rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("strings"), F.sum("w").alias("bytes"))
 
 
 @query(f"SELECT id, length(h) // 2 AS n, ('0x' || rpad(substr(h, 1, 8), 8, '0'))::BIGINT AS head, substr(h, 9) AS rest FROM ({base(PARTS)})")
 def byte_functions(spark: SparkSession, d: str) -> DataFrame:
-    """FN1, FN2, FN3, FN5 to FN7"""
+    """FN1, FN6"""
     b = F.col("b")
     return read_strings(spark, d, *PARTS).select("id", byte_length(b).alias("n"), leading_uint(b, 4).alias("head"), F.hex(suffix_bytes(b, F.lit(4))).alias("rest"))
 
@@ -295,7 +273,7 @@ DIGITS = "chr(65 + (i // 676 % 26)::INT) || chr(65 + (i // 26 % 26)::INT) || chr
 
 @query(f"SELECT i AS id, rpad('AAAAAAA' || {DIGITS}, 40, 'Q') AS s FROM range(10000) t(i)")
 def dn_generator(spark: SparkSession, d: str) -> DataFrame:
-    """SRC9, SRC10: 10000 strings of 40 letters, a quarter of them distinguishing"""
+    """SRC9: 10000 strings of 40 letters, a quarter of them distinguishing"""
     return generators.ratio_strings(spark, 10_000, 40, 0.25, "Q").select("id", F.decode("b", "UTF-8").alias("s"))
 
 
@@ -323,11 +301,11 @@ def weighted_draws(spark: SparkSession, d: str) -> DataFrame:
     return generators.weighted_draws(spark, 10_000, [1.0, 2.0, 5.0])
 
 
-@query("WITH s AS (SELECT n_nationkey::BIGINT AS k, pos::BIGINT AS pos, substr(n_name, pos::BIGINT) AS s FROM nation, range(1, 100) t(pos) WHERE pos <= length(n_name)) SELECT k, pos, s, row_number() OVER (ORDER BY hex(encode(s)), k, pos) AS rank FROM s")
+@query("WITH s AS (SELECT p_partkey::BIGINT AS k, pos::BIGINT AS pos, substr(p_name, pos::BIGINT) AS s FROM part, range(1, 100) t(pos) WHERE pos <= length(p_name)) SELECT k, pos, s, row_number() OVER (ORDER BY hex(encode(s)), k, pos) AS rank FROM s")
 def suffix_sort(spark: SparkSession, d: str) -> DataFrame:
-    """SRC8, SNK2: all suffixes of the nations' names in order"""
-    names = load(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("k"), "n_name")
-    rows = text.suffixes(names, "n_name", "k").withColumn("id", F.col("k") * 1000 + F.col("pos"))
+    """SRC8: all suffixes of the part names in order"""
+    names = load(spark, d, "part").select(F.col("p_partkey").cast("long").alias("k"), "p_name")
+    rows = text.suffixes(names, "p_name", "k").withColumn("id", F.col("k") * 1000 + F.col("pos"))
     return order.ranked(rows).select("k", "pos", F.decode("b", "UTF-8").alias("s"), "rank")
 
 
@@ -344,26 +322,6 @@ def except_all_indices(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "lineitem").select(F.col("l_orderkey").cast("long").alias("k")).exceptAll(load(spark, d, "orders").select(F.col("o_orderkey").cast("long").alias("k")))
 
 
-# Run metrics: events stand for the rows of a run's log.
-METRICS = """m AS (SELECT CASE user_id % 4 WHEN 0 THEN 1 WHEN 1 THEN 160 WHEN 2 THEN 320 ELSE 640 END::BIGINT AS pes, event_type AS operation,
- 'phase' || (event_id % 3)::VARCHAR AS phase, (event_id % 5)::BIGINT AS iteration, (event_id % 7)::BIGINT AS round, (abs(value) * 100)::BIGINT + 1 AS value, event_id FROM events WHERE value IS NOT NULL)"""
-
-
-def metric_rows(spark: SparkSession, d: str) -> DataFrame:
-    e = load(spark, d, "events").filter("value is not null")
-    k = F.col("user_id") % 4
-    pes = F.when(k == 0, 1).when(k == 1, 160).when(k == 2, 320).otherwise(640).cast("long")
-    value = F.rint(F.abs("value") * 100).cast("long") + 1
-    return e.select(pes.alias("pes"), F.col("event_type").alias("operation"), F.concat(F.lit("phase"), (F.col("event_id") % 3).cast("string")).alias("phase"), (F.col("event_id") % 5).cast("long").alias("iteration"), (F.col("event_id") % 7).cast("long").alias("round"), value.alias("value"), "event_id")
-
-
-def means(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.selected(metric_rows(spark, d), {}).groupBy("pes", "operation").agg(F.avg("value").alias("value"))
-
-
-MEANS = f"WITH {METRICS}, a AS (SELECT pes, operation, avg(value) AS value FROM m WHERE iteration <> 0 GROUP BY 1, 2)"
-
-
 @query(f"{MEANS} SELECT pes, operation, round(value, 6) AS value FROM a")
 def metrics_mean(spark: SparkSession, d: str) -> DataFrame:
     """AGG14, FLT4, PRJ9"""
@@ -372,13 +330,13 @@ def metrics_mean(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {METRICS} SELECT pes, operation, min(value) AS least, max(value) AS most, round(avg(value), 6) AS mean FROM m GROUP BY 1, 2")
 def metrics_timer_reduce(spark: SparkSession, d: str) -> DataFrame:
-    """AGG1, AGG11"""
+    """AGG1"""
     return metric_rows(spark, d).groupBy("pes", "operation").agg(F.min("value").alias("least"), F.max("value").alias("most"), F.round(F.avg("value"), 6).alias("mean"))
 
 
 @query(f"WITH {METRICS}, l AS (SELECT phase, sum(value) AS v FROM m GROUP BY phase, iteration) SELECT phase, sum(v)::BIGINT AS value FROM l GROUP BY phase")
 def metrics_comm_volume(spark: SparkSession, d: str) -> DataFrame:
-    """AGG12, AGG13"""
+    """AGG12"""
     return metrics.two_level(metric_rows(spark, d), ["phase"], ["iteration"], "sum", "sum")
 
 
@@ -391,7 +349,7 @@ def metrics_spread(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {METRICS}, p AS (SELECT pes, phase, avg(value) AS v FROM m GROUP BY 1, 2) SELECT pes, round(sum(v), 6) AS value FROM p GROUP BY pes")
 def metrics_mean_then_sum(spark: SparkSession, d: str) -> DataFrame:
-    """AGG16"""
+    """AGG16 without its division"""
     return metrics.two_level(metric_rows(spark, d), ["pes"], ["phase"], "mean", "sum").withColumn("value", F.round("value", 6))
 
 
@@ -404,7 +362,7 @@ def metrics_sum_then_mean(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {METRICS} SELECT pes, iteration, 'unified' AS operation, sum(value)::BIGINT AS value FROM m WHERE starts_with(operation, 'c') GROUP BY 1, 2")
 def metrics_unified(spark: SparkSession, d: str) -> DataFrame:
-    """AGG18, FLT5, FLT8, FN20"""
+    """AGG18, FLT5, FLT8"""
     rows = metric_rows(spark, d).filter(F.col("operation").startswith("c"))
     return rows.groupBy("pes", "iteration").agg(F.sum("value").alias("value")).withColumn("operation", F.lit("unified"))
 
@@ -424,7 +382,7 @@ def metrics_best_of(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"{MEANS} SELECT operation, " + ", ".join(f'round(max(CASE WHEN pes = {p} THEN value END), 2) AS "{p}"' for p in (1, 160, 320, 640)) + " FROM a GROUP BY operation")
 def metrics_pivot(spark: SparkSession, d: str) -> DataFrame:
-    """AGG24, SNK5"""
+    """AGG24"""
     return metrics.pivoted(means(spark, d), "operation", "pes", [1, 160, 320, 640])
 
 
@@ -464,13 +422,13 @@ def metrics_distinct(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {METRICS} SELECT concat_ws(' ', 'RESULT', 'pes=' || pes, 'operation=' || operation, 'value=' || value) AS value FROM m WHERE iteration = 1 AND phase = 'phase1'")
 def metrics_result_text(spark: SparkSession, d: str) -> DataFrame:
-    """SNK3, SRC17, FLT6, FLT9"""
+    """SNK3, FLT6"""
     return metrics.result_text(metrics.selected(metric_rows(spark, d), {"iteration": 1, "phase": "phase1"}).select("pes", "operation", "value"))
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return dict(registry.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return dict(registry.SQL)

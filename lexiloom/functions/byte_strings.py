@@ -1,4 +1,4 @@
-"""Byte-string functions as built-in expressions, so that they stay in the JVM (FN1 to FN16).
+"""Byte-string functions as built-in expressions, so that they stay in the JVM (FN1 to FN8, FN13, FN14).
 
 Lengths and prefixes count bytes of UTF-8; comparison is by unsigned bytes, a proper prefix first.
 """
@@ -50,9 +50,55 @@ def lcp_bytes(a: Column, b: Column) -> Column:
     return F.when(a.isNotNull() & b.isNotNull(), F.transform(F.array(pair), of)[0])
 
 
+def byte_at(b: Column, i: Column) -> Column:
+    """The byte at place i (from 0) as a number; past the end it is 0, the end of a string."""
+    return F.coalesce(F.conv(F.hex(F.substring(b, i + 1, F.lit(1))), 16, 10).cast("int"), F.lit(0))
+
+
+def compare_bytes(a: Column, b: Column, known: Column | None = None) -> Column:
+    """How much the first byte that differs is greater in a than in b, the end counting as 0: below, at or above 0 (FN2).
+
+    known: bytes that both share surely, which aren't looked at again.
+    """
+    skip = F.lit(0) if known is None else known
+    at = (skip + lcp_bytes(suffix_bytes(a, skip), suffix_bytes(b, skip))).cast("int")
+    return byte_at(a, at) - byte_at(b, at)
+
+
+def not_above(a: Column, b: Column) -> Column:
+    """(leq, lcp): whether a comes before b or equals it, and the bytes that they share (FN3)."""
+    return F.struct((a <= b).alias("leq"), lcp_bytes(a, b).alias("lcp"))
+
+
+def same_byte(a: Column, b: Column, depth: Column) -> Column:
+    """Whether both have the same byte at a depth; past the end there is none (FN5)."""
+    return (byte_at(a, depth) == byte_at(b, depth)) & (byte_at(a, depth) != 0)
+
+
+def lower_byte(a: Column, b: Column, depth: Column, or_equal: bool = False) -> Column:
+    """Whether a's byte at a depth is below b's, or equal to it; the end counts as 0 (FN5)."""
+    return byte_at(a, depth) <= byte_at(b, depth) if or_equal else byte_at(a, depth) < byte_at(b, depth)
+
+
 def leading_uint(b: Column, n: int) -> Column:
-    """The first n (up to 7) bytes as a big-endian number, short strings padded by zeros (FN7)."""
-    return F.conv(F.rpad(F.hex(prefix_bytes(b, n)), 2 * n, "0"), 16, 10).cast("long")
+    """The first n bytes as a big-endian number, short strings padded by zeros (FN7).
+
+    Up to 7 bytes a long; 8 a decimal without sign; 16 a struct (high, low) of two such.
+    """
+    if n > 8:
+        return F.struct(leading_uint(b, 8).alias("high"), leading_uint(suffix_bytes(b, F.lit(8)), n - 8).alias("low"))
+    number = F.conv(F.rpad(F.hex(prefix_bytes(b, n)), 2 * n, "0"), 16, 10)
+    return number.cast("long" if n < 8 else "decimal(20,0)")
+
+
+def leading_zeros(v: Column) -> Column:
+    """Zero bits of a 64-bit number before its first one; 64 for 0 (FN8)."""
+    return F.when(v == 0, F.lit(64)).otherwise(64 - F.length(F.bin(v)))
+
+
+def trailing_zeros(v: Column) -> Column:
+    """Zero bits of a 64-bit number after its last one; 64 for 0 (FN8)."""
+    return F.when(v == 0, F.lit(64)).otherwise(F.length(F.bin(v)) - F.length(F.rtrim(F.bin(v), F.lit("0"))))
 
 
 def varint_size(v: Column) -> Column:

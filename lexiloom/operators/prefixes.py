@@ -1,29 +1,31 @@
-"""Common and distinguishing prefixes (WIN1, WIN2, FLT1, AGG3 to AGG6, PRJ3 to PRJ5, SRT2)."""
+"""Common and distinguishing prefixes (WIN1, WIN2, FLT1 to FLT3, AGG3 to AGG6, PRJ3 to PRJ5, SRT2, JN1, JN2, EXC8, EXC12)."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexiloom.functions import byte_length, lcp_bytes, prefix_bytes, suffix_bytes
-from lexiloom.operators.order import ranked, with_neighbours
+from lexiloom.functions import byte_length, prefix_bytes, suffix_bytes
+from lexiloom.operators.order import ranked, with_common
 from lexiloom.plans.scratch import materialise
 
 
 def lcp_array(df: DataFrame) -> DataFrame:
-    """(id, b, bucket, rank, lcp): bytes shared with the string before; 0 for the first (S4)."""
-    near = with_neighbours(df)
-    return near.withColumn("lcp", F.coalesce(lcp_bytes(F.col("prev"), F.col("b")), F.lit(0).cast("long"))).drop("prev", "next")
+    """(id, b, bucket, head, rank, lcp): bytes shared with the string before; 0 for the first (S4)."""
+    return with_common(df).drop("next_lcp")
 
 
 def distinguishing_prefix(df: DataFrame) -> DataFrame:
-    """(id, b, rank, dp): one byte more than is shared with either neighbour; a copy counts its end, too (S6)."""
-    near = with_neighbours(df)
-    shared = lambda other: F.coalesce(lcp_bytes(F.col(other), F.col("b")), F.lit(0).cast("long"))
-    return near.withColumn("dp", F.greatest(shared("prev"), shared("next")) + 1).drop("prev", "next", "bucket")
+    """(id, b, rank, lcp, dp): dp is one byte more than is shared with either neighbour; a copy counts its end, too (S6)."""
+    return with_common(df).withColumn("dp", F.greatest("lcp", "next_lcp") + 1).drop("next_lcp", "bucket", "head")
+
+
+def payload(df: DataFrame) -> DataFrame:
+    """distinguishing_prefix() with part: the bytes from lcp to dp, which a sorter has to move for a string (PRJ4)."""
+    return distinguishing_prefix(df).withColumn("part", F.substring("b", F.col("lcp").cast("int") + 1, (F.col("dp") - F.col("lcp")).cast("int")))
 
 
 def depths(longest: int) -> list[int]:
@@ -35,23 +37,27 @@ def depths(longest: int) -> list[int]:
     return out
 
 
-def prefix_doubling(df: DataFrame) -> DataFrame:
-    """(id, dp): the first tested depth at which a string's prefix occurs once, or its length where it ends before (S8).
+def text_key() -> Column:
+    """A hash of the whole string: with it, rows that share an id are told apart."""
+    return F.xxhash64("b")
 
-    Each round groups the prefixes of the strings that are still open; those that share one go on to the next depth.
-    """
+
+def _doubled(df: DataFrame) -> DataFrame:
+    """(id, k, dp): prefix_doubling() with text_key()."""
     longest = df.agg(F.max(F.octet_length("b")).alias("n")).first()["n"]
     if longest is None:
-        return df.select("id", F.lit(0).cast("long").alias("dp"))
-    open_rows, done = df.select("id", "b"), []
-    for d in depths(longest):
-        n = byte_length(F.col("b"))
-        done.append(open_rows.filter(n < d).select("id", n.alias("dp")))
-        long_rows = open_rows.filter(n >= d).withColumn("p", prefix_bytes(F.col("b"), d))
-        counts = long_rows.groupBy("p").agg(F.count(F.lit(1)).alias("c"))
-        counted = materialise(long_rows.join(counts, "p").drop("p"), "prefix-round")
-        done.append(counted.filter("c = 1").select("id", F.lit(d).cast("long").alias("dp")))
-        open_rows = counted.filter("c > 1").drop("c")
+        return df.select("id", text_key().alias("k"), F.lit(0).cast("long").alias("dp"))
+    tested = depths(longest)
+    n = byte_length(F.col("b"))
+    hashes = F.array_compact(F.array(*[F.when(n >= d, F.xxhash64(prefix_bytes(F.col("b"), d))) for d in tested]))
+    open_rows, done = materialise(df.select("id", text_key().alias("k"), n.alias("n"), hashes.alias("hashes")), "prefix-hashes"), []
+    for level, d in enumerate(tested):
+        done.append(open_rows.filter(F.col("n") < d).select("id", "k", F.col("n").alias("dp")))
+        own = open_rows.filter(F.col("n") >= d).withColumn("h", F.get("hashes", F.lit(level)))
+        many = own.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("h", F.lit(True).alias("again"))
+        told = materialise(own.join(many, "h", "left").drop("h"), "prefix-round")
+        done.append(told.filter("again is null").select("id", "k", F.lit(d).cast("long").alias("dp")))
+        open_rows = told.filter("again").drop("again")
         if open_rows.isEmpty():
             break
     out = done[0]
@@ -60,6 +66,16 @@ def prefix_doubling(df: DataFrame) -> DataFrame:
     return out
 
 
+def prefix_doubling(df: DataFrame) -> DataFrame:
+    """(id, dp): the first tested depth at which a string's prefix occurs once, or its length where it ends before (S8).
+
+    One pass over the strings hashes their prefixes of all tested depths, about twice as many bytes as they have; the
+    rounds move hashes only. Each counts those of one depth, and the strings whose hash occurs again go on to the next.
+    Two prefixes with the same 64-bit hash can only make dp larger.
+    """
+    return _doubled(df).select("id", "dp")
+
+
 def front_coded(df: DataFrame) -> DataFrame:
     """lcp_array() with rest: each string without the bytes it shares with the one before (PRJ3, EXC5)."""
     return lcp_array(df).withColumn("rest", suffix_bytes(F.col("b"), F.col("lcp")))
@@ -86,25 +102,33 @@ def front_decoded(coded: DataFrame) -> DataFrame:
 
 def runs_for_decoding(df: DataFrame) -> DataFrame:
     """front_coded() with each bucket's first string whole: the form that front_decoded() reads."""
-    coded = front_coded(df)
-    first = coded.groupBy("bucket").agg(F.min("rank").alias("head"))
-    own = coded.join(F.broadcast(first), "bucket")
-    starts = F.col("rank") == F.col("head")
-    return own.withColumns({"lcp": F.when(starts, F.lit(0).cast("long")).otherwise(F.col("lcp")), "rest": F.when(starts, F.col("b")).otherwise(F.col("rest"))}).drop("head")
+    coded, head = front_coded(df), F.col("head")
+    return coded.withColumns({"lcp": F.when(head, F.lit(0).cast("long")).otherwise(F.col("lcp")), "rest": F.when(head, F.col("b")).otherwise(F.col("rest"))}).drop("head")
+
+
+def short_strings(df: DataFrame) -> DataFrame:
+    """(id, k, b): each string cut to its distinguishing prefix, with text_key(): what a sort has to move (EXC8)."""
+    dp = _doubled(df).dropDuplicates(["id", "k"])
+    return df.withColumn("k", text_key()).join(dp, ["id", "k"]).select("id", "k", prefix_bytes(F.col("b"), F.col("dp").cast("int")).alias("b"))
 
 
 def sort_by_prefixes(df: DataFrame) -> DataFrame:
-    """(rank, id): the permutation of the sort, made from distinguishing prefixes alone (SRT2, S10).
+    """(rank, id, k): the permutation of the sort, made from distinguishing prefixes alone (SRT2, S10).
 
     Strings differ within these prefixes unless they are equal, so the prefixes' order is the strings'; ids break ties.
+    k tells rows with the same id apart.
     """
-    dp = prefix_doubling(df)
-    short = df.join(dp, "id").select("id", prefix_bytes(F.col("b"), F.col("dp").cast("int")).alias("b"))
-    return ranked(short).select("rank", "id")
+    return ranked(short_strings(df)).select("rank", "id", "k")
+
+
+def fetched(permutation: DataFrame, df: DataFrame) -> DataFrame:
+    """(rank, id, b): the strings in the order of a permutation (rank, id, k) (JN1, JN2)."""
+    once = df.withColumn("k", text_key()).dropDuplicates(["id", "k"])
+    return permutation.join(once, ["id", "k"]).select("rank", "id", "b")
 
 
 def statistics(df: DataFrame) -> DataFrame:
-    """One row: strings, bytes, sums of lcp and dp, and the mean lcp as a whole number (AGG3 to AGG6)."""
-    both = lcp_array(df).join(distinguishing_prefix(df).select("id", "dp"), "id")
-    n = F.count(F.lit(1))
-    return both.agg(n.alias("strings"), F.sum(F.octet_length("b").cast("long")).alias("bytes"), F.sum("lcp").alias("sum_lcp"), F.sum("dp").alias("sum_dp"), F.floor(F.sum("lcp") / n).cast("long").alias("avg_lcp"))
+    """One row: strings, bytes, sums of lcp and dp, the mean lcp as a whole number, dp's share of the bytes (AGG3 to AGG6)."""
+    n, d = F.count(F.lit(1)), F.sum("dp")
+    size = F.sum(F.octet_length("b").cast("long"))
+    return distinguishing_prefix(df).agg(n.alias("strings"), size.alias("bytes"), F.sum("lcp").alias("sum_lcp"), d.alias("sum_dp"), F.floor(F.sum("lcp") / n).cast("long").alias("avg_lcp"), F.round(d / size, 6).alias("dp_ratio"))

@@ -32,6 +32,22 @@ def ratio_strings(spark: SparkSession, n: int, length: int = 40, ratio: float =
     return spark.range(n).select("id", body.cast("binary").alias("b"))
 
 
+def counter_shape(n: int, length: int, ratio: float) -> tuple[int, int, int]:
+    """(prefix, digits of each counter, padding) of counter_strings()."""
+    half = math.ceil(0.5 * math.log(n) / math.log(26)) if n > 1 else 0
+    prefix = max(0, int(length * ratio) - 2 * half)
+    return prefix, half, max(0, length - prefix - 2 * half)
+
+
+def counter_strings(spark: SparkSession, n: int, length: int = 40, ratio: float = 0.5) -> DataFrame:
+    """(id, b): the older layout: Z up to the ratio, a slow and a fast counter in base 26, Z up to the length (SRC10)."""
+    prefix, half, padding = counter_shape(n, length, ratio)
+    fast = F.pmod(F.col("id"), F.lit(26**half))
+    slow = F.floor(F.col("id") / F.lit(26**half))
+    body = F.concat(F.lit("Z" * prefix), digits(slow, half), digits(fast, half), F.lit("Z" * padding))
+    return spark.range(n).select("id", body.cast("binary").alias("b"))
+
+
 def random_strings(spark: SparkSession, n: int, shortest: int = 10, longest: int = 20, letters: int = 26, seed: int = 0) -> DataFrame:
     """(id, b): letters from A on by a hash of row, place and seed; lengths even over the range (SRC12, SRC13)."""
     size = shortest + F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(longest - shortest + 1)).cast("int")

@@ -33,6 +33,11 @@ def report_config(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.json(path, multiLine=True)
 
 
+def communication(rows: DataFrame) -> DataFrame:
+    """Numbers of raw communication that belong to a phase (FLT9)."""
+    return rows.filter((F.col("type") == "number") & (F.col("rawCommunication") == 1) & (F.col("phase") != "none"))
+
+
 def result_text(df: DataFrame, prefix: str = "RESULT") -> DataFrame:
     """(value): each row as prefix and key=value pairs (SNK3)."""
     pairs = [F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in df.columns]
@@ -53,6 +58,35 @@ def two_level(df: DataFrame, groups: list[str], inner: list[str], first: str, th
     return df.groupBy(*groups, *inner).agg(f[first](value).alias("v")).groupBy(*groups).agg(f[then]("v").alias("value"))
 
 
+def timer_reduce(df: DataFrame, groups: list[str], active: str = "value", total: str = "total") -> DataFrame:
+    """avg, max and min over processes of the active time, and of the loss: total less active time (AGG11).
+
+    Averages are whole numbers, as times are.
+    """
+    loss = F.col(total) - F.col(active)
+    n = F.count(F.lit(1))
+    return df.groupBy(*groups).agg(
+        F.floor(F.sum(active) / n).cast("long").alias("avgTime"), F.max(active).alias("maxTime"), F.min(active).alias("minTime"),
+        F.floor(F.sum(loss) / n).cast("long").alias("avgLoss"), F.max(loss).alias("maxLoss"), F.min(loss).alias("minLoss"),
+    )
+
+
+def long_form(df: DataFrame, groups: list[str], names: list[str]) -> DataFrame:
+    """(groups, type, value): a row for each of the named columns."""
+    return df.unpivot(groups, names, "type", "value")
+
+
+def counter_reduce(df: DataFrame, groups: list[str], process: str, sum_up: Column, value: str = "value") -> DataFrame:
+    """(groups, process, value): counters summed over processes, process being null, where sum_up, else a row for each (AGG13)."""
+    own = df.withColumn(process, F.when(~sum_up, F.col(process)))
+    return own.groupBy(*groups, process).agg(F.sum(value).alias("value"))
+
+
+def bytes_per_string(df: DataFrame, groups: list[str], strings: int, value: str = "value") -> DataFrame:
+    """Means of each phase, summed over the phases, divided by the number of strings (AGG16)."""
+    return two_level(df, groups, ["phase"], "mean", "sum", value).withColumn("value", F.col("value") / F.lit(strings))
+
+
 def spread(df: DataFrame, groups: list[str], value: str = "value") -> DataFrame:
     """count, sum, mean, sd, and the sum of distances from the mean (AGG15, AGG19): two aggregations, no window."""
     stats = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"))
@@ -79,6 +113,28 @@ def pivoted(means: DataFrame, rows: str, columns: str, wanted: list, places: int
     return means.groupBy(rows).pivot(columns, wanted).agg(F.round(F.first(value), places))
 
 
+def marked_pivot(means: DataFrame, rows: str, columns: str, wanted: list, places: int = 2, value: str = "value") -> DataFrame:
+    """pivoted() as text, a row's least value in bold (AGG24, SNK5)."""
+    text = lambda v: F.format_string(f"%.{places}f", F.round(v, places))
+    least = F.least(*[F.col(str(c)) for c in wanted]) if len(wanted) > 1 else F.col(str(wanted[0]))
+    own = means.groupBy(rows).pivot(columns, wanted).agg(F.first(value)).withColumn("_least", least)
+    cell = lambda c: F.when(F.col(c) == F.col("_least"), F.concat(F.lit("\\textbf{"), text(F.col(c)), F.lit("}"))).otherwise(F.coalesce(text(F.col(c)), F.lit("")))
+    return own.select(rows, *[cell(str(c)).alias(str(c)) for c in wanted])
+
+
+def latex_lines(table: DataFrame, rows: str) -> DataFrame:
+    """(value): each row of a table of text as a line of LaTeX (SNK5)."""
+    cells = [F.col(c) for c in table.columns if c != rows]
+    return table.select(F.concat(F.lit(" "), F.concat_ws("  & ", F.col(rows), *cells), F.lit(" \\\\")).alias("value"))
+
+
+def configured(df: DataFrame, config: DataFrame) -> DataFrame:
+    """Rows that agree with a report's filters (SRC19): config has an array of (column, value) to equal, all as text."""
+    for f in config.select(F.explode("filters").alias("f")).select("f.column", "f.value").collect():  # a report's few filters
+        df = df.filter(F.col(f["column"]).cast("string") == F.lit(f["value"]))
+    return df
+
+
 def whiskers(df: DataFrame, groups: list[str], value: str = "value") -> DataFrame:
     """The least and greatest value within 1.5 times the box of the hinges (AGG22)."""
     box = df.groupBy(*groups).agg(F.percentile(value, F.lit(0.25)).alias("q1"), F.percentile(value, F.lit(0.75)).alias("q3"))

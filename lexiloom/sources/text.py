@@ -15,6 +15,21 @@ def lines(spark: SparkSession, path: str, keep_empty: bool = True) -> DataFrame:
     return out if keep_empty else out.filter(F.length("value") > 0)
 
 
+def counted_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, lines): how many lines each file has (SRC5)."""
+    return lines(spark, path).groupBy(F.col("_metadata.file_name").alias("file")).agg(F.count(F.lit(1)).alias("lines"))
+
+
+def write_lines(df: DataFrame, path: str, value: str = "value") -> None:
+    """One text file for each partition, a string a line (SNK1, SNK2)."""
+    df.select(F.col(value).cast("string").alias("value")).write.text(path, lineSep="\n")
+
+
+def drop_empty_lines(spark: SparkSession, source: str, target: str) -> None:
+    """Copies files of lines without the empty ones (SNK7)."""
+    write_lines(lines(spark, source, keep_empty=False), target)
+
+
 def first_bytes(df: DataFrame, limit: int, order: str) -> DataFrame:
     """The rows (value) whose bytes, each with its line feed, lie within the first `limit` of the order (SRC1 max_size)."""
     sized = df.withColumn("size", F.octet_length("value").cast("long") + 1).withColumn("part", F.floor(F.col(order) / 10_000))
@@ -26,7 +41,7 @@ def first_bytes(df: DataFrame, limit: int, order: str) -> DataFrame:
 
 def whole_files(spark: SparkSession, path: str) -> DataFrame:
     """(path, size, value): whole files as they are (SRC6, SRC7)."""
-    return spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size"), "value")
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size"), "value")
 
 
 def equal_parts(df: DataFrame, order: str, parts: int) -> DataFrame:

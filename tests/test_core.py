@@ -31,6 +31,8 @@ def test_order_and_prefixes(spark, strings):
     for rows in (50_000, 2):
         got = sorted((r["rank"], r["id"]) for r in order.ranked(df, rows).collect())
         assert got == [(k + 1, i) for k, (_, i) in enumerate(want)]
+    falling = sorted(sorted(want, key=lambda x: x[1]), key=lambda x: x[0], reverse=True)
+    assert [r["id"] for r in order.ranked(df, 2, descending=True).orderBy("rank").collect()] == [i for _, i in falling]
     lcps = [0] + [common(a, b) for (a, _), (b, _) in zip(want, want[1:])]
     assert [r["lcp"] for r in prefixes.lcp_array(df).orderBy("rank").collect()] == (lcps if want else [])
     dps = {r["id"]: r["dp"] for r in prefixes.distinguishing_prefix(df).collect()}
@@ -50,8 +52,9 @@ def test_disorder_is_seen(spark):
 
 
 def test_buckets_of_equal_strings_are_even(spark):
-    sizes = order.bucketed(frame(spark, [b"same"] * 4000), 500).groupBy("bucket").count().collect()
-    assert len(sizes) == 8 and max(r["count"] for r in sizes) < 1200
+    for descending in (False, True):
+        sizes = order.bucketed(frame(spark, [b"same"] * 4000), 500, descending).groupBy("bucket").count().collect()
+        assert len(sizes) == 8 and max(r["count"] for r in sizes) < 1200
 
 
 def test_functions(spark):
