@@ -67,13 +67,13 @@ def segments_of(data: bytes, bounds: list[tuple[int, int]], length: int, gram: i
     return text[i], first, count, pick[i], plain[pick[i]].view(np.int64), d[:, 0], d[:, 1]
 
 
-def pieces_of(texts: list[bytes], length: int) -> Iterator[list[tuple[int, int, bytes]]]:
-    """Batches of (text number, offset, bytes) with about BATCH bytes; cuts overlap so that each window is in one piece."""
+def pieces_of(texts: list[bytes], length: int, most: int = BATCH) -> Iterator[list[tuple[int, int, bytes]]]:
+    """Batches of (text number, offset, bytes) with about `most` bytes; cuts overlap so that each window is in one piece."""
     batch, size = [], 0
     for k, t in enumerate(texts):
-        for off in range(0, max(1, len(t) - length + 1), BATCH):
-            piece = t[off : off + BATCH + length - 1]
-            if batch and size + len(piece) > BATCH + length:
+        for off in range(0, max(1, len(t) - length + 1), most):
+            piece = t[off : off + most + length - 1]
+            if batch and size + len(piece) > most + length:
                 yield batch
                 batch, size = [], 0
             batch.append((k, off, piece))
@@ -88,15 +88,15 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), text.alias("text")).select(F.coalesce("doc_id", F.lit(-1)).alias("k1"), F.xxhash64("doc_id", "text").alias("k2"), "doc_id", "text")
 
 
-def segment_table(rows: DataFrame, length: int, gram: int) -> DataFrame:
+def segment_table(rows: DataFrame, length: int, gram: int, most: int = BATCH) -> DataFrame:
     """(k1, k2, start, windows, lead, anchor, d1, d2) of every segment; lead: bytes before the anchor."""
 
     def task(chunks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         clear_worker()
-        both = powers(BATCH + 2 * length + 8)
+        both = powers(most + 2 * length + 8)
         for chunk in chunks:
             k1, k2 = (chunk.column(c).to_numpy() for c in ("k1", "k2"))
-            for batch in pieces_of(chunk.column("text").cast(pa.binary()).to_pylist(), length):
+            for batch in pieces_of(chunk.column("text").cast(pa.binary()).to_pylist(), length, most):
                 ends = np.cumsum([len(p) for *_, p in batch])
                 bounds = list(zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True))
                 data = b"".join(p for *_, p in batch)

@@ -279,17 +279,22 @@ def test_toxic_wording_without_marked_terms(spark):
     assert not any(got[i]["predicted"] for i, _ in plain)
 
 
-def test_block_max_index_is_exact():
+def flat_of(vectors):
+    return tuple(np.concatenate(x) for x in zip(*((np.full(len(t), i), t, v) for i, (t, v) in enumerate(vectors))))
+
+
+@pytest.mark.parametrize("frequent", [0.02, 0.1, 2.0])
+def test_block_max_index_is_exact(frequent):
     rng = np.random.default_rng(6)
     vectors = []
     for _ in range(700):
         t = np.sort(rng.choice(30, rng.integers(1, 6), replace=False))
         v = rng.random(len(t)) + 0.1
         vectors.append((t, v / np.linalg.norm(v)))
-    index = toxicity.BlockMaxIndex(np.arange(700), np.zeros(700, int), np.ones(700), vectors, 30)
+    index = toxicity.BlockMaxIndex(np.arange(700), np.zeros(700, int), np.ones(700), flat_of(vectors), 30, frequent)
     dense = np.zeros((700, 30))
     for row, i in enumerate(index.ids):
         dense[row, vectors[i][0]] = vectors[i][1]
-    for t, v in vectors[:60]:
-        _, cosines = index.nearest(t, v, 16)
-        assert np.allclose(cosines, np.sort(dense[:, t] @ v)[::-1][:16])
+    for (t, v), (_, cosines) in zip(vectors[:60], index.nearest(flat_of(vectors[:60]), 60, 16, [None] * 60), strict=True):
+        best = np.sort(dense[:, t] @ v)[::-1][:16]
+        assert np.allclose(cosines, best[best > 0], atol=1e-5)
