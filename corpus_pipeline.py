@@ -1,8 +1,12 @@
 """A corpus from raw documents to packed sequences, in five stages; counted as part of lexiloom.llm.
 
-Each stage reads what its predecessor wrote. All but the last return the columns of documents. The mix is an order: the
-files of that stage hold the documents in it, and packing groups consecutive documents of it, so every group of
-sequences has the target weights.
+Each stage reads what its predecessor wrote. All but the last return the columns of documents, extra ones too. The mix is
+an order: the files of that stage hold the documents in it, and packing groups consecutive documents of it, so every
+group of sequences has the target weights.
+
+Null texts count as empty. Of equal texts, and of near-duplicates, the document with the smallest id stays, and one
+without id where none has one; near-duplicates need ids. Empty texts are one group of equal texts. Repeated rows are one
+document from the exact stage on. Sources that are null or not listed have a share of the mix. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -56,7 +60,7 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: Nearest-neighbour votes have no SQL form; tests hold every stage against brute force.
+#: Nearest-neighbour votes have no SQL form; tests/llm/test_pipeline.py holds the stages against plain Python.
 ORACLE_SQL = None
 
 
