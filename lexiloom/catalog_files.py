@@ -7,8 +7,9 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexiloom import run
 from lexiloom.plans.scratch import scratch_path
-from lexiloom.registry import load, query
+from lexiloom.registry import lcp_sql, load, query
 from lexiloom.sources import generators, metrics, text
 
 LINES = "SELECT o_orderkey::BIGINT AS k, CASE WHEN o_orderkey % 7 = 0 THEN '' ELSE o_orderpriority || ' ' || o_orderkey END AS value FROM orders"
@@ -182,3 +183,14 @@ def metrics_communication(spark: SparkSession, d: str) -> DataFrame:
     e = F.col("event_id")
     rows = metric_rows(spark, d).withColumns({"type": F.when(e % 2 == 0, "number").otherwise("time"), "rawCommunication": F.when(e % 3 != 0, 1).otherwise(0), "phase": F.when(F.col("phase") == "phase1", "none").otherwise(F.col("phase"))})
     return metrics.communication(rows).select(e.cast("long").alias("event_id"), "value")
+
+
+RUN = f"""s AS (SELECT i AS id, hex(encode(rpad('AAAA' || chr(65 + (i // 676 % 26)::INT) || chr(65 + (i // 26 % 26)::INT) || chr(65 + (i % 26)::INT), 30, 'A'))) AS h FROM range(2000) t(i)),
+o AS (SELECT h, lag(h) OVER (ORDER BY h, id) AS p, lead(h) OVER (ORDER BY h, id) AS q FROM s), l AS (SELECT length(h) // 2 AS n, {lcp_sql("p", "h")} AS lcp, greatest({lcp_sql("p", "h")}, {lcp_sql("q", "h")}) + 1 AS dp FROM o)"""
+
+
+@query(f"WITH {RUN}, v AS (SELECT 'strings' AS type, count(*)::BIGINT AS value FROM l UNION ALL SELECT 'chars', sum(n)::BIGINT FROM l UNION ALL SELECT 'lcps', sum(lcp)::BIGINT FROM l UNION ALL SELECT 'prefixes', sum(dp)::BIGINT FROM l UNION ALL SELECT 'bytes', sum(n + 1 - lcp + 1)::BIGINT FROM l UNION ALL SELECT 'complete_and_sorted', 1 UNION ALL SELECT 'exhaustive', 1) SELECT i AS iteration, type, value FROM v, range(2) t(i)")
+def sort_run(spark: SparkSession, d: str) -> DataFrame:
+    """The runs of the command line with checks: what they report besides times"""
+    rows = run.run(spark, "ratio", 2000, 30, 0.25, coding="front", compress=True, iterations=2, check=True, exhaustive=True)
+    return rows.filter("type not in ('time', 'largest')").select("iteration", "type", "value")
