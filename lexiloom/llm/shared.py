@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 from collections.abc import Callable
 
 import pyarrow as pa
-
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,8 +28,23 @@ def clear_worker() -> None:
     """Gives back what the worker's earlier tasks have kept: called by tasks that keep nothing themselves."""
     if _KEPT:
         _KEPT.clear()
-        gc.collect()
+        give_back()
+
+
+def give_back() -> None:
+    """Returns freed memory to the system: idle workers would hold it while other stages need it."""
+    gc.collect()
     pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+    if trim:
+        trim(0)
+
+
+def spent(*broadcasts: Broadcast) -> None:
+    """Drops this process's copies of broadcast values; a later task of the worker loads them again."""
+    for b in broadcasts:
+        vars(b).pop("_value", None)
+    give_back()
 
 
 def seeded(seed: int, *cols: Column) -> Column:

@@ -241,4 +241,4 @@ def suffix_digest(docs: DataFrame) -> DataFrame:
     """The contract's columns, from the bytes that stay, and those bytes as text; halves of characters become U+FFFD."""
     found = remove_repeats(docs)
     kept = F.make_valid_utf8(F.col("kept").cast("string"))
-    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), kept.alias("kept_text"))
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), kept.alias("kept_text"), (F.col("n_removed") / F.greatest("n_bytes", F.lit(1))).alias("removed_share"))

@@ -25,11 +25,11 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexiloom.llm.shared import clear_worker, materialise, small_batches, unit
+from lexiloom.llm.shared import clear_worker, materialise, small_batches, spent, unit
 from lexiloom.llm.texts import RangeHashes, as_bytes, batches, mixed, runs
 
 #: Labelled examples of each class, on average: the bound of what is fitted.
-EXAMPLES = 8_000
+EXAMPLES = 5_000
 #: Bytes of the beginnings of terms that may be marked.
 PREFIXES = (4, 5, 6, 7)
 #: A term is marked if so many toxic examples and such a share of them have it, and its share of toxic examples is surely above LEAST.
@@ -146,11 +146,12 @@ class Terms:
     def vectors(self, found: tuple[np.ndarray, np.ndarray, np.ndarray], n: int, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text, term, weight): the unit vectors of n texts, their two parts of equal weight."""
         row, term, tf = found
-        v = (1 + np.log(tf)) * idf[term]
+        v = (1 + np.log(tf, dtype=np.float32)) * idf[term]
         part = 2 * row + (term >= len(self.words))
         square = np.bincount(part, v * v, 2 * n)
         parts = (square.reshape(n, 2) > 0).sum(axis=1)
-        return row, term, v / np.sqrt(square[part] * parts[row])
+        v /= np.sqrt(square[part] * parts[row])
+        return row, term, v
 
 
 def document_counts(docs: DataFrame, known) -> DataFrame:
@@ -163,9 +164,11 @@ def document_counts(docs: DataFrame, known) -> DataFrame:
         for chunk in chunks:
             for a, b in text_batches(chunk.column("text")):
                 n += np.bincount(terms.find(chunk.column("text").slice(a, b - a))[1], minlength=terms.size)
+        del terms
         some = np.flatnonzero(n)
         for a in range(0, len(some), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(some[a : a + 100_000]), pa.array(n[some[a : a + 100_000]])], names=["term", "n"])
+        spent(known)
 
     return docs.select("text").mapInArrow(task, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
@@ -217,7 +220,7 @@ class BlockMaxIndex:
         row, term, value = row[~dense], term[~dense], value[~dense]
         by = np.argsort(term, kind="stable")
         self.row, self.value = row[by].astype(np.int32), value[by]
-        self.start = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=n_terms))])
+        self.start = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=n_terms))]).astype(np.int32)
 
     def nearest(self, queries: tuple[np.ndarray, np.ndarray, np.ndarray], n: int, k: int, skips: list) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each of n queries (query, term, weight): (rows, cosines) of the k nearest examples with a cosine above 0.
@@ -230,8 +233,10 @@ class BlockMaxIndex:
         common[query[place >= 0], place[place >= 0]] = value[place >= 0]
         query, term, value = query[place < 0], term[place < 0], value[place < 0]
         length = self.start[term + 1] - self.start[term]
-        at = np.repeat(self.start[term] - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))
-        score = np.bincount(np.repeat(query * self.places, length) + self.row[at], np.repeat(value, length) * self.value[at], n * self.places)
+        at = np.repeat(self.start[term] - (np.cumsum(length, dtype=np.int32) - length), length) + np.arange(int(length.sum()), dtype=np.int32)
+        cell = np.repeat((query * self.places).astype(np.int32), length) + self.row[at]
+        score = np.bincount(cell, np.repeat(value.astype(np.float32), length) * self.value[at], n * self.places)
+        del at, cell
         score = score.astype(np.float32).reshape(n, self.blocks, INDEX_BLOCK)
         flat = score.reshape(n, -1)
         for i, skip in enumerate(skips):
@@ -239,10 +244,14 @@ class BlockMaxIndex:
                 flat[i, : len(self.ids)][self.ids == skip] = -np.inf
         flat[:, len(self.ids) :] = -np.inf
         bound = score.max(axis=2) + common @ self.most
-        early = bound >= np.partition(bound, max(0, self.blocks - EARLY), axis=1)[:, max(0, self.blocks - EARLY)][:, None]
+        some = min(EARLY, self.blocks)
+        high = np.argpartition(bound, -some, axis=1)[:, -some:]
+        early = np.zeros(bound.shape, bool)
+        np.put_along_axis(early, high, True, axis=1)
         self._add(score, common, early & (bound > 0))
-        best = np.where(early[:, :, None], score, -np.inf).reshape(n, -1)
-        floor = np.maximum(0, np.partition(best, -min(k, self.places), axis=1)[:, -min(k, self.places)] - 1e-5)  # weights have 32 bits
+        best = np.take_along_axis(score, high[:, :, None], axis=1).reshape(n, -1)
+        least = min(k, best.shape[1])
+        floor = np.maximum(0, np.partition(best, -least, axis=1)[:, -least] - 1e-5) if least == k else np.zeros(n)  # weights have 32 bits
         reached = (bound > 0) & (bound >= floor[:, None])
         self._add(score, common, reached & ~early)
         out = []
@@ -291,22 +300,26 @@ def toxicity(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, neigh
     df = np.zeros(max(1, terms.size))
     counted = document_counts(texts, known).toArrow()  # a row for each term of the examples at most
     df[counted.column("term").to_numpy()] = counted.column("n").to_numpy()
-    idf = np.log((1 + texts.count()) / (1 + df)) + 1
+    idf = (np.log((1 + texts.count()) / (1 + df)) + 1).astype(np.float32)
+    del counted, words
     found = example_terms(own, known).toArrow()  # 2 * examples rows on average
     ids, labelled = found.column("doc_id").to_numpy(), found.column("label").to_numpy().astype(np.int64)
     by = np.lexsort((found.column("h").to_numpy(), ids))
     by = by[np.append(True, ids[by][1:] != ids[by][:-1])] if len(by) else by
     found, ids, labelled = found.take(pa.array(by)), ids[by], labelled[by]
-    raw = [np.frombuffer(b"".join(found.column(c).to_pylist()), np.int32).astype(np.int64) for c in ("terms", "tf")]
+    raw = [np.frombuffer(b"".join(found.column(c).to_pylist()), np.int32) for c in ("terms", "tf")]
     row = np.repeat(np.arange(len(ids)), pc.binary_length(found.column("terms")).to_numpy() // 4)
     del found
     full = np.zeros(len(ids), bool)
     full[row] = True
     bare = {y: int(((labelled == y) & ~full).sum()) for y in (0, 1)}
     weight = {y: 1 / rate[y] for y in (0, 1)}
-    index = BlockMaxIndex(ids, labelled, np.where(labelled == 1, weight[1], weight[0]), terms.vectors((row, *raw), len(ids), idf), len(df))
+    vectors = terms.vectors((row, *raw), len(ids), idf)
+    del raw
+    index = BlockMaxIndex(ids, labelled, np.where(labelled == 1, weight[1], weight[0]), vectors, len(df))
     fitted = context.broadcast((index, idf, marks.column("term").to_pylist()))
-    del index, raw
+    del index, vectors, row, idf, df, terms
+    spent(known, fitted)  # the driver's copies
     share = lambda y, n: weight[y] * n.get(y, 0)
     base = (share(1, sizes) * rate[1]) / max(1e-9, share(1, sizes) * rate[1] + share(0, sizes) * rate[0])
     none = (share(1, bare) + PRIOR * base) / (share(1, bare) + share(0, bare) + PRIOR)
@@ -333,6 +346,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, neigh
                         out[1][i], out[2][i] = index.ids[rows].tolist(), cosine.tolist()
                 some = [chunk.column(c).slice(a, b - a) for c in ("doc_id", "h")]
                 yield pa.RecordBatch.from_arrays([*some, *(pa.array(c, k) for c, k in zip([*out, marked], kinds, strict=True))], names=["doc_id", "h", "score", "neighbours", "cosines", "terms"])
+        del index, idf, terms
+        spent(known, fitted)
 
     hashed = texts.select("doc_id", F.xxhash64("text").alias("h"), "text")
     scored = hashed.mapInArrow(task, "doc_id long, h long, score double, neighbours array<long>, cosines array<double>, terms array<string>")
