@@ -114,10 +114,12 @@ def repeated_windows(texts: list[bytes], phases: list[int], length: int) -> list
     counted up to `length`. A window that begins l bytes before a symbol is repeated if one of the suffixes that share
     length - l bytes with the symbol's has the same l bytes before it.
     """
-    out = [np.zeros(max(0, len(t) - length + 1), bool) for t in texts]
-    chosen = [i for i, o in enumerate(out) if len(o)]
+    sizes = np.array([max(0, len(t) - length + 1) for t in texts], np.int64)
+    cuts = np.cumsum(sizes)
+    flags = np.zeros(int(sizes.sum()), bool)
+    chosen = np.flatnonzero(sizes).tolist()
     if not chosen:
-        return out
+        return np.split(flags, cuts[:-1]) if len(texts) else []
     heads = [phases[i] % STEP for i in chosen]
     lens = np.array([len(texts[i]) - h for i, h in zip(chosen, heads, strict=True)], np.int64)  # bytes in symbols
     counts = -(-lens // STEP)
@@ -158,6 +160,7 @@ def repeated_windows(texts: list[bytes], phases: list[int], length: int) -> list
     previous[at] = lead
     prior = np.ascontiguousarray(previous).view(">u8").astype(np.uint64).reshape(total, 2)
     before = np.where(within > 0, STEP, np.array(heads)[owner])
+    begins = (cuts - sizes)[chosen] + np.array(heads)  # of the first symbol of each text, among all windows
     for l in range(STEP):
         enough = common >= length - l
         near = np.zeros(len(rank), bool)
@@ -175,10 +178,9 @@ def repeated_windows(texts: list[bytes], phases: list[int], length: int) -> list
         twice = np.zeros(len(own), bool)
         twice[1:] |= same
         twice[:-1] |= same
-        for p in own[by[twice]].tolist():
-            k = owner[p]
-            out[chosen[k]][heads[k] + within[p] * STEP - l] = True
-    return out
+        p = own[by[twice]]
+        flags[begins[owner[p]] + within[p] * STEP - l] = True
+    return np.split(flags, cuts[:-1])
 
 
 def _common(rank, cells, symbol, owner, within, counts, held, most: int) -> np.ndarray:

@@ -4,10 +4,10 @@ Which windows of LENGTH bytes repeat anywhere is decided exactly, without one su
 
 1. Every window has an anchor, its leftmost smallest hash of GRAM bytes. Equal windows have equal anchors at the same
    distance. Windows of a text with the same anchor follow one another: their union is a segment. Only hashes move.
-2. An anchor met once holds no repeated window. Segments met more than once are repeated as a whole.
-3. Segments that share an anchor but differ are fetched, one of each kind, and gathered by anchor; a suffix array over
-   them tells which of their windows repeat.
-4. An anchor with more than KINDS kinds would be too much for one task. Its windows are counted by their digests
+2. An anchor met once holds no repeated window. Equal segments, told by 128-bit digests, are one kind.
+3. The kinds of an anchor are gathered, one segment of each, two where it occurs again; a suffix array over them tells
+   which of their windows repeat.
+4. An anchor with more than KINDS segments would be too much for one task. Its windows are counted by their digests
    instead, each on its own: exact, and in proportion to the kinds' bytes.
 5. The repeated windows of every kind go back to all its places; the bytes they cover are removed.
 """
@@ -30,7 +30,7 @@ from lexiloom.llm.texts import RangeHashes, powers
 LENGTH, GRAM = 400, 32
 #: Window starts handled at a time, below 2**22; a longer text is cut, with overlaps.
 BATCH = 1 << 20
-#: Most kinds of segments of an anchor that one suffix array sorts; bytes sorted at a time.
+#: Most segments of an anchor that one suffix array sorts; bytes sorted at a time.
 KINDS, SORT_BYTES = 2048, 400_000
 _POSITION = np.uint64((1 << 22) - 1)
 
@@ -179,7 +179,7 @@ def repeated_singly(crowded: DataFrame, length: int) -> DataFrame:
     key = ["anchor", "place", "d1", "d2"]
     windows = materialise(crowded.mapInArrow(task, "anchor long, id long, w long, place long, d1 long, d2 long"), "suffix-windows")
     many = windows.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(*key)
-    hit = windows.join(many, key, "left_semi").groupBy("anchor", "id").agg(F.array_sort(F.collect_list("w")).alias("ws"))  # a kind has few windows
+    hit = windows.join(many, key, "left_semi").groupBy("anchor", "id").agg(F.array_sort(F.collect_set("w")).alias("ws"))  # a kind has few windows
     run = hit.select("anchor", "id", F.posexplode("ws").alias("k", "w")).groupBy("anchor", "id", F.col("w") - F.col("k"))
     return run.agg(F.min("w").alias("w1"), (F.max("w") + 1).alias("w2")).select("anchor", "id", "w1", "w2")
 
@@ -189,17 +189,18 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most
     small_batches(docs.sparkSession)
     rows = keyed(docs)
     segments = materialise(segment_table(rows, length, gram), "suffix-segments")
-    kinds = segments.groupBy("anchor", "d1", "d2").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("k1", "k2", "start", "windows", "lead")).alias("one"))
+    place = F.struct("k1", "k2", "start", "windows", "lead")
+    kinds = segments.groupBy("anchor", "d1", "d2").agg(F.count(F.lit(1)).alias("times"), F.min(place).alias("one"), F.max(place).alias("other"))
     many = segments.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor")
     kinds = materialise(kinds.join(many, "anchor").withColumn("id", F.xxhash64("d1", "d2")), "suffix-kinds")
-    apart = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    places = materialise(kinds.join(apart, "anchor").select("one.*", "anchor", "id", "size"), "suffix-places")
+    sizes = kinds.groupBy("anchor").agg(F.sum(F.least("times", F.lit(2))).alias("size"))
+    both = F.when(F.col("times") > 1, F.array("one", "other")).otherwise(F.array("one"))
+    places = materialise(kinds.join(sizes, "anchor").select("anchor", "id", "size", F.explode(both).alias("p")).select("p.*", "anchor", "id", "size"), "suffix-places")
     parts = repeated_parts(sliced(rows, places.filter(F.col("size") <= most_kinds), length), length)
     crowded = places.filter(F.col("size") > most_kinds)
     if not crowded.isEmpty():
         parts = parts.unionByName(repeated_singly(sliced(rows, crowded, length), length))
-    whole = kinds.filter("times > 1").select("anchor", "id", F.lit(0).cast("long").alias("w1"), F.col("one.windows").cast("long").alias("w2"))
-    repeats = materialise(whole.unionByName(parts.join(kinds.filter("times = 1").select("anchor", "id"), ["anchor", "id"], "left_semi")).distinct(), "suffix-repeats")
+    repeats = materialise(parts.distinct(), "suffix-repeats")
     at = segments.withColumn("id", F.xxhash64("d1", "d2")).join(repeats, ["anchor", "id"])
     covered = at.select("k1", "k2", (F.col("start") + F.col("w1")).alias("s"), (F.col("start") + F.col("w2") + (length - 1)).alias("e"))
     spans = covered.groupBy("k1", "k2").agg(F.array_sort(F.collect_set(F.struct("s", "e"))).alias("spans"))
