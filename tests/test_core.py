@@ -2,13 +2,16 @@
 
 import os
 
+import random
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from lexiloom import catalog
-from lexiloom.functions import lcp_bytes, varint_size
+from lexiloom import catalog, run
+from lexiloom.functions import compare_bytes, extended_hash, golomb_bits, golomb_values, lcp_bytes, leading_uint, leading_zeros, lower_byte, multiplied_hash, not_above, prefix_hash, same_byte, trailing_zeros, varint_bytes, varint_size, varint_value
 from lexiloom.operators import duplicates, order, prefixes
+from lexiloom.plans import scratch
 from lexiloom.sources import generators, metrics, text
 
 SMALL = "/root/testdata/sf0.001"
@@ -64,6 +67,96 @@ def test_functions(spark):
     assert spark.createDataFrame([(v,) for v in values], "v long").agg(F.sum(varint_size(F.col("v")))).first()[0] == 37
 
 
+def test_comparisons(spark):
+    texts = [b"", b"a", b"ab", b"ab\x00", b"abc", b"b", b"\xff", b"\x80\xff", b"abd" * 50, b"abd" * 50 + b"x"]
+    df = spark.createDataFrame([(bytearray(a), bytearray(b)) for a in texts for b in texts], "a binary, b binary")
+    a, b, two = F.col("a"), F.col("b"), F.lit(2)
+    known = F.least(lcp_bytes(a, b), F.lit(1))
+    for r in df.select("a", "b", compare_bytes(a, b).alias("d"), compare_bytes(a, b, known).alias("k"), not_above(a, b).alias("q"), same_byte(a, b, two).alias("s"), lower_byte(a, b, two).alias("l")).collect():
+        x, y = bytes(r["a"]), bytes(r["b"])
+        n = common(x, y)
+        at = lambda t, i: t[i] if i < len(t) else 0
+        assert r["d"] == r["k"] == at(x, n) - at(y, n)
+        assert tuple(r["q"]) == (x <= y, n)
+        assert r["s"] == (at(x, 2) == at(y, 2) != 0) and r["l"] == (at(x, 2) < at(y, 2))
+
+
+def test_numbers_and_hashes(spark):
+    raw = bytes(range(200, 217))
+    b = F.lit(bytearray(raw))
+    r = spark.range(1).select(*[leading_uint(b, n).alias(f"u{n}") for n in (1, 2, 7, 8)], leading_uint(b, 16).alias("u16"), multiplied_hash(F.lit(bytearray(b"ab\x00cd")), 9, 10**9 + 7).alias("m"), multiplied_hash(F.lit(bytearray(b"")), 9, 77).alias("e")).first()
+    assert [int(r[f"u{n}"]) for n in (1, 2, 7, 8)] == [int.from_bytes(raw[:n], "big") for n in (1, 2, 7, 8)]
+    assert (int(r["u16"]["high"]) << 64) + int(r["u16"]["low"]) == int.from_bytes(raw[:16], "big")
+    h = 5381
+    for c in b"ab":
+        h = (h * 33 + c * 33) % 2**64
+    assert r["m"] == h % (10**9 + 7) and r["e"] == 5381 % 77
+    bits = spark.createDataFrame([(v,) for v in (0, 1, 2, 12, 2**62)], "v long").select("v", leading_zeros(F.col("v")).alias("l"), trailing_zeros(F.col("v")).alias("t")).collect()
+    assert [(x["l"], x["t"]) for x in bits] == [(64, 64), (63, 0), (62, 1), (60, 2), (1, 62)]
+    x, y = F.lit(bytearray(b"12345678abcd")), F.lit(bytearray(b"12345678abce"))
+    long = lambda t: extended_hash(prefix_hash(t, 8), t, 8, 12)
+    assert spark.range(1).select((long(x) == long(x)) & (long(x) != long(y))).first()[0]
+
+
+def test_codes(spark):
+    rng = random.Random(5)
+    values = [0, 1, 127, 128, 16383, 16384, 2**31, 2**62, *(rng.getrandbits(rng.randint(1, 62)) for _ in range(200))]
+    rows = spark.createDataFrame([(v,) for v in values], "v long").select("v", varint_bytes(F.col("v")).alias("b"))
+    for r in rows.select("v", "b", varint_value(F.col("b")).alias("back")).collect():
+        out, v = bytearray(), r["v"]
+        while v >= 128:
+            out.append(v & 127 | 128)
+            v >>= 7
+        assert bytes(r["b"]) == bytes([*out, v]) and r["back"] == r["v"]
+    lists = [[], [5], [0, 0, 0], [7, 7, 9], *(sorted(rng.randrange(10 ** rng.randint(1, 9)) for _ in range(rng.randint(1, 60))) for _ in range(60))]
+    coded = spark.createDataFrame([(x,) for x in lists], "x array<bigint>").select("x", golomb_bits(F.col("x")).alias("c"))
+    assert all(r["x"] == r["back"] for r in coded.select("x", golomb_values(F.col("c")).alias("back")).collect())
+
+
+def test_rows_that_share_ids(spark):
+    df = spark.createDataFrame([(1, bytearray(b"same")), (1, bytearray(b"other")), (1, bytearray(b"same")), (2, bytearray(b"same"))], "id long, b binary")
+    got = prefixes.fetched(prefixes.sort_by_prefixes(df), df).orderBy("rank").collect()
+    assert [(r["rank"], bytes(r["b"])) for r in got] == [(1, b"other"), (2, b"same"), (3, b"same"), (4, b"same")]
+    assert prefixes.statistics(df).first()["strings"] == 4
+
+
+def test_cut_splitters_stay_in_order(spark):
+    strings = [b"p" * 50 + bytes([97 + i % 5]) * (i % 7) for i in range(400)]
+    df = frame(spark, strings)
+    for descending in (False, True):
+        cuts = order.splitters(df, 6, longest=51, oversampling=None, descending=descending)
+        assert cuts == sorted(sorted(cuts, key=lambda c: c[1]), key=lambda c: c[0], reverse=descending) and all(len(b) <= 51 for b, _ in cuts)
+        rows = sorted(((bytes(r["b"]), r["id"], r["bucket"]) for r in df.withColumn("bucket", order.bucket_of(cuts, descending)).collect()), key=lambda r: r[1])
+        along = [r[2] for r in sorted(rows, key=lambda r: r[0], reverse=descending)]
+        assert along == sorted(along) and max(along) == len(cuts)
+
+
+def test_positions_of_splits(spark):
+    df = frame(spark, [b"a"] * 3 + [b"b"] * 6 + [b"c"] * 2)
+    assert {r["k"]: r["position"] for r in order.split_positions(df, [b"", b"a", b"b", b"c", b"d"]).collect()} == {0: 0, 1: 3, 2: 5, 3: 9, 4: 11}
+    assert [order.sample_size(*x) for x in ((2, 0), (2, 10, 1), (16, 100_000, 1), (16, 100_000, 1, True), (1, 10, 8))] == [0, 17, 125, 189, 9]
+    assert order.sample_length(7) == 2400 and order.sample_length(7, twice=False) == 1200
+
+
+def test_scratch_needs_a_shared_folder(spark, monkeypatch):
+    class Conf:
+        def get(self, key, default=None):
+            return {"spark.master": "spark://host:7077"}.get(key, default)
+
+    class Session:
+        conf = Conf()
+
+    with pytest.raises(ValueError):
+        scratch.scratch_path(Session(), "x")
+
+
+def test_runs(spark, tmp_path):
+    (tmp_path / "in.txt").write_bytes(b"beta\nalpha\n\nalpha\n")
+    for generator, strings in (("lines", 4), ("suffixes", 14), ("random", 40), ("skewed", 40)):
+        rows = {(r["phase"], r["type"]): r["value"] for r in run.run(spark, generator, 40, 12, 0.5, str(tmp_path), by_prefixes=generator == "lines", policy="chars", coding="payload", iterations=1, check=True, exhaustive=True).collect()}
+        assert rows["statistics", "strings"] == strings and rows["check", "complete_and_sorted"] == rows["check", "exhaustive"] == 1
+
+
 @pytest.mark.parametrize("n,length,ratio", [(1000, 100, 0.0), (1000, 100, 0.25), (1000, 250, 0.76), (1000, 100, 1.0)])
 def test_ratio_strings(spark, n, length, ratio):
     df = generators.ratio_strings(spark, n, length, ratio)
