@@ -289,15 +289,32 @@ def prefix_number(spark: SparkSession, d: str) -> DataFrame:
     return generators.prefixed_numbers(spark, 10_000).select("id", F.decode("b", "UTF-8").alias("s"))
 
 
-@query(None)
+def drawn_sql(seed: int, what: str, start: str = "1", digits: int = 13) -> str:
+    return f"('0x' || substr(md5('{seed}:' || i || ':' || {what}), {start}, {digits}))::BIGINT"
+
+
+def random_sql(n: int, shortest: int, longest: int, letters: int, seed: int, first: int = 0) -> str:
+    """SQL of random strings: id and s."""
+    size = f"{shortest} + {drawn_sql(seed, repr('n'))} % {longest - shortest + 1}"
+    letter = f"chr((65 + {drawn_sql(seed, 'k // 8', '(4 * (k % 8) + 1)::BIGINT', 4)} % {letters})::INT)"
+    return f"SELECT i + {first} AS id, array_to_string(list_transform(range(0, {size}), lambda k: {letter}), '') AS s FROM range({n}) t(i)"
+
+
+@query(random_sql(2000, 10, 20, 26, 0))
 def random_strings(spark: SparkSession, d: str) -> DataFrame:
-    """SRC12, SRC13: hashes decide the letters; SQL engines' hashes differ"""
+    """SRC13"""
+    return generators.random_strings(spark, 2000).select("id", F.decode("b", "UTF-8").alias("s"))
+
+
+@query(f"{random_sql(500, 200, 300, 6, 0)} UNION ALL {random_sql(1500, 100, 200, 26, 7, 500)}")
+def skewed_random_strings(spark: SparkSession, d: str) -> DataFrame:
+    """SRC12"""
     return generators.skewed_random_strings(spark, 2000).select("id", F.decode("b", "UTF-8").alias("s"))
 
 
-@query(None)
+@query(f"WITH u AS (SELECT i, {drawn_sql(0, repr('u'))} / 4503599627370496.0::DOUBLE AS u FROM range(10000) t(i)) SELECT i AS id, ((u >= 1 / 8.0::DOUBLE)::INT + (u >= 3 / 8.0::DOUBLE)::INT)::BIGINT AS drawn FROM u")
 def weighted_draws(spark: SparkSession, d: str) -> DataFrame:
-    """SRC15"""
+    """SRC15: positions 0, 1 and 2 with weights 1, 2 and 5"""
     return generators.weighted_draws(spark, 10_000, [1.0, 2.0, 5.0])
 
 

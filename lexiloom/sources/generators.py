@@ -48,11 +48,17 @@ def counter_strings(spark: SparkSession, n: int, length: int = 40, ratio: float
     return spark.range(n).select("id", body.cast("binary").alias("b"))
 
 
+def drawn(seed: int, what: Column, start: Column | int = 1, digits_used: int = 13) -> Column:
+    """A number from hex digits of the MD5 of seed, row and what: any engine draws the same."""
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("id").cast("string"), what.cast("string")).cast("binary"))
+    return F.conv(F.substring(digest, start, F.lit(digits_used)), 16, 10).cast("long")
+
+
 def random_strings(spark: SparkSession, n: int, shortest: int = 10, longest: int = 20, letters: int = 26, seed: int = 0) -> DataFrame:
-    """(id, b): letters from A on by a hash of row, place and seed; lengths even over the range (SRC12, SRC13)."""
-    size = shortest + F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(longest - shortest + 1)).cast("int")
-    letter = lambda k: F.chr(65 + F.pmod(F.xxhash64(F.lit(seed + 1), "id", k), F.lit(letters)))
-    body = F.when(size < 1, F.lit("")).otherwise(F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(size, F.lit(1))), letter), ""))
+    """(id, b): letters from A on by a hash of seed, row and place; lengths even over the range (SRC12, SRC13)."""
+    size = (shortest + drawn(seed, F.lit("n")) % (longest - shortest + 1)).cast("int")
+    letter = lambda k: F.chr(65 + drawn(seed, F.floor(k / 8), (4 * (k % 8) + 1).cast("int"), 4) % letters)  # noqa: E731  eight of a digest
+    body = F.when(size < 1, F.lit("")).otherwise(F.array_join(F.transform(F.sequence(F.lit(0), F.greatest(size, F.lit(1)) - 1), letter), ""))
     return spark.range(n).select("id", body.cast("binary").alias("b"))
 
 
@@ -74,6 +80,6 @@ def weighted_draws(spark: SparkSession, n: int, weights: list[float], seed: int
     for w in weights[:-1]:
         run += w
         cuts.append(run / total)
-    u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "id"), 11) / F.lit(float(2**53))
+    u = drawn(seed, F.lit("u")) / F.lit(float(16**13))
     at = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= u)) if cuts else F.lit(0)
     return spark.range(n).select("id", at.cast("long").alias("drawn"))
