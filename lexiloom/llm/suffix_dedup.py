@@ -10,11 +10,16 @@ Which windows of LENGTH bytes repeat anywhere is decided exactly, without one su
 4. An anchor with more than KINDS segments would be too much for one task. Its windows are counted by their digests
    instead, each on its own: exact, and in proportion to the kinds' bytes.
 5. The repeated windows of every kind go back to all its places; the bytes they cover are removed.
+
+Shorter passages aren't removed, but reported: as the bytes of an anchor's kinds lie side by side in step 3 and 4, their
+runs of PASSAGE_WORDS whole words about the anchor are compared as well. A passage of fewer than `length` bytes is found
+where its smallest gram is the anchor in two texts, which is the likelier the longer it is.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +33,8 @@ from lexiloom.llm.suffix_array import repeated_windows
 from lexiloom.llm.texts import RangeHashes, powers
 
 LENGTH, GRAM = 400, 32
+#: Words of a passage that is reported, though it may be too short to be removed.
+PASSAGE_WORDS = 50
 #: Window starts handled at a time, below 2**22; a longer text is cut, with overlaps.
 BATCH = 1 << 20
 #: Most segments of an anchor that one suffix array sorts; bytes sorted at a time.
@@ -135,8 +142,31 @@ def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-def repeated_parts(gathered: DataFrame, length: int, sort_bytes: int = SORT_BYTES) -> DataFrame:
-    """(anchor, id, w1, w2): the runs of windows of each kind that repeat in another kind of the same anchor.
+_WORD = re.compile(rb"[^\x20\x09-\x0d]+")
+
+
+def word_runs(data: bytes, lead: int, gram: int, words: int) -> list[tuple[int, bytes]]:
+    """(distance to the anchor, bytes) of each run of so many whole words that holds the anchor; the first and last word may be cut."""
+    at = [m.span() for m in _WORD.finditer(data)][1:-1]
+    return [(s - lead, data[s:e]) for (s, _), (_, e) in zip(at, at[words - 1 :]) if s <= lead and e >= lead + gram]
+
+
+def shared_runs(data: list[bytes], leads: list[int], ids: list[int], gram: int, words: int) -> set[int]:
+    """The ids, among kinds of one anchor, that have a run of words in common with another id."""
+    first: dict[tuple[int, bytes], int] = {}
+    out = set()
+    for d, lead, i in zip(data, leads, ids, strict=True):
+        for run in word_runs(d, lead, gram, words):
+            j = first.setdefault(run, i)
+            if j != i:
+                out |= {i, j}
+    return out
+
+
+def repeated_parts(gathered: DataFrame, length: int, gram: int, sort_bytes: int = SORT_BYTES) -> DataFrame:
+    """(anchor, id, w1, w2): the runs of windows of each kind that repeat in another segment of the same anchor.
+
+    Rows without w1 and w2 tell kinds with a run of words that another one has.
 
     A suffix array takes several anchors together; windows of different anchors differ.
     """
@@ -157,12 +187,19 @@ def repeated_parts(gathered: DataFrame, length: int, sort_bytes: int = SORT_BYTE
                         row, s, e = (np.array(c, np.int64) for c in zip(*found, strict=True))
                         yield pa.RecordBatch.from_arrays([pa.array(c) for c in (anchors[row], ids[row], s, e)], names=["anchor", "id", "w1", "w2"])
                     held, size = [], 0
+            told = [(anchors[a], i) for a, b in bounds if ids[a] != ids[b - 1] for i in shared_runs(data[a:b], leads[a:b], ids[a:b].tolist(), gram, PASSAGE_WORDS)]
+            if told:
+                columns = [pa.array([int(t[k]) for t in told], pa.int64()) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*columns, *[pa.nulls(len(told), pa.int64())] * 2], names=["anchor", "id", "w1", "w2"])
 
     return gathered.repartition("anchor").sortWithinPartitions("anchor", "id").mapInArrow(task, "anchor long, id long, w1 long, w2 long")
 
 
-def repeated_singly(crowded: DataFrame, length: int) -> DataFrame:
-    """The same for anchors with any number of kinds: each window is counted by its digest and its distance to the anchor."""
+def repeated_singly(crowded: DataFrame, length: int, gram: int) -> DataFrame:
+    """The same for anchors with any number of kinds: each window is counted by its digest and its distance to the anchor.
+
+    Runs of words are counted alike, as windows with w = -1.
+    """
 
     def task(chunks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks:
@@ -173,19 +210,30 @@ def repeated_singly(crowded: DataFrame, length: int) -> DataFrame:
                 own = np.repeat(np.arange(a, a + len(some)), count)
                 w = np.arange(len(own)) - np.repeat(np.cumsum(count) - count, count)
                 d = digests([t[k : k + length] for t, n in zip(some, count.tolist(), strict=True) for k in range(n)])
-                columns = [chunk.column("anchor").take(pa.array(own)), chunk.column("id").take(pa.array(own)), pa.array(w), pa.array(w - lead[own]), pa.array(d[:, 0]), pa.array(d[:, 1])]
+                told = [(k, place, run) for k, t in enumerate(some, a) for place, run in word_runs(t, int(lead[k]), gram, PASSAGE_WORDS)]
+                d = np.concatenate([d, digests([run for *_, run in told])])
+                place = np.concatenate([w - lead[own], np.array([p for _, p, _ in told], np.int64)])
+                own = np.concatenate([own, np.array([k for k, *_ in told], np.int64)])
+                w = np.concatenate([w, np.full(len(told), -1)])
+                columns = [chunk.column("anchor").take(pa.array(own)), chunk.column("id").take(pa.array(own)), pa.array(w), pa.array(place), pa.array(d[:, 0]), pa.array(d[:, 1])]
                 yield pa.RecordBatch.from_arrays(columns, names=["anchor", "id", "w", "place", "d1", "d2"])
 
     key = ["anchor", "place", "d1", "d2"]
     windows = materialise(crowded.mapInArrow(task, "anchor long, id long, w long, place long, d1 long, d2 long"), "suffix-windows")
     many = windows.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(*key)
     hit = windows.join(many, key, "left_semi").groupBy("anchor", "id").agg(F.array_sort(F.collect_set("w")).alias("ws"))  # a kind has few windows
-    run = hit.select("anchor", "id", F.posexplode("ws").alias("k", "w")).groupBy("anchor", "id", F.col("w") - F.col("k"))
-    return run.agg(F.min("w").alias("w1"), (F.max("w") + 1).alias("w2")).select("anchor", "id", "w1", "w2")
+    windows_of = F.filter("ws", lambda w: w >= 0)
+    run = hit.select("anchor", "id", F.posexplode(windows_of).alias("k", "w")).groupBy("anchor", "id", F.col("w") - F.col("k"))
+    runs = run.agg(F.min("w").alias("w1"), (F.max("w") + 1).alias("w2")).select("anchor", "id", "w1", "w2")
+    none = F.lit(None).cast("long")
+    return runs.unionByName(hit.filter(F.array_contains("ws", -1)).select("anchor", "id", none.alias("w1"), none.alias("w2")))
 
 
 def repeated_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most_kinds: int = KINDS) -> DataFrame:
-    """(k1, k2, spans): the spans of each row of keyed(docs) that repeated strings of `length` bytes cover, merged."""
+    """(k1, k2, spans, passage): the spans of each row of keyed(docs) that repeated strings of `length` bytes cover.
+
+    passage: whether a run of PASSAGE_WORDS words was found elsewhere; each row has a span or a passage.
+    """
     small_batches(docs.sparkSession)
     rows = keyed(docs)
     segments = materialise(segment_table(rows, length, gram), "suffix-segments")
@@ -196,27 +244,29 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most
     sizes = kinds.groupBy("anchor").agg(F.sum(F.least("times", F.lit(2))).alias("size"))
     both = F.when(F.col("times") > 1, F.array("one", "other")).otherwise(F.array("one"))
     places = materialise(kinds.join(sizes, "anchor").select("anchor", "id", "size", F.explode(both).alias("p")).select("p.*", "anchor", "id", "size"), "suffix-places")
-    parts = repeated_parts(sliced(rows, places.filter(F.col("size") <= most_kinds), length), length)
+    parts = repeated_parts(sliced(rows, places.filter(F.col("size") <= most_kinds), length), length, gram)
     crowded = places.filter(F.col("size") > most_kinds)
     if not crowded.isEmpty():
-        parts = parts.unionByName(repeated_singly(sliced(rows, crowded, length), length))
+        parts = parts.unionByName(repeated_singly(sliced(rows, crowded, length), length, gram))
     repeats = materialise(parts.distinct(), "suffix-repeats")
     at = segments.withColumn("id", F.xxhash64("d1", "d2")).join(repeats, ["anchor", "id"])
     covered = at.select("k1", "k2", (F.col("start") + F.col("w1")).alias("s"), (F.col("start") + F.col("w2") + (length - 1)).alias("e"))
-    spans = covered.groupBy("k1", "k2").agg(F.array_sort(F.collect_set(F.struct("s", "e"))).alias("spans"))
+    span = F.when(F.col("s").isNotNull(), F.struct("s", "e"))
+    spans = covered.groupBy("k1", "k2").agg(F.array_sort(F.collect_set(span)).alias("spans"), F.some(F.col("s").isNull()).alias("passage"))
     return materialise(spans, "suffix-spans")
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, spans, kept) of each row: maximal removed runs, and the bytes that stay.
+    """(doc_id, n_bytes, n_removed, spans, kept, passage) of each row: maximal removed runs, and the bytes that stay.
 
     Texts are their UTF-8 bytes; null counts as empty; windows never cross texts, and a text shorter than `length` has
     none. All bytes of every place of a repeated string go, the first included. Equal rows are places of their own.
+    passage: whether something was removed, or a passage of PASSAGE_WORDS words was found elsewhere that is too short.
     Each input row gives one row, rows without id too; an empty table gives none; extra columns are ignored.
     """
     spans = repeated_bytes(docs, length, gram)
     rows = keyed(docs)
-    both = rows.join(spans, ["k1", "k2"], "left").select("doc_id", "text", "spans")
+    both = rows.join(spans, ["k1", "k2"], "left").select("doc_id", "text", "spans", F.coalesce("passage", F.lit(False)).alias("passage"))
 
     def task(chunks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks:
@@ -233,13 +283,17 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
                 for column, v in zip(out, (len(t), len(t) - len(kept), [{"s": a, "e": b} for a, b in runs], kept), strict=True):
                     column.append(v)
             kinds = (pa.int64(), pa.int64(), pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())])), pa.binary())
-            yield pa.RecordBatch.from_arrays([chunk.column("doc_id"), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))], names=["doc_id", "n_bytes", "n_removed", "spans", "kept"])
+            passage = pa.array([p or n > 0 for p, n in zip(chunk.column("passage").to_pylist(), out[1], strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([chunk.column("doc_id"), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True)), passage], names=["doc_id", "n_bytes", "n_removed", "spans", "kept", "passage"])
 
-    return both.mapInArrow(task, "doc_id long, n_bytes long, n_removed long, spans array<struct<s:bigint,e:bigint>>, kept binary")
+    return both.mapInArrow(task, "doc_id long, n_bytes long, n_removed long, spans array<struct<s:bigint,e:bigint>>, kept binary, passage boolean")
 
 
 def suffix_digest(docs: DataFrame) -> DataFrame:
-    """The contract's columns, from the bytes that stay, and those bytes as text; halves of characters become U+FFFD."""
+    """The contract's columns, from the bytes that stay; whether the document has a repeated passage, and what stays as text.
+
+    Halves of characters become U+FFFD there.
+    """
     found = remove_repeats(docs)
     kept = F.make_valid_utf8(F.col("kept").cast("string"))
-    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), kept.alias("kept_text"), (F.col("n_removed") / F.greatest("n_bytes", F.lit(1))).alias("removed_share"))
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), F.col("passage").cast("int").alias("repeats_passage"), kept.alias("kept_text"))

@@ -269,13 +269,27 @@ def test_repeats_at_small_limits(spark, monkeypatch, most_kinds, sort_bytes):
                 gone[i : i + 400] = b"\x01" * 400
         want[k] = bytes(x for x, g in zip(b, gone) if not g)
     plain = suffix_dedup.repeated_parts
-    monkeypatch.setattr(suffix_dedup, "repeated_parts", lambda df, length: plain(df, length, sort_bytes))
+    monkeypatch.setattr(suffix_dedup, "repeated_parts", lambda df, length, gram: plain(df, length, gram, sort_bytes))
     all_bytes = suffix_dedup.repeated_bytes
     monkeypatch.setattr(suffix_dedup, "repeated_bytes", lambda df, length, gram: all_bytes(df, length, gram, most_kinds))
     rows = suffix_dedup.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     assert {r["doc_id"]: bytes(r["kept"]) for r in rows} == want
 
 
+@pytest.mark.parametrize("most_kinds", [2048, 4])
+def test_short_passages_are_told(spark, monkeypatch, most_kinds):
+    rng = np.random.default_rng(12)
+    filler = lambda n: " ".join("".join(map(chr, rng.integers(97, 123, rng.integers(2, 8)))) for _ in range(n))
+    passage, short = filler(62), filler(45)
+    texts = [f"{filler(80)} {passage} {filler(80)}" for _ in range(12)] + [f"{filler(60)} {short} {filler(90)}" for _ in range(12)] + [filler(200) for _ in range(20)]
+    assert len(passage) < 400
+    all_bytes = suffix_dedup.repeated_bytes
+    monkeypatch.setattr(suffix_dedup, "repeated_bytes", lambda df, length, gram: all_bytes(df, length, gram, most_kinds))
+    rows = {r["doc_id"]: r for r in suffix_dedup.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert sum(rows[k]["passage"] for k in range(12)) >= 10 and not any(rows[k]["passage"] for k in range(12, 44))
+    assert not any(r["n_removed"] for r in rows.values())
+
+
 def test_one_long_text_is_cut(spark, monkeypatch):
     rng = np.random.default_rng(8)
     body = "".join(map(chr, rng.integers(97, 123, 5000)))
