@@ -64,7 +64,10 @@ def dedup_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, with all their columns. Rows that share id and text count as one document."""
+    """The rows of docs that stay, with all their columns.
+
+    Rows that share id and text count as one document; if they differ in other columns, any one of them stays.
+    """
     kept = dedup_report(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("kept_id"), F.col("digest").alias("kept_digest"))
     kept = materialise(kept, "dedup-kept")
     same = docs[id_col].eqNullSafe(kept.kept_id) & (F.unhex(F.sha2(normalised(docs[text_col]), 256)) == kept.kept_digest)

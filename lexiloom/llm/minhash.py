@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiloom.llm.groups import block_pairs, components, fixed_rows, forest, repeated
-from lexiloom.llm.shared import clear_worker, materialise, small_batches
+from lexiloom.llm.shared import clear_worker, give_back, materialise, small_batches
 from lexiloom.llm.texts import batches, mixed
 
 ROWS, MISS = 4, 1e-6
@@ -149,6 +149,8 @@ def features(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
                 digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
                 columns = [ids.slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array([next(keys) if len(s) else None for s in sets], pa.list_(pa.int64())), pa.array([s for s, _ in sketches], pa.binary()), pa.array([m for _, m in sketches], pa.int32())]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "digest", "keys", "sketch", "minima"])
+                del sets, full, keys, sketches, columns
+        give_back()
 
     rows_in = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text"))
     return rows_in.mapInArrow(task, "doc_id long, n long, digest binary, keys array<long>, sketch binary, minima int")
@@ -167,6 +169,8 @@ def full_sets(docs: DataFrame, members: DataFrame, words: int) -> DataFrame:
             for a, b in text_batches(texts):
                 sets = pa.array([s.tobytes() for s in shingle_sets(texts[a:b], words)], pa.binary())
                 yield pa.RecordBatch.from_arrays([*(chunk.column(c).slice(a, b - a) for c in ("id", "cluster", "size")), sets], names=["id", "cluster", "size", "hashes"])
+                del sets
+        give_back()
 
     return chosen.mapInArrow(task, "id long, cluster long, size long, hashes binary")
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiloom.llm.shared import cell_of, seeded, small_batches
+from lexiloom.llm.shared import cell_of, give_back, seeded, small_batches
 from lexiloom.llm.tokens import shared_cache, text_batches, with_end
 
 SEQUENCE, GROUP_DOCS = 4096, 1024
@@ -81,6 +81,8 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 2, length: int = SEQUE
                 taken = pa.array(source, pa.int32())
                 columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([*columns, *(c.take(taken) for c in more)], names=names)
+                del flat, data, rows, columns
+                give_back()
 
     small_batches(docs.sparkSession)
     rows = docs.select(docs["doc_id"], F.coalesce(docs["text"], F.lit("")).alias("text"), *(docs[c] for c in carried))

@@ -53,6 +53,7 @@ class RangeHashes:
 
 def as_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all texts one after another, and where each begins; one place more for the end. No text is null."""
+    texts = texts.cast(pa.string())  # offsets of 32 bits, whatever the session's setting
     _, offsets, data = texts.buffers()
     at = np.frombuffer(offsets, np.int32, len(texts) + 1, 4 * texts.offset) if offsets else np.zeros(1, np.int32)
     held = np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexiloom.llm.shared import materialise, scratch_path, small_batches
+from lexiloom.llm.shared import give_back, materialise, scratch_path, small_batches
 from lexiloom.llm.tokens import shared_cache, text_batches, with_end
 
 MAGIC, VERSION, BLOCK, ESCAPE = b"LXS8", 1, 1024, 15
@@ -234,6 +234,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 0, path: str | N
             ids, texts = chunk.column("doc_id").to_pylist(), chunk.column("text").to_pylist()
             for a, b in text_batches(texts):
                 writer.add(ids[a:b], *with_end(*cache.encode(texts[a:b]), end_id))
+                give_back()
         if writer is not None:
             n_docs, n_ids = writer.close()
             stream.close()

@@ -20,9 +20,9 @@ from lexiloom.llm.shared import worker_cache
 from lexiloom.llm.texts import batches
 
 #: Pre-tokens of a generation of the cache; a worker remembers two, so that frequent ones outlive a change.
-CACHE_WORDS = 150_000
+CACHE_WORDS = 60_000
 #: The characters of text encoded at a time.
-BATCH_CHARS = 4_000_000
+BATCH_CHARS = 1_000_000
 _SPACE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _TIGHT, _MARKED = f"{_SPACE} {_SPACE}", r"  |<\||[\x00-\x02]"
 #: Letters of the Latin-1 block: any of them is a letter to the pre-tokenizers, and stays one in lower case.
