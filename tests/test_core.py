@@ -38,6 +38,9 @@ def test_order_and_prefixes(spark, strings):
     assert [r["id"] for r in order.ranked(df, 2, descending=True).orderBy("rank").collect()] == [i for _, i in falling]
     lcps = [0] + [common(a, b) for (a, _), (b, _) in zip(want, want[1:])]
     assert [r["lcp"] for r in prefixes.lcp_array(df).orderBy("rank").collect()] == (lcps if want else [])
+    for rows in (50_000, 2):
+        near = order.with_common(df, rows).orderBy("rank").collect()
+        assert [(r["lcp"], r["next_lcp"]) for r in near] == list(zip(lcps, [*lcps[1:], 0])) if want else not near
     dps = {r["id"]: r["dp"] for r in prefixes.distinguishing_prefix(df).collect()}
     assert dps == {i: max(lcps[k], (lcps + [0])[k + 1]) + 1 for k, (_, i) in enumerate(want)}
     depths = prefixes.depths(max(map(len, strings), default=0))
