@@ -127,6 +127,16 @@ def test_codes_of_wide_gaps_take_one_pass(spark):
     assert time.monotonic() - begin < 15
 
 
+def test_golomb_lists_of_many_orders(spark, tmp_path):
+    db = duckdb.connect()
+    db.execute(f"copy (select p::BIGINT AS l_partkey, (i * 7919 % 1000003 + i // 3)::BIGINT AS l_orderkey FROM range(3) t(p), range(1100) u(i)) to '{tmp_path}/lineitem.parquet'")
+    db.execute(f"create view lineitem as select * from '{tmp_path}/lineitem.parquet'")
+    begin = time.monotonic()
+    got = catalog.queries()["golomb_round_trip"](spark, str(tmp_path)).select("p", "v", "size").collect()
+    assert time.monotonic() - begin < 30
+    assert sorted(r[:2] for r in got) == sorted(db.execute("SELECT DISTINCT l_partkey, l_orderkey FROM lineitem").fetchall())
+
+
 def test_rows_that_share_ids(spark):
     df = spark.createDataFrame([(1, bytearray(b"same")), (1, bytearray(b"other")), (1, bytearray(b"same")), (2, bytearray(b"same"))], "id long, b binary")
     got = prefixes.fetched(prefixes.sort_by_prefixes(df), df).orderBy("rank").collect()
