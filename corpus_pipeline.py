@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from lexiloom.llm import exact_dedup, minhash, mixing, packing, toxicity
 from lexiloom.llm.shared import materialise, table
+from lexiloom.llm.tokens import NARROW
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,10 +47,10 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     try:
         place = docs.select("doc_id", "text", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
     except AnalysisException:  # not read from files: no order to keep
-        return packing.pack_digest(packing.pack(docs, tokenizer))
+        return packing.pack_digest(packing.pack(docs, tokenizer, room=NARROW))
     stretch = F.pmod(F.xxhash64("file", F.floor(F.col("row") / packing.GROUP_DOCS)), F.lit(2**31 - 1))
     grouped = place.select("doc_id", "text", stretch.alias("stretch"))
-    return packing.pack_digest(packing.pack(grouped, tokenizer, group_col="stretch"))
+    return packing.pack_digest(packing.pack(grouped, tokenizer, group_col="stretch", room=NARROW))
 
 
 STAGES = [

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiloom.llm.shared import cell_of, give_back, seeded, small_batches
-from lexiloom.llm.tokens import shared_cache, text_batches, with_end
+from lexiloom.llm.tokens import WIDE, Room, shared_cache, text_batches, with_end
 
 SEQUENCE, GROUP_DOCS = 4096, 1024
 
@@ -58,7 +58,7 @@ class FirstFit:
             self.room[i] = max(self.room[2 * i], self.room[2 * i + 1])
 
 
-def pieces(docs: DataFrame, tokenizer: str, end_id: int = 2, length: int = SEQUENCE, keeps_space: bool = False, carried: tuple[str, ...] = ()) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, end_id: int = 2, length: int = SEQUENCE, keeps_space: bool = False, carried: tuple[str, ...] = (), room: Room = WIDE) -> DataFrame:
     """(doc_id, start, length, ids, doc_tokens, group ...): the pieces of each document; ids as little-endian u32 bytes."""
     names = ["doc_id", "start", "length", "doc_tokens", "ids", *carried]
     kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
@@ -66,10 +66,10 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 2, length: int = SEQUE
     def task(chunks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = None
         for chunk in chunks:
-            cache = cache or shared_cache(tokenizer, keeps_space)
+            cache = cache or shared_cache(tokenizer, keeps_space, room)
             doc_ids, texts = chunk.column("doc_id").to_pylist(), chunk.column("text").to_pylist()
             more = [chunk.column(c) for c in carried]
-            for a, b in text_batches(texts):
+            for a, b in text_batches(texts, room):
                 flat, per = with_end(*cache.encode(texts[a:b]), end_id)
                 data, at, rows, source = flat.astype("<u4").tobytes(), 0, [], []
                 for k, n in enumerate(per.tolist()):
@@ -82,27 +82,28 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 2, length: int = SEQUE
                 columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([*columns, *(c.take(taken) for c in more)], names=names)
                 del flat, data, rows, columns
-                give_back()
+                give_back(collect=False)
 
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, room.arrow_bytes)
     rows = docs.select(docs["doc_id"], F.coalesce(docs["text"], F.lit("")).alias("text"), *(docs[c] for c in carried))
     kept = "".join(f", {f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[2:])
     return rows.mapInArrow(task, f"doc_id long, start long, length int, doc_tokens long, ids binary{kept}")
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, length: int = SEQUENCE, group_docs: int = GROUP_DOCS, seed: int = 3, group_col: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, length: int = SEQUENCE, group_docs: int = GROUP_DOCS, seed: int = 3, group_col: str | None = None, room: Room = WIDE) -> DataFrame:
     """(doc_id, start, length, doc_tokens, ids, sequence_id, offset): every piece with its place.
 
     Sequences hold at most `length` ids; offsets are gapless from 0. Each id of a document lies in one piece; null and
     empty texts have one piece, the end id. Documents are grouped by a hash of id and text, repeated rows are packed
     one by one, rows without id too. group_col: a long column of docs that groups them instead, for orders to keep.
+    room: what a worker may hold.
     """
     if group_col is None:
         n = docs.select("doc_id").count()
         group = cell_of(seeded(seed, docs["doc_id"], docs["text"]), F.lit(max(1, math.ceil(n / group_docs))))
     else:
         group = docs[group_col].cast("long")
-    cut = pieces(docs.select(docs["doc_id"], docs["text"], group.alias("group")), tokenizer, end_id, length, carried=("group",))
+    cut = pieces(docs.select(docs["doc_id"], docs["text"], group.alias("group")), tokenizer, end_id, length, carried=("group",), room=room)
     # equal lengths come in the order of their ids, so that a task that runs again gives the same bins
     dealt = cut.repartition("group").sortWithinPartitions("group", F.desc("length"), "doc_id", "start", F.crc32("ids"))
 

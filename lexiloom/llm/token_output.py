@@ -234,7 +234,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 0, path: str | N
             ids, texts = chunk.column("doc_id").to_pylist(), chunk.column("text").to_pylist()
             for a, b in text_batches(texts):
                 writer.add(ids[a:b], *with_end(*cache.encode(texts[a:b]), end_id))
-                give_back()
+                give_back(collect=False)
         if writer is not None:
             n_docs, n_ids = writer.close()
             stream.close()

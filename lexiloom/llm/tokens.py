@@ -11,18 +11,33 @@ control characters used as marks here, or with strings of special tokens, are en
 from __future__ import annotations
 
 from array import array
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from lexiloom.llm.shared import worker_cache
+from lexiloom.llm.shared import give_back, worker_cache
 from lexiloom.llm.texts import batches
 
-#: Pre-tokens of a generation of the cache; a worker remembers two, so that frequent ones outlive a change.
-CACHE_WORDS = 60_000
-#: The characters of text encoded at a time.
-BATCH_CHARS = 1_000_000
+
+
+@dataclass(frozen=True)
+class Room:
+    """What a worker may hold; more of it saves time, the ids are the same.
+
+    cache_words: pre-tokens met again that a generation of the cache holds, and half as many met once; two of each are
+    remembered, so that frequent ones outlive a change. batch_chars: the characters of text encoded at a time.
+    arrow_bytes: of the batches that Spark hands to Python.
+    """
+
+    cache_words: int
+    batch_chars: int
+    arrow_bytes: int
+
+
+#: For a job of its own, and for one whose executors are full from what came before.
+WIDE, NARROW = Room(120_000, 4_000_000, 8 << 20), Room(20_000, 250_000, 1 << 20)
 _SPACE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _TIGHT, _MARKED = f"{_SPACE} {_SPACE}", r"  |<\||[\x00-\x02]"
 #: Letters of the Latin-1 block: any of them is a letter to the pre-tokenizers, and stays one in lower case.
@@ -46,13 +61,16 @@ class WordCache:
     keeps_space: whether a unit takes the space before it along (byte level) or drops it (word level, lower case).
     """
 
-    def __init__(self, path: str, keeps_space: bool, limit: int = CACHE_WORDS):
+    def __init__(self, path: str, keeps_space: bool, limit: int = WIDE.cache_words):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.keeps, self.limit = Tokenizer.from_file(path), keeps_space, limit
         self.model = self.tokenizer.model
-        self.words: dict[str, bytes] = {}  # ids as 32-bit numbers: a fifth of a tuple's room
+        # ids as 32-bit numbers: a fifth of a tuple's room
+        self.words: dict[str, bytes] = {}  # met in one batch: most never come again
         self.older: dict[str, bytes] = {}
+        self.kept: dict[str, bytes] = {}  # met in several, which single ones don't push out
+        self.kept_older: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -81,13 +99,21 @@ class WordCache:
 
     def _known(self, names: list[str]) -> list[bytes]:
         """The ids of each pre-token, learnt where they are new."""
-        if len(self.words) > self.limit:
+        if len(self.words) > self.limit // 2:
             self.older, self.words = self.words, {}
-        words, older = self.words, self.older
-        new = [w for w in names if w not in words]
-        words.update((w, older[w]) for w in new if w in older)
-        self._learn([w for w in new if w not in older])
-        return [words[w] for w in names]
+        if len(self.kept) > self.limit:
+            self.kept_older, self.kept = self.kept, {}
+        words, kept, before, new = self.words, self.kept, (self.kept_older, self.words, self.older), []
+        for w in names:
+            if w not in kept:
+                for other in before:
+                    if w in other:
+                        kept[w] = other.pop(w)
+                        break
+                else:
+                    new.append(w)
+        self._learn(new)
+        return [kept[w] if w in kept else words[w] for w in names]
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after another, and how many each has."""
@@ -116,9 +142,16 @@ class WordCache:
         return flat, per
 
 
-def shared_cache(path: str, keeps_space: bool) -> WordCache:
+def shared_cache(path: str, keeps_space: bool, room: Room = WIDE) -> WordCache:
     """The worker's cache for a vocabulary: its next task goes on with it."""
-    return worker_cache((path, keeps_space), lambda: WordCache(path, keeps_space))
+
+    def load() -> WordCache:
+        give_back()
+        cache = WordCache(path, keeps_space, room.cache_words)
+        give_back()  # reading the vocabulary takes more than it is in the end
+        return cache
+
+    return worker_cache((path, keeps_space, room), load)
 
 
 def _flat(values: np.ndarray, lens: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -133,6 +166,6 @@ def with_end(flat: np.ndarray, per: np.ndarray, end_id: int) -> tuple[np.ndarray
     return np.insert(flat, np.cumsum(per), end_id).astype(np.uint32), per + 1
 
 
-def text_batches(texts: list[str]):
-    """Ranges of texts with about BATCH_CHARS characters each; a longer text is a range of its own."""
-    return batches(map(len, texts), BATCH_CHARS)
+def text_batches(texts: list[str], room: Room = WIDE):
+    """Ranges of texts with about room.batch_chars characters each; a longer text is a range of its own."""
+    return batches(map(len, texts), room.batch_chars)

@@ -63,6 +63,25 @@ def test_word_cache(name, space):
     assert got == [plain.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_words_met_again_outlive_single_ones():
+    """They were learnt anew after two generations of words that came once."""
+    cache, learnt = tokens.WordCache(P.path("word_bpe_49k.json"), False, limit=40), Counter()
+    learn = cache._learn
+    cache._learn = lambda new: (learnt.update(new), learn(new))
+    plain = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    for k in range(12):
+        again = "often met words" if k in (0, 1, 11) else ""
+        text = again + "".join(f" {chr(97 + k)}{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(60))
+        assert cache.encode([text])[0].tolist() == plain.encode(text, add_special_tokens=False).ids
+    assert all(learnt[w] == 1 for w in ("often", "met", "words")) and len(cache.words) + len(cache.older) < 200
+
+
+def test_room_changes_no_result(spark):
+    df = spark.createDataFrame([(i, f"w{i % 7} " * (i * 13 % 900) + "end") for i in range(60)], "doc_id long, text string")
+    rows = [packing.pack_digest(packing.pack(df, P.path("word_bpe_49k.json"), room=room)).collect() for room in (tokens.WIDE, tokens.NARROW, tokens.Room(2, 50, 1000))]
+    assert sorted(rows[0]) == sorted(rows[1]) == sorted(rows[2])
+
+
 def test_codec():
     rng = np.random.default_rng(1)
     for n in (0, 1, 59, 1024, 1025, 4000):
