@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -52,12 +54,21 @@ def equal_parts(df: DataFrame, order: str, parts: int) -> DataFrame:
     return indexed.withColumn("part", F.least(F.floor(F.col("idx") / each), F.lit(parts - 1)).cast("long"))
 
 
+#: Bytes of suffixes that a task writes out, on average, and what a row takes besides its suffix.
+SUFFIX_BYTES, SUFFIX_ROW = 64 << 20, 64
+
+
 def suffixes(texts: DataFrame, text: str = "value", key: str = "id", with_empty: bool = False) -> DataFrame:
     """(key, pos, b): every suffix of each text by bytes, line feeds removed before; pos from 1 (SRC8, SNK2, S12).
 
-    This writes out O(n^2) bytes for a text of n bytes: for short texts only.
+    This writes out O(n^2) bytes for a text of n bytes: for short texts only. The texts are dealt to tasks by what they
+    will take, as a file of short texts that one task reads can be some thousand times smaller than its suffixes.
     """
     clean = texts.select(key, F.replace(F.col(text), F.lit("\n"), F.lit("")).cast("binary").alias("t"))
     last = F.octet_length("t") + (1 if with_empty else 0)
-    at = clean.filter(last > 0).withColumn("pos", F.explode(F.sequence(F.lit(1), last)))
+    n = F.octet_length("t").cast("double")
+    total = clean.agg(F.sum(n * (n + 1) / 2 + SUFFIX_ROW * (n + 1))).first()[0] or 0
+    parts = math.ceil(total / SUFFIX_BYTES)
+    dealt = clean.repartition(parts, F.xxhash64(key, "t")) if parts > 1 else clean
+    at = dealt.filter(last > 0).withColumn("pos", F.explode(F.sequence(F.lit(1), last)))
     return at.select(key, F.col("pos").cast("long").alias("pos"), F.substring(F.col("t"), F.col("pos"), F.octet_length("t")).alias("b"))

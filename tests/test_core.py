@@ -200,6 +200,16 @@ def test_lines_and_suffixes(spark, tmp_path):
     assert [r["count"] for r in text.equal_parts(numbered, "n", 4).groupBy("part").count().orderBy("part").collect()] == [1, 1, 1, 3]
 
 
+def test_suffixes_are_dealt_to_tasks(spark, monkeypatch):
+    """One task wrote out the suffixes of all texts that came in one partition."""
+    monkeypatch.setattr(text, "SUFFIX_BYTES", 100_000, raising=False)
+    texts = spark.range(0, 400, 1, 1).select("id", F.repeat(F.lit("ab"), 10).alias("value"))
+    rows = text.suffixes(texts)
+    sizes = [r["count"] for r in rows.groupBy(F.spark_partition_id().alias("task")).count().collect()]
+    assert sum(sizes) == 400 * 20 and len(sizes) > 3 and max(sizes) < 4000
+    assert rows.agg(F.countDistinct("id", "pos")).first()[0] == 400 * 20
+
+
 def test_metric_text(spark, tmp_path):
     (tmp_path / "log").write_text("RESULT a=1 b=x\nnoise\nRESULT a=2\n")
     from pyspark.sql.types import LongType, StringType, StructField, StructType
