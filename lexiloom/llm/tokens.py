@@ -2,9 +2,9 @@
 
 The pre-tokenizers of the two public vocabularies used here never join what stands on the two sides of a single space:
 the byte-level one gives the space to the word after it, the word-level one drops it. So a text's ids are those of its
-space-separated units in order, and each distinct unit of a batch is encoded once. A unit made of Latin words, one mark
-after each and one line break at most is put together from its pre-tokens, which the library's BPE model encodes once
-and the cache keeps; any other goes through the whole tokenizer. Texts where a space has white space on both sides, with
+space-separated units in order, and each distinct unit of a batch is encoded once. A unit made of Latin words, one run
+of marks after each and one line break at most is put together from its pre-tokens, which the library's BPE model encodes
+once and the cache keeps; any other goes through the whole tokenizer. Texts where a space has white space on both sides, with
 control characters used as marks here, or with strings of special tokens, are encoded whole.
 """
 
@@ -42,7 +42,9 @@ _SPACE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}
 _TIGHT, _MARKED = f"{_SPACE} {_SPACE}", r"  |<\||[\x00-\x02]"
 #: Letters of the Latin-1 block: any of them is a letter to the pre-tokenizers, and stays one in lower case.
 _WORD = r"[A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{ff}]+"
-_PLAIN = rf"^\x00?{_WORD}[.,]?(\n{_WORD}[.,]?)?$"
+#: Marks of ASCII, a run of which is one pre-token; not the apostrophe, with which contractions begin, nor < | > of special tokens.
+_MARKS = r"[!\"#$%&()*+,\-./:;=?@\[\\\]^_`{}~]+"
+_PLAIN = rf"^\x00?{_WORD}({_MARKS})?(\n{_WORD}({_MARKS})?)?$"
 
 
 def _byte_alphabet() -> list[str]:
@@ -52,7 +54,8 @@ def _byte_alphabet() -> list[str]:
     return [chr(b) if b in shown else chr(next(hidden)) for b in range(256)]
 
 
-_LETTERS = dict(enumerate(_byte_alphabet()))
+#: The letters by byte as UTF-16; \x01 stays, as it stands between pre-tokens.
+_LETTERS = np.array([1 if b == 1 else ord(x) for b, x in enumerate(_byte_alphabet())], "<u2")
 
 
 class WordCache:
@@ -78,7 +81,7 @@ class WordCache:
     def _pieces(self, units: pa.Array) -> pa.ListArray:
         """The pre-tokens of each unit; a unit that isn't plain is one piece, marked by \\x02."""
         plain = pc.match_substring_regex(units, _PLAIN)
-        fine = pc.replace_substring_regex(units, r"([.,])", "\x01\\1")
+        fine = pc.replace_substring_regex(units, f"({_MARKS})", "\x01\\1")
         fine = pc.replace_substring(fine, "\n", "\x01\n\x01" if self.keeps else "\x01")
         lead = " " if self.keeps else ""
         first = pc.starts_with(units, "\0")
@@ -86,16 +89,16 @@ class WordCache:
         return pc.split_pattern(pc.if_else(plain, with_lead(fine), pc.binary_join_element_wise("\x02", with_lead(units), "")), "\x01")
 
     def _learn(self, new: list[str]) -> None:
-        tokenize, table, space, keeps, words = self.model.tokenize, _LETTERS, _LETTERS[ord(" ")], self.keeps, self.words
-        odd = [w for w in new if w[:1] == "\x02"]
+        tokenize, words = self.model.tokenize, self.words
+        odd, plain = [w for w in new if w[:1] == "\x02"], [w for w in new if w[:1] != "\x02"]
         for w, ids in zip(odd, self._ids([w[1:] for w in odd]), strict=True):
             words[w] = array("I", ids).tobytes()
-        for w in new:
-            if w[:1] != "\x02":
-                letters = w if keeps else w.lower()
-                # of ASCII, a pre-token holds letters, one mark and a space, or is a line break
-                letters = letters.replace(" ", space) if letters.isascii() and letters != "\n" else letters.encode().decode("latin-1").translate(table)
-                words[w] = array("I", [t.id for t in tokenize(letters)]).tobytes()
+        if plain:
+            together = "\x01".join(plain)
+            together = (together if self.keeps else together.lower()).encode()
+            letters = _LETTERS[np.frombuffer(together, np.uint8)].tobytes().decode("utf-16-le").split("\x01")
+            for w, x in zip(plain, letters, strict=True):
+                words[w] = array("I", [t.id for t in tokenize(x)]).tobytes()
 
     def _known(self, names: list[str]) -> list[bytes]:
         """The ids of each pre-token, learnt where they are new."""
@@ -103,17 +106,22 @@ class WordCache:
             self.older, self.words = self.words, {}
         if len(self.kept) > self.limit:
             self.kept_older, self.kept = self.kept, {}
-        words, kept, before, new = self.words, self.kept, (self.kept_older, self.words, self.older), []
-        for w in names:
-            if w not in kept:
-                for other in before:
-                    if w in other:
-                        kept[w] = other.pop(w)
-                        break
+        kept = self.kept
+        out = list(map(kept.get, names))
+        left = [i for i, x in enumerate(out) if x is None]
+        for before in (self.kept_older, self.words, self.older):
+            rest = []
+            for i, ids in zip(left, map(before.get, [names[i] for i in left]), strict=True):
+                if ids is None:
+                    rest.append(i)
                 else:
-                    new.append(w)
-        self._learn(new)
-        return [kept[w] if w in kept else words[w] for w in names]
+                    kept[names[i]] = out[i] = ids
+                    del before[names[i]]
+            left = rest
+        self._learn([names[i] for i in left])
+        for i in left:
+            out[i] = self.words[names[i]]
+        return out
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after another, and how many each has."""

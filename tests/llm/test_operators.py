@@ -76,6 +76,17 @@ def test_words_met_again_outlive_single_ones():
     assert all(learnt[w] == 1 for w in ("often", "met", "words")) and len(cache.words) + len(cache.older) < 200
 
 
+@pytest.mark.parametrize("name,space", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_runs_of_marks_are_pre_tokens(name, space):
+    """Each word with marks of its own went through the whole tokenizer."""
+    plain, cache = Tokenizer.from_file(P.path(name)), tokens.WordCache(P.path(name), space)
+    whole, ids = [], cache._ids
+    cache._ids = lambda texts: (whole.extend(texts), ids(texts))[1]
+    text = "été*** ne.### Et%%%, x-\\^]\nTrech$$$ été### a'b c<d ne"
+    assert cache.encode([text])[0].tolist() == plain.encode(text, add_special_tokens=False).ids
+    assert sorted(x.strip() for x in whole) == ["a'b", "c<d"]
+
+
 def test_room_changes_no_result(spark):
     df = spark.createDataFrame([(i, f"w{i % 7} " * (i * 13 % 900) + "end") for i in range(60)], "doc_id long, text string")
     rows = [packing.pack_digest(packing.pack(df, P.path("word_bpe_49k.json"), room=room)).collect() for room in (tokens.WIDE, tokens.NARROW, tokens.Room(2, 50, 1000))]
