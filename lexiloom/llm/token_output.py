@@ -71,16 +71,15 @@ def encode_blocks(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         c, b = SELECTORS[s]
         k = 1 << (c.bit_length() - 1)
         reach = most[k][:, :BLOCK] if k == c else np.maximum(most[k][:, :BLOCK], most[k][:, c - k : c - k + BLOCK])
-        select[reach <= b] = s
+        np.minimum(select, (reach > b).view(np.uint8) * np.uint8(ESCAPE) | np.uint8(s), out=select)  # ESCAPE has all bits set
     count, flat = _COUNT.astype(np.int64), select.reshape(-1)
-    at, live, steps = np.zeros(blocks, np.int64), np.arange(blocks), []
+    at, live, begins = np.zeros(blocks, np.int64), np.arange(blocks), np.zeros(blocks * BLOCK, bool)
     while len(live):  # all blocks advance together, a word each at a time
-        steps.append((live, at[live]))
-        at[live] += count[flat[live * BLOCK + at[live]]]
+        here = live * BLOCK + at[live]
+        begins[here] = True
+        at[live] += count[flat[here]]
         live = live[at[live] < sizes[live]]
-    lane, first = np.concatenate([x[0] for x in steps]), np.concatenate([x[1] for x in steps])
-    order = np.argsort(lane * BLOCK + first)
-    lane, first = lane[order], first[order]
+    lane, first = np.divmod(np.flatnonzero(begins), BLOCK)
     chosen, place, values = flat[lane * BLOCK + first], lane * row + first, padded.reshape(-1)
     words = chosen.astype(np.uint64) << np.uint64(60)
     for s, (c, b) in SELECTORS.items():

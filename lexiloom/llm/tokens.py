@@ -80,13 +80,16 @@ class WordCache:
 
     def _pieces(self, units: pa.Array) -> pa.ListArray:
         """The pre-tokens of each unit; a unit that isn't plain is one piece, marked by \\x02."""
-        plain = pc.match_substring_regex(units, _PLAIN)
-        fine = pc.replace_substring_regex(units, f"({_MARKS})", "\x01\\1")
-        fine = pc.replace_substring(fine, "\n", "\x01\n\x01" if self.keeps else "\x01")
         lead = " " if self.keeps else ""
-        first = pc.starts_with(units, "\0")
+        bare = pc.match_substring_regex(units, f"^{_WORD}$")  # most of them
+        rest = units.filter(pc.invert(bare))
+        plain = pc.match_substring_regex(rest, _PLAIN)
+        fine = pc.replace_substring_regex(rest, f"({_MARKS})", "\x01\\1")
+        fine = pc.replace_substring(fine, "\n", "\x01\n\x01" if self.keeps else "\x01")
+        first = pc.starts_with(rest, "\0")
         with_lead = lambda x: pc.if_else(first, pc.replace_substring(x, "\0", ""), pc.binary_join_element_wise(lead, x, ""))
-        return pc.split_pattern(pc.if_else(plain, with_lead(fine), pc.binary_join_element_wise("\x02", with_lead(units), "")), "\x01")
+        rest = pc.if_else(plain, with_lead(fine), pc.binary_join_element_wise("\x02", with_lead(rest), ""))
+        return pc.split_pattern(pc.replace_with_mask(pc.binary_join_element_wise(lead, units, ""), pc.invert(bare), rest), "\x01")
 
     def _learn(self, new: list[str]) -> None:
         tokenize, words = self.model.tokenize, self.words
