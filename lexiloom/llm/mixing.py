@@ -16,6 +16,7 @@ import heapq
 import json
 import math
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -65,8 +66,10 @@ def phases(blocks: dict[str, int], weights: dict[str, int]) -> list[dict]:
 
 def plan_table(spark: SparkSession, total: dict[str, int], plan: list[dict]) -> DataFrame:
     """A row for each source: its rows, and its phases of phases() in order."""
-    rows = [(s, n, [(p["had"][s], p["start"], p["len"], p["at"][s]) for p in plan if s in p["at"]]) for s, n in total.items()]
-    return spark.createDataFrame(rows, "_lx_key string, _lx_n long, _lx_phases array<struct<had: long, start: long, len: long, at: array<long>>>")
+    rows = [{"_lx_key": s, "_lx_n": n, "_lx_phases": [{"had": p["had"][s], "start": p["start"], "len": p["len"], "at": p["at"][s]} for p in plan if s in p["at"]]} for s, n in total.items()]
+    phase = pa.struct([("had", pa.int64()), ("start", pa.int64()), ("len", pa.int64()), ("at", pa.list_(pa.int64()))])
+    # from Arrow: lists would start Python workers of their own on the executors, which stay for a minute
+    return spark.createDataFrame(pa.Table.from_pylist(rows, pa.schema([("_lx_key", pa.string()), ("_lx_n", pa.int64()), ("_lx_phases", pa.list_(phase))])))
 
 
 def slot_of(block: Column, phases_of: Column) -> Column:

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -328,3 +329,23 @@ def test_block_max_index_is_exact(frequent):
     for (t, v), (_, cosines) in zip(vectors[:60], index.nearest(flat_of(vectors[:60]), 60, 16, [None] * 60), strict=True):
         best = np.sort(dense[:, t] @ v)[::-1][:16]
         assert np.allclose(cosines, best[best > 0], atol=1e-5)
+
+
+def test_memory_of_neighbours_is_bounded(monkeypatch):
+    rng = np.random.default_rng(7)
+    n, size, n_terms = 2000, 200, 3000  # a term has 133 examples and is rare: 64 texts of 200 terms meet 1.7 million postings
+    picks = [np.sort(rng.choice(n_terms, size, replace=False)) for _ in range(n + 64)]
+    unit = [(t, np.full(size, size**-0.5)) for t in picks]
+    index = toxicity.BlockMaxIndex(np.arange(n), np.zeros(n, int), np.ones(n), flat_of(unit[:n]), n_terms)
+    few = flat_of(unit[n:])
+    tracemalloc.start()
+    got = index.nearest(few, 64, 16, [None] * 64)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 30e6, most
+    for t, (rows, cosines) in zip(picks[n:], got, strict=True):
+        shared = np.array([len(np.intersect1d(t, picks[i])) for i in index.ids]) / size
+        assert np.allclose(cosines, np.sort(shared)[::-1][:16], atol=1e-5) and np.allclose(cosines, shared[rows], atol=1e-5)
+    monkeypatch.setattr(toxicity, "POSTINGS", 1000)  # each text is longer than that alone: its terms are added in parts
+    for (a, x), (b, y) in zip(got, index.nearest(few, 64, 16, [None] * 64), strict=True):
+        assert a.tolist() == b.tolist() and np.allclose(x, y, atol=1e-6)
